@@ -1,0 +1,50 @@
+"""Intermediate tables in the folder that all executors share.
+
+``spark.checkpoint.dir`` names that folder.  Only a local session may go
+without it; it then gets a folder of its own.  A table written here cuts the
+lineage: a lost executor costs a re-read, never a recomputation of the
+operators above it.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder; a temporary one only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="isoreach-")
+    return _local[app]
+
+
+class Scratch:
+    """Parquet tables of one operator run; ``drop`` removes those no longer read."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        """Write ``df`` and return the written table."""
+        path = f"{self.root}/{tag}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tags: str) -> None:
+        """Delete tables by tag once nothing reads them any more."""
+        jvm = self.spark.sparkContext._jvm
+        for tag in tags:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{tag}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
