@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 from isoreach.llm import oracle
+from isoreach.llm.shipping import ship
 
 #: Query name, module and function; each function takes the documents table
 #: (and the benchmark table for decontamination) and returns the full result.
@@ -27,6 +28,7 @@ QUERIES = {
 
 def _query(module: str, function: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
         operator = getattr(import_module(f"isoreach.llm.{module}"), function)
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
         if module == "decontamination":
