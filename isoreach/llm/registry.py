@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 from isoreach.llm import oracle
-from isoreach.llm.shipping import ship
+from isoreach.shipping import ship
 
 #: Query name, module and function; each function takes the documents table
 #: (and the benchmark table for decontamination) and returns the full result.
