@@ -1,4 +1,7 @@
 """All registered queries and their SQL, collected from the modules beside it."""
 
-QUERIES = {}
-ORACLES = {}
+from isoreach.plans import access, network, tables
+
+_ALL = access.QUERIES | network.QUERIES | tables.QUERIES
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
