@@ -144,7 +144,7 @@ def next_departures(spark, sf_dir):
 
 
 def _stops(spark, sf_dir):
-    order = (F.col("l_linenumber") * 1_000_000_000 + F.col("l_suppkey")).alias("stop_sequence")
+    order = (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_suppkey")).alias("stop_sequence")
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trip_id"), order, F.col("l_suppkey").alias("stop_id"))
 
 
