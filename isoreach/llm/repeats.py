@@ -142,11 +142,13 @@ def find(docs: DataFrame, what: Repeats, segs: DataFrame, scratch: Scratch) -> D
     else:
         edges = by_union.groupBy("g").agg(F.sum("n").alias("all"), F.min("n").alias("fewest")).where("all > 1 and fewest = 1")
         open_union = F.col("n") == 1
-    chosen = by_union.join(edges, "g").select("u1", "u2", "rep.*", open_union.alias("open"))
+    # written tables on both sides of a join can be dealt anew where a key is hot
+    chosen = by_union.join(scratch.table(edges, "edges"), "g").select("u1", "u2", "rep.*", open_union.alias("open"))
     chosen = scratch.table(chosen, "chosen")
     windows = scratch.table(edge_windows(docs, chosen, what), "windows")
     windows = windows.join(chosen.select("u1", "u2", "doc_id", "open"), ["u1", "u2"])
     grouped = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    grouped = scratch.table(grouped, "grouped")
     again = F.col("least") < F.col("doc_id") if what.earlier else F.lit(True)
     hits = windows.where("open").join(grouped, ["w1", "w2"]).where(again)
     hits = hits.groupBy("u1", "u2").agg(F.sort_array(F.collect_set("at")).alias("at"))
