@@ -45,7 +45,7 @@ def simplify(edges: DataFrame, rounds: int = 64) -> DataFrame:
         tail = chains.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("distance").alias("_l"), F.col("nodes").alias("_n"), F.col("way_ids").alias("_w"), F.col("classes").alias("_c"), F.col("done").alias("_done"))
         open_chains = chains.where("not done")
         turn = (F.col("dst") == F.col("_s")) & (F.get("nodes", F.size("nodes") - 2) != F.get("_n", F.lit(1))) & ~F.arrays_overlap(F.slice("nodes", F.lit(1), F.size("nodes") - 1), F.slice("_n", F.lit(2), F.greatest(F.size("_n") - 2, F.lit(0))))
-        joined = open_chains.join(tail, turn).select("src", F.col("_d").alias("dst"), (F.col("distance") + F.col("_l")).alias("distance"), F.concat("nodes", F.slice("_n", 2, 2147483647)).alias("nodes"), F.concat("way_ids", "_w").alias("way_ids"), F.concat("classes", "_c").alias("classes"), F.col("_done").alias("done"))
+        joined = open_chains.join(tail, turn).select("src", F.col("_d").alias("dst"), (F.col("distance") + F.col("_l")).alias("distance"), F.concat("nodes", F.slice("_n", F.lit(2), F.size("_n") - 1)).alias("nodes"), F.concat("way_ids", "_w").alias("way_ids"), F.concat("classes", "_c").alias("classes"), F.col("_done").alias("done"))
         stuck = open_chains.join(tail, turn, "left_anti")
         chains = scratch.table(chains.where("done").unionByName(joined).unionByName(stuck.withColumn("done", F.lit(True)).select(chains.columns)), str(k))
         scratch.drop(str(k - 1))
