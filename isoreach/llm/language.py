@@ -48,19 +48,21 @@ def fit(docs: DataFrame) -> Network | None:
     return train([r["text"].lower().encode() for r in texts], [r["lang"] for r in texts])
 
 
-def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (the pooled probability).
+def predict(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score (the pooled probability).
 
     Every byte of the lower-cased text is read; the probabilities of all positions are
     averaged.  ``und`` with score 0 where the text is null or has no letter, or
-    where nothing was learned.  Other columns stay; clashing names are replaced.
+    where nothing was learned.  Other columns stay; columns that have one of
+    ``names`` are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    unknown = [F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score")]
+    lang, score_name = names
+    rest = [c for c in docs.columns if c not in names]
+    unknown = [F.lit(UNDETERMINED).alias(lang), F.lit(0.0).alias(score_name)]
     if net is None:
         return docs.select(*[F.col(f"`{c}`") for c in rest], *unknown)
     at = rest.index("text")
-    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add(lang, "string").add(score_name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -87,11 +89,11 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             best = share.argmax(axis=1)
             named = pa.array([net.classes[b] for b in best], pa.string())
             score = pa.array(share[np.arange(len(best)), best], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, named, score], names=[*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, named, score], names=[*rest, lang, score_name])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     made = docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
-    return made.withColumn("score", F.when(letters, F.col("score")).otherwise(0.0)).withColumn("lang_pred", F.when(letters, F.col("lang_pred")).otherwise(UNDETERMINED))
+    return made.withColumn(score_name, F.when(letters, F.col(score_name)).otherwise(0.0)).withColumn(lang, F.when(letters, F.col(lang)).otherwise(UNDETERMINED))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -102,5 +104,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float) -> DataFrame:
     """The documents with a predicted language of at least this score; columns stay."""
-    found = predict(docs, fit(docs))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = "_lang_pred", "_score"
+    while lang in docs.columns or score in docs.columns:
+        lang, score = f"_{lang}", f"_{score}"
+    found = predict(docs, fit(docs), (lang, score))
+    return found.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -256,24 +256,28 @@ def find_spans(docs: DataFrame, trees: BoostedTrees | None = None) -> DataFrame:
 def redact(docs: DataFrame, trees: BoostedTrees | None = None, mask: str = "[{}]") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; other columns stay.
 
-    Overlapping spans (two base kinds on one stretch) are replaced once, by
-    the kind that starts first.  A null text stays null.
+    Of overlapping spans the one that starts first is replaced, and the rest
+    of the others is taken out with it.  A null text stays null.
     """
-    columns = docs.columns
-    found = find_spans(docs.select("*", F.lit(None).alias("_clash")).drop("_clash"), trees)
+    left, right = mask.split("{}")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # keeps clashing names apart
+    found = find_spans(docs.select(row, "text"), trees)
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(F.col("text"), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
+        return F.when(
+            s["start"] >= acc["at"],
+            F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(left), s["kind"], F.lit(right)).alias("out")),
+        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+
     built = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.concat(F.lit(mask.split("{}")[0]), s["kind"], F.lit(mask.split("{}")[1]))).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.lit(2147483647))),
+        step,
+        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.length("text"))),
     )
-    return found.withColumn("text", F.when(F.size("spans") > 0, built).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in columns])
+    text = F.when(F.size("spans") > 0, built).otherwise(F.col("text")).alias("text")
+    return found.select(*[text if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

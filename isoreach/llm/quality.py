@@ -131,7 +131,8 @@ def score_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
     text = F.coalesce(F.col("text"), F.lit(""))
     stage = docs.select("doc_id", text.alias("_t"), words_of(text).alias("_w"))
     # 3-word windows; the last two, which would reach past the end, are cut off
-    windows = F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, 2147483647).alias("b"), F.slice("_w", 3, 2147483647).alias("c"))
+    ahead = lambda k: F.slice("_w", F.lit(k + 1), F.greatest(F.size("_w") - k, F.lit(0)))
+    windows = F.arrays_zip(F.col("_w").alias("a"), ahead(1).alias("b"), ahead(2).alias("c"))
     grams = F.transform(F.slice(windows, F.lit(1), F.greatest(F.size("_w") - 2, F.lit(0))), lambda x: F.xxhash64(x["a"], x["b"], x["c"]))
     stage = stage.select(
         "doc_id",
