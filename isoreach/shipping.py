@@ -11,9 +11,18 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows of whole texts that an Arrow batch holds at most; long texts are many bytes.
+ARROW_ROWS = 500
+
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the session's Python files, once per application."""
+    """Add the package to the session's Python files, once per application.
+
+    Arrow batches are kept short too, as their rows hold whole texts.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
