@@ -29,7 +29,7 @@ class Encoder:
     special token are encoded whole by ``tokenizers``.
     """
 
-    def __init__(self, path: str, limit: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 250_000, longest: int = 48):
         import json
 
         import tiktoken
