@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.scratch import Scratch
 from isoreach.llm.textrows import Rolling, anchors, covered, mix, row_key, signed, slices, word_hashes
+from isoreach.scratch import Scratch
 
 SEGMENTS = "doc_id long, fp long, a int, b int, g long, u1 long, u2 long"
 WINDOWS = "u1 long, u2 long, at int, w1 long, w2 long"
@@ -153,11 +153,15 @@ def find(docs: DataFrame, what: Repeats, segs: DataFrame, scratch: Scratch) -> D
     hits = windows.where("open").join(grouped, ["w1", "w2"]).where(again)
     hits = hits.groupBy("u1", "u2").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
-    repeated = F.col("doc_id") > F.col("rep.doc_id") if what.earlier else F.col("n") > 1
-    whole = segs.join(by_union.select("u1", "u2", "rep", "n"), ["u1", "u2"]).where(repeated).select("doc_id", "fp", "a", "b", F.lit(None).cast("array<int>").alias("at"))
-    own = F.col("doc_id") == F.col("first")
-    part = segs.join(hits.join(by_union.select("u1", "u2", F.col("rep.doc_id").alias("first")), ["u1", "u2"]), ["u1", "u2"]).where(own).select("doc_id", "fp", "a", "b", "at")
-    return whole.unionByName(part).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("a", "b", "at")).alias("marks"))
+    # unions that mark anything: repeated ones, and those with repeated windows
+    marking = by_union.join(hits, ["u1", "u2"], "left").where("n > 1 or at is not null").select("u1", "u2", F.col("rep.doc_id").alias("first"), "n", "at")
+    marking = scratch.table(marking, "marking")
+    scratch.drop("edges", "chosen", "windows", "grouped")
+    whole = F.col("doc_id") > F.col("first") if what.earlier else F.col("n") > 1
+    own = F.col("at").isNotNull() & (F.col("doc_id") == F.col("first"))
+    placed = segs.join(marking, ["u1", "u2"]).where(whole | own)
+    mark = F.struct("a", "b", F.when(~whole, F.col("at")).alias("at"))
+    return placed.groupBy("doc_id", "fp").agg(F.collect_list(mark).alias("marks"))
 
 
 def removed(marks: list[dict], n: int, window: int) -> np.ndarray:

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from isoreach.llm import decontamination, language, near_dedup, pii, quality, sharding, substring_dedup, suffix_dedup, tier_packing, token_rows
+from isoreach.llm import decontamination, language, near_dedup, pii, quality, sharding, sketch, substring_dedup, suffix_dedup, tier_packing, token_rows
 from isoreach.llm.tokens import default_vocabulary, encoder
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -85,10 +85,10 @@ def test_sketch_never_underestimates():
     rng = np.random.default_rng(1)
     grams = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
     grams[2500:2600] = grams[:100]
-    for row in range(substring_dedup.ROWS):
-        n = Counter(substring_dedup.cells(grams, row, 16).tolist())
-        assert all(n[c] >= 2 for c in substring_dedup.cells(grams[:100], row, 16).tolist())
-    assert substring_dedup.sketch_bits(0) == 16 and substring_dedup.sketch_bits(1 << 60) == substring_dedup.LARGEST_BITS
+    for row in range(sketch.ROWS):
+        n = Counter(sketch.cells(grams, row, 16).tolist())
+        assert all(n[c] >= 2 for c in sketch.cells(grams[:100], row, 16).tolist())
+    assert sketch.sketch_bits(0, 120) == 16 and sketch.sketch_bits(1 << 60, 120) == sketch.LARGEST_BITS
 
 
 def test_suffixes(docs):
