@@ -12,6 +12,7 @@ are passed over first.
 
 from __future__ import annotations
 
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,7 @@ class _Plain(WordHashes):
     """Hashes of words in lower case without punctuation at their ends."""
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = xxhash.xxh3_64_intdigest(word.lower().strip(b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""))
+        value = xxhash.xxh3_64_intdigest(word.decode().lower().strip(string.punctuation).encode())
         if len(self) < self.LIMIT and len(word) <= 64:
             self[word] = value
         return value
