@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from isoreach.functions import ids
+from isoreach.functions import dates, ids
 from isoreach.graph.islands import renumbered
 from isoreach.operators import opportunities as opp
 from isoreach.operators import overture, schedules as sched, taxonomy
@@ -196,6 +196,16 @@ def date_maps(spark, sf_dir):
     return out.select("service_id", text.alias("dates"))
 
 
+def mapped_departures(spark, sf_dir):
+    """Departures moved onto picked dates and back."""
+    s = schedules(spark, sf_dir).where("route = 'purchase'")
+    picks = F.create_map(F.lit("2024-01-05").cast("date"), F.lit("2024-02-02").cast("date"), F.lit("2024-01-06").cast("date"), F.lit("2023-12-30").cast("date"))
+    there = dates.onto_date(F.col("departure"), picks)
+    out = s.select("edge_id", "departure", there.alias("there"), dates.back_to_date(there, F.col("departure"), there).alias("back"), F.size(dates.tolerance_window(F.to_date("departure"), F.lit("2024-01-10").cast("date"), F.lit("2024-01-20").cast("date"), 3)).alias("days"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("edge_id", text("departure"), text("there"), text("back"), "days")
+
+
 def route_windows(spark, sf_dir):
     """Flex zone windows that are open at a time of day."""
     e = table(spark, sf_dir, "events")
@@ -233,5 +243,9 @@ u AS (SELECT s, d FROM c UNION SELECT 'ASIA', d FROM x WHERE a) SELECT s AS serv
     "date_maps": (date_maps, """WITH a AS (SELECT DISTINCT o_orderpriority AS s, CAST(o_orderdate AS DATE) AS d FROM orders WHERE day(o_orderdate) = 5), t AS (SELECT * FROM (VALUES (DATE '1996-03-01'), (DATE '1997-07-04')) v(t)),
 c AS (SELECT s, t, d, abs(date_diff('day', t, d)) AS w, CASE WHEN d = t THEN 0 WHEN dayofweek(d) = dayofweek(t) THEN 1 ELSE 2 END AS k FROM a CROSS JOIN t), p AS (SELECT s, t, arg_min(d, (k, w, d)) AS d FROM c WHERE w <= 60 GROUP BY 1, 2)
 SELECT s AS service_id, string_agg(CAST(t AS VARCHAR) || '>' || CAST(d AS VARCHAR), ',' ORDER BY t) AS dates FROM p GROUP BY 1"""),
+    "mapped_departures": (mapped_departures, """WITH s AS (SELECT user_id AS edge_id, date_trunc('second', ts) AS d FROM events WHERE event_type = 'purchase'),
+t AS (SELECT *, d + to_days(CAST(CASE CAST(d AS DATE) WHEN DATE '2024-01-05' THEN 28 WHEN DATE '2024-01-06' THEN -7 ELSE 0 END AS INTEGER)) AS there FROM s)
+SELECT edge_id, strftime(d, '%Y-%m-%d %H:%M:%S') AS departure, strftime(there, '%Y-%m-%d %H:%M:%S') AS there, strftime(d, '%Y-%m-%d %H:%M:%S') AS back,
+ CAST(greatest(0, 1 + date_diff('day', greatest(DATE '2024-01-10', CAST(d AS DATE) - 3), least(DATE '2024-01-20', CAST(d AS DATE) + 3))) AS INTEGER) AS days FROM t"""),
     "route_windows": (route_windows, "WITH e AS (SELECT event_type, hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS n, CASE WHEN user_id % 3 <> 0 THEN 28800 ELSE 0 END AS a, CASE WHEN user_id % 2 <> 0 THEN 64800 ELSE 86399 END AS b FROM events) SELECT event_type, count(*) AS n FROM e WHERE n >= a AND n < b GROUP BY 1"),
 }
