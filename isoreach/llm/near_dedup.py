@@ -115,8 +115,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words_each: int, percent: int)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    used = texts.join(ends, "doc_id", "left_semi")
-    both = pairs.join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    # merge joins at every size, so that what is shuffled follows the input
+    used = texts.join(ends.hint("merge"), "doc_id", "left_semi")
+    both = pairs.hint("merge").join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
@@ -136,9 +137,9 @@ def near_duplicates(docs: DataFrame, words_each: int = 2, percent: int = 80) ->
     same = full.join(classes, ["s1", "s2", "n_shingles"]).where("doc_id <> rep.doc_id").select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("b"))
     reps = full.join(classes.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.fp").alias("fp"), F.col("s1").alias("_1"), F.col("s2").alias("_2")), ["doc_id", "fp"])
     reps = reps.where("s1 = _1 and s2 = _2")  # a repeated row stays, and adds nothing to the distinct pairs
-    rows = reps.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
+    rows = reps.select(F.posexplode("bands").alias("band", "key"), "doc_id", "n_shingles")
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
-    buckets = scratch.table(rows.join(shared, "key"), "buckets")
+    buckets = scratch.table(rows.join(shared.hint("merge"), "key"), "buckets")
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     leads = buckets.where("doc_id = lead").select("key", F.col("n_shingles").alias("n_a")).distinct()
     stars = buckets.where("doc_id <> lead").join(leads, "key").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"), "n_a", F.col("n_shingles").alias("n_b"))
@@ -147,13 +148,16 @@ def near_duplicates(docs: DataFrame, words_each: int = 2, percent: int = 80) ->
     links = scratch.table(confirmed(stars, texts, words_each, percent).union(same).distinct(), "links")
     first = components(links, "a", "b")
 
-    member = buckets.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    member = buckets.join(first.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("key", "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     member = scratch.table(member, "members")
     parts = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    mixed = member.join(parts.where("parts > 1").select("key", F.col("top.component").alias("main")), "key")
-    minor = mixed.where("component <> main").select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"))
-    major = mixed.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), (F.col("component") == F.col("main")).alias("of_main"))
-    rest = major.join(minor, "key").where("c_a <> c_b and (of_main or a < b)").where(sizes)
+    mixed = member.join(parts.where("parts > 1").select("key", F.col("top.component").alias("main")).hint("merge"), "key")
+    mixed = scratch.table(mixed.join(reps.select("doc_id", "bands").dropDuplicates(["doc_id"]).hint("merge"), "doc_id"), "mixed")
+    minor = mixed.where("component <> main").select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"), F.col("bands").alias("bands_b"))
+    major = mixed.select("key", "band", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), (F.col("component") == F.col("main")).alias("of_main"), F.col("bands").alias("bands_a"))
+    # two documents can share many buckets: only that of their first equal band pairs them
+    earlier = F.arrays_overlap(F.slice("bands_a", F.lit(1), F.col("band")), F.slice("bands_b", F.lit(1), F.col("band")))
+    rest = major.join(minor, "key").where("c_a <> c_b and (of_main or a < b)").where(sizes).where(~earlier)
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = scratch.table(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     found = scratch.table(confirmed(rest, texts, words_each, percent), "found")
