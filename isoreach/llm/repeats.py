@@ -10,8 +10,10 @@ the stretch they cover together.
    the segment are.
 2. Where not even the anchor's gram is repeated, no window of the segment is.
 3. What is left are segments at the edges of repeated passages.  For their
-   grams, each different union once gives its windows, which are grouped one
-   by one.
+   grams, each different union once is cut into blocks of windows (by their
+   distance to the anchor), and the same two tests are made with blocks: their
+   union, and the core that all windows of a block share.  Blocks that are
+   still open give their windows, which are grouped one by one.
 
 Hashes have 128 bits wherever equality decides.  Groups are only counted and
 reduced to a least document, with partial aggregation, never collected.
@@ -24,14 +26,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoreach.llm.textrows import Rolling, anchors, covered, mix, row_key, signed, slices, word_hashes
 from isoreach.scratch import Scratch
 
 SEGMENTS = "doc_id long, fp long, a int, b int, g long, u1 long, u2 long"
-WINDOWS = "u1 long, u2 long, at int, w1 long, w2 long"
+PIECES = "u1 long, u2 long, piece binary"
+BLOCKS = "u1 long, u2 long, lo int, hi int, c long, b1 long, b2 long"
+WINDOWS = "b1 long, b2 long, at int, w1 long, w2 long"
+BLOCK = 16  # windows of a block
 
 
 @dataclass(frozen=True)
@@ -47,9 +52,9 @@ class Repeats:
     gram: int
     earlier: bool
 
-    def symbols(self, text: str | None):
+    def symbols(self, text: str | bytes | None):
         """The units of a text and their 64-bit symbols; none for null."""
-        raw = (text or "").encode()
+        raw = text if isinstance(text, bytes) else (text or "").encode()
         if self.by_words:
             words = raw.split()
             return words, word_hashes.of(words)
@@ -106,26 +111,76 @@ def segments(docs: DataFrame, what: Repeats, wanted: Callable[[np.ndarray], np.n
     return docs.select(*row_key(), "text").mapInArrow(run, SEGMENTS)
 
 
-def edge_windows(docs: DataFrame, chosen: DataFrame, what: Repeats) -> DataFrame:
-    """Windows of chosen segments, one row each; ``at`` counts from the segment's start."""
+def _pieces(docs: DataFrame, chosen: DataFrame, what: Repeats) -> DataFrame:
+    """The stretch of text under each chosen segment."""
     listed = chosen.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("a", "b", "u1", "u2")).alias("segs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            out: list[list] = [[], [], []]
             for text, segs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first, second = what.hashes(what.symbols(text)[1])
-                a, n = np.array([s["a"] for s in segs]), np.array([s["b"] - s["a"] + 1 for s in segs])
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = np.repeat(a, n) + at
-                u1, u2 = (np.repeat(np.array([s[k] for s in segs], np.int64), n) for k in ("u1", "u2"))
-                for column, values in zip(out, (u1, u2, at.astype(np.int32), signed(first.of(start, start + what.window)), signed(second.of(start, start + what.window))), strict=True):
+                raw = text.encode()
+                words = raw.split() if what.by_words else None
+                for s in segs:
+                    to = s["b"] + what.window
+                    piece = b" ".join(words[s["a"] : to]) if what.by_words else raw[s["a"] : to]
+                    for column, value in zip(out, (s["u1"], s["u2"], piece), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["u1", "u2", "piece"])
+
+    rows = docs.select(*row_key(), "text").join(listed.hint("merge"), ["doc_id", "fp"]).select("text", "segs")
+    return rows.mapInArrow(run, PIECES)
+
+
+def _blocks(pieces: DataFrame, what: Repeats) -> DataFrame:
+    """Blocks of windows, aligned to the anchor, with the hashes of core and union."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for u1, u2, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first, second = what.hashes(what.symbols(piece)[1])
+                anchor = what.grams(first)[1]
+                at = int(anchor[0])
+                block = (at - np.arange(len(anchor))) // BLOCK
+                lo = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                hi = np.concatenate([lo[1:], [len(anchor)]]) - 1
+                last = at - block[lo] * BLOCK  # start of the last window of the whole block
+                core = signed(first.of(last, last - BLOCK + 1 + what.window))
+                to, n = hi + what.window, len(lo)
+                for column, values in zip(out, (np.full(n, u1), np.full(n, u2), lo.astype(np.int32), hi.astype(np.int32), core, signed(first.of(lo, to)), signed(second.of(lo, to))), strict=True):
                     column.append(values)
-            if out[0]:
-                yield _table(out, WINDOWS)
+            yield _table(out, BLOCKS)
 
-    rows = docs.select(*row_key(), "text").join(listed, ["doc_id", "fp"]).select("text", "segs")
-    return rows.mapInArrow(run, WINDOWS)
+    return pieces.mapInArrow(run, BLOCKS)
+
+
+def _windows(pieces: DataFrame, chosen: DataFrame, what: Repeats) -> DataFrame:
+    """Windows of chosen blocks, one row each; ``at`` counts from the block's start."""
+    listed = chosen.groupBy("u1", "u2").agg(F.collect_list(F.struct("lo", "hi", "b1", "b2")).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for piece, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first, second = what.hashes(what.symbols(piece)[1])
+                for part in parts:
+                    start = np.arange(part["lo"], part["hi"] + 1)
+                    n, to = len(start), start + what.window
+                    for column, values in zip(out, (np.full(n, part["b1"]), np.full(n, part["b2"]), np.arange(n, dtype=np.int32), signed(first.of(start, to)), signed(second.of(start, to))), strict=True):
+                        column.append(values)
+            yield _table(out, WINDOWS)
+
+    return pieces.join(listed.hint("merge"), ["u1", "u2"]).select("piece", "parts").mapInArrow(run, WINDOWS)
+
+
+def _still_open(groups: DataFrame, by: str, what: Repeats, wanted: Column) -> DataFrame:
+    """Values of ``by`` that hold an open and wanted group with a possible partner."""
+    if what.earlier:
+        found = groups.groupBy(by).agg(F.min("rep.doc_id").alias("least"), F.max("rep.doc_id").alias("most"), F.bool_or(wanted).alias("any"))
+        return found.where("least < most and any").select(by, "least")
+    found = groups.groupBy(by).agg(F.sum("n").alias("all"), F.bool_or(wanted & (F.col("n") == 1)).alias("any"))
+    return found.where("all > 1 and any").select(by)
 
 
 def find(docs: DataFrame, what: Repeats, segs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -136,30 +191,39 @@ def find(docs: DataFrame, what: Repeats, segs: DataFrame, scratch: Scratch) -> D
     """
     place = F.struct("doc_id", "fp", "a", "b")
     by_union = scratch.table(segs.groupBy("u1", "u2", "g").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("n")), "unions")
-    if what.earlier:
-        edges = by_union.groupBy("g").agg(F.min("rep.doc_id").alias("least"), F.max("rep.doc_id").alias("most")).where("least < most")
-        open_union = F.col("rep.doc_id") > F.col("least")
-    else:
-        edges = by_union.groupBy("g").agg(F.sum("n").alias("all"), F.min("n").alias("fewest")).where("all > 1 and fewest = 1")
-        open_union = F.col("n") == 1
     # written tables on both sides of a join can be dealt anew where a key is hot
-    chosen = by_union.join(scratch.table(edges, "edges"), "g").select("u1", "u2", "rep.*", open_union.alias("open"))
-    chosen = scratch.table(chosen, "chosen")
-    windows = scratch.table(edge_windows(docs, chosen, what), "windows")
-    windows = windows.join(chosen.select("u1", "u2", "doc_id", "open"), ["u1", "u2"])
+    edges = scratch.table(_still_open(by_union, "g", what, F.lit(True)), "edges")
+    is_open = F.col("rep.doc_id") > F.col("least") if what.earlier else F.col("n") == 1
+    chosen = scratch.table(by_union.join(edges, "g").select("u1", "u2", "rep.*", is_open.alias("open")), "chosen")
+    pieces = scratch.table(_pieces(docs, chosen, what), "pieces")
+    blocks = _blocks(pieces, what).join(chosen.select("u1", "u2", "doc_id", "open").hint("merge"), ["u1", "u2"])
+    blocks = scratch.table(blocks, "blocks")
+
+    spot = F.struct("doc_id", "u1", "u2", "lo", "hi")
+    by_block = scratch.table(blocks.groupBy("c", "b1", "b2").agg(F.min(spot).alias("rep"), F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("wanted")), "by_block")
+    edges = scratch.table(_still_open(by_block, "c", what, F.col("wanted")), "block_edges")
+    narrowed = by_block.join(edges, "c").select("b1", "b2", "rep.*", is_open.alias("open"))
+    narrowed = scratch.table(narrowed, "narrowed")
+    windows = _windows(pieces, narrowed, what).join(narrowed.select("b1", "b2", "doc_id", "open").hint("merge"), ["b1", "b2"])
+    windows = scratch.table(windows, "windows")
     grouped = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1")
     grouped = scratch.table(grouped, "grouped")
     again = F.col("least") < F.col("doc_id") if what.earlier else F.lit(True)
-    hits = windows.where("open").join(grouped, ["w1", "w2"]).where(again)
-    hits = hits.groupBy("u1", "u2").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    single = windows.where("open").select("b1", "b2", "at", "w1", "w2", "doc_id").join(grouped, ["w1", "w2"]).where(again)
+    single = single.groupBy("b1", "b2").agg(F.collect_set("at").alias("some"))
+
+    marked = blocks.where("open").join(by_block.select("b1", "b2", F.col("rep.doc_id").alias("first"), "n").hint("merge"), ["b1", "b2"]).join(single.hint("merge"), ["b1", "b2"], "left")
+    all_of = F.col("doc_id") > F.col("first") if what.earlier else F.col("n") > 1
+    starts = F.when(all_of, F.sequence("lo", "hi")).otherwise(F.transform("some", lambda i: F.col("lo") + i))
+    hits = marked.where(all_of | F.col("some").isNotNull()).groupBy("u1", "u2").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(starts)))).alias("at"))
 
     # unions that mark anything: repeated ones, and those with repeated windows
-    marking = by_union.join(hits, ["u1", "u2"], "left").where("n > 1 or at is not null").select("u1", "u2", F.col("rep.doc_id").alias("first"), "n", "at")
+    marking = by_union.join(hits.hint("merge"), ["u1", "u2"], "left").where("n > 1 or at is not null").select("u1", "u2", F.col("rep.doc_id").alias("first"), "n", "at")
     marking = scratch.table(marking, "marking")
-    scratch.drop("edges", "chosen", "windows", "grouped")
+    scratch.drop("edges", "chosen", "pieces", "blocks", "by_block", "block_edges", "narrowed", "windows", "grouped")
     whole = F.col("doc_id") > F.col("first") if what.earlier else F.col("n") > 1
     own = F.col("at").isNotNull() & (F.col("doc_id") == F.col("first"))
-    placed = segs.join(marking, ["u1", "u2"]).where(whole | own)
+    placed = segs.join(marking.hint("merge"), ["u1", "u2"]).where(whole | own)
     mark = F.struct("a", "b", F.when(~whole, F.col("at")).alias("at"))
     return placed.groupBy("doc_id", "fp").agg(F.collect_list(mark).alias("marks"))
 
@@ -179,4 +243,4 @@ def removed(marks: list[dict], n: int, window: int) -> np.ndarray:
 
 def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """(doc_id, text, marks) of every document."""
-    return docs.select(*row_key(), "text").join(marks, ["doc_id", "fp"], "left").select("doc_id", "text", "marks")
+    return docs.select(*row_key(), "text").join(marks.hint("merge"), ["doc_id", "fp"], "left").select("doc_id", "text", "marks")
