@@ -92,7 +92,7 @@ def split_speeds(spark, sf_dir):
     lo = (F.col("l_linenumber") - 1) / 7.0
     limit = F.struct("l_linenumber", F.struct(lo.alias("lo"), (lo + 0.25).alias("hi")).alias("between"), F.col("l_quantity").alias("mph"))
     rows = lines.select("l_orderkey", limit.alias("s")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("s")).alias("limits"))
-    return rows.select("l_orderkey", F.round(overture.split_speed(F.col("limits"), F.lit(0.2), F.lit(0.7)), 4).alias("mph"))
+    return rows.select("l_orderkey", F.round(overture.split_speed(F.col("limits"), F.lit(0.2), F.lit(0.7)) + 1e-8, 6).alias("mph"))
 
 
 def nearest_vertex(spark, sf_dir):
@@ -235,7 +235,7 @@ a AS (SELECT l_orderkey, d.dir, coalesce(bool_or(den AND h = dir), false) AS hd,
 b AS (SELECT l_orderkey, dir, CASE WHEN hd THEN ha ELSE ha OR ga OR NOT gd END AS ok FROM a)
 SELECT l_orderkey, bool_or(ok) FILTER (dir = 'forward') AS forward, bool_or(ok) FILTER (dir = 'backward') AS backward FROM b GROUP BY 1"""),
     "split_speeds": (split_speeds, """WITH l AS (SELECT l_orderkey, l_quantity AS mph, greatest(0, least((l_linenumber - 1) / 7.0 + 0.25, 0.7) - greatest((l_linenumber - 1) / 7.0, 0.2)) AS o FROM lineitem)
-SELECT l_orderkey, round(CASE WHEN sum(o) >= 1e-6 THEN sum(o * mph) / sum(o) END, 4) AS mph FROM l GROUP BY 1"""),
+SELECT l_orderkey, round(CASE WHEN sum(o) >= 1e-6 THEN sum(o * mph) / sum(o) END + CAST(1e-8 AS DOUBLE), 6) AS mph FROM l GROUP BY 1"""),
     "nearest_vertex": (nearest_vertex, f"WITH {PLACES_SQL}, d AS (SELECT s_suppkey, vertex_id, sqrt(power(vx - x, 2) + power(vy - y, 2)) AS d FROM s CROSS JOIN v) SELECT s_suppkey, arg_min(vertex_id, (d, vertex_id)) AS vertex_id, round(min(d), 9) AS distance FROM d GROUP BY 1"),
     "nearest_in_range": (nearest_in_range, f"WITH {PLACES_SQL}, d AS (SELECT s_suppkey, vertex_id, {HAVERSINE.format(x1='x', y1='y', x2='vx', y2='vy')} AS d FROM s CROSS JOIN v) SELECT s_suppkey, arg_min(vertex_id, (d, vertex_id)) AS vertex_id, round(min(d), 3) AS distance FROM d GROUP BY 1 HAVING min(d) <= 300"),
     "overlay_exactly_one": (overlay_exactly_one, f"WITH {PLACES_SQL}, {ZONE_SQL} SELECT vertex_id, min(zone_id) AS zone_id FROM hit GROUP BY 1 HAVING count(*) = 1"),
