@@ -1,13 +1,15 @@
 """Benchmark passages in documents, by SimHash of item-sized windows.
 
-A window of an item's length gets a 64-bit SimHash of its shingles.  The
-fingerprints of the items are indexed by blocks: two fingerprints within the
-radius agree, in some block, up to the radius divided by the number of blocks,
-and every block value that near is in the index.  Candidates within the radius
-are verified by the exact weighted similarity of their shingles.
-
-Windows without any shingle of the benchmark cannot reach the similarity and
-are passed over first.
+A window of an item's length gets a 64-bit SimHash of its shingles.  It is
+compared with the fingerprints of all items that share a shingle with the text
+(others cannot reach the similarity), and candidates within the radius are
+verified by the exact weighted similarity of their shingles.
+
+The bits of a pair at similarity J differ with p = acos(2J / (1 + J)) / pi.  By
+the binomial tail a pair at 0.8 is beyond the radius with probability 1e-5
+(0.85: 6e-7).
+
+Windows without any shingle of the benchmark are passed over first.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,7 @@ from pyspark.sql import functions as F
 from isoreach.llm.textrows import WordHashes, mix, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
-RADIUS, BLOCKS = 15, 4
-BLOCK_BITS = 64 // BLOCKS
+RADIUS = 23
 BLOCK_BYTES = 16 << 20  # benchmark text per pass over the documents, at most
 FILTER_BITS = 22
 
@@ -71,14 +71,9 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def near_values(bits: int, radius: int) -> np.ndarray:
-    """All masks of up to ``radius`` set bits."""
-    return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.int64)
-
-
 @dataclass
 class Items:
-    """The items of one pass, their shingles and the block index of their fingerprints."""
+    """The items of one pass, their shingles and fingerprints."""
 
     ids: list[int]
     sizes: np.ndarray  # words
@@ -86,7 +81,6 @@ class Items:
     grams: list[Counter]
     prints: np.ndarray
     known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # step -> sorted hashes, filter, items' rows by hash
-    index: list[tuple[np.ndarray, np.ndarray]]  # block -> offsets, items
 
     @staticmethod
     def of(rows: list[tuple[int, str]]) -> Items:
@@ -112,22 +106,14 @@ class Items:
             table = np.zeros(1 << FILTER_BITS, bool)
             table[(g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
             known[k] = (g, table, np.array([p[1] for p in found]))
-        prints = np.array(prints, np.uint64)
-        index, masks = [], near_values(BLOCK_BITS, RADIUS // BLOCKS)
-        for b in range(BLOCKS):
-            value = ((prints >> np.uint64(b * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
-            near = (value[:, None] ^ masks[None, :]).ravel()
-            order = np.argsort(near, kind="stable")
-            offsets = np.searchsorted(near[order], np.arange((1 << BLOCK_BITS) + 1))
-            index.append((offsets, (order // len(masks)).astype(np.int32)))
-        return Items(ids, np.array(sizes), np.array(steps), grams, prints, known, index)
-
-    def candidates(self, value: int) -> dict[int, int]:
-        """Items (by row) within the radius of a fingerprint, with their distance."""
-        rows = [items[offsets[v] : offsets[v + 1]] for b, (offsets, items) in enumerate(self.index) for v in [(value >> (b * BLOCK_BITS)) & ((1 << BLOCK_BITS) - 1)]]
-        rows = np.unique(np.concatenate(rows))
+        return Items(ids, np.array(sizes), np.array(steps), grams, np.array(prints, np.uint64), known)
+
+    def candidates(self, value: int, rows: np.ndarray | None = None) -> dict[int, int]:
+        """Items (by row, of ``rows`` or all) within the radius of a fingerprint, with their distance."""
+        rows = np.arange(len(self.ids)) if rows is None else rows
         far = np.bitwise_count(self.prints[rows] ^ np.uint64(value))
-        return {int(r): int(d) for r, d in zip(rows, far, strict=True) if d <= RADIUS}
+        near = far <= RADIUS
+        return dict(zip(rows[near].tolist(), far[near].tolist(), strict=True))
 
     def search(self, text: str | None) -> dict[int, tuple[float, int, int, int]]:
         """Best (similarity, start, words, distance) of each matching item in a text."""
@@ -144,11 +130,11 @@ class Items:
                 continue
             owners = np.unique(np.concatenate([owner[a:b] for a, b in zip(np.searchsorted(g, h[at], "left"), np.searchsorted(g, h[at], "right"), strict=True)]))
             for size in np.unique(self.sizes[owners]).tolist():
-                self._windows(h, at, k, min(size, len(x)), size, best)
+                self._windows(h, at, k, min(size, len(x)), owners[self.sizes[owners] == size], best)
         return best
 
-    def _windows(self, h: np.ndarray, at: np.ndarray, k: int, width: int, size: int, best: dict) -> None:
-        """Windows of ``width`` words that hold one of the shingles ``at``."""
+    def _windows(self, h: np.ndarray, at: np.ndarray, k: int, width: int, rows: np.ndarray, best: dict) -> None:
+        """Windows of ``width`` words that hold one of the shingles ``at``, against the items ``rows``."""
         n = width - k + 1
         last = len(h) - n
         starts = np.unique(np.clip(at[:, None] - np.arange(n)[None, :], 0, last))
@@ -160,9 +146,10 @@ class Items:
             seen: dict[int, dict[int, int]] = {}
             for start, value in zip(part.tolist(), prints.tolist(), strict=True):
                 if value not in seen:
-                    seen[value] = {r: d for r, d in self.candidates(value).items() if self.sizes[r] == size and self.steps[r] == k}
+                    seen[value] = self.candidates(value, rows)
+                mine = Counter(h[start : start + n].tolist()) if seen[value] else None
                 for row, distance in seen[value].items():
-                    mine, other = Counter(h[start : start + n].tolist()), self.grams[row]
+                    other = self.grams[row]
                     both = sum(min(c, other[s]) for s, c in mine.items() if s in other)
                     similarity = both / (mine.total() + other.total() - both)
                     if similarity >= SIMILARITY and (row not in best or similarity > best[row][0]):

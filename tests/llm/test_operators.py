@@ -362,6 +362,19 @@ def test_hamming_blocks_find_all():
         assert row in items.candidates(far)
 
 
+def test_edited_passages_are_found():
+    rng = np.random.default_rng(11)
+    items = [(k, [f"w{rng.integers(10**6)}" for _ in range(100)]) for k in range(40)]
+    built = decontamination.Items.of([(k, " ".join(x)) for k, x in items])
+    for k, x in items:
+        for trial in range(30):
+            edited = list(x)
+            at = int(rng.integers(5, 40))  # two words of 100: 86 of 96 shingles stay, a similarity of 0.811
+            edited[at], edited[at + 50] = f"x{trial}", f"y{trial}"
+            similarity, start, _, _ = built.search(" ".join(["before", *edited, "after"])).get(k, (0, 0, 0, 0))
+            assert 0.8 <= similarity <= 0.85 and start == 1
+
+
 def run_all(df, spark):
     bench = spark.createDataFrame([(1, "some words of a benchmark item here")], "item_id long, text string")
     return {
