@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoreach.functions.geometry import envelope, haversine, in_ring, planar
+from isoreach.functions.geometry import EARTH_RADIUS_M, envelope, haversine, in_ring, planar
 
 #: Cells that one ring may be dealt over; larger rings need a larger cell.
 MAX_CELLS = 4096
@@ -35,14 +37,39 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float) -> DataFra
     return a.join(b, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius).select("l", "r", "distance")
 
 
+def nearest_in_meters(left: DataFrame, right: DataFrame, meters: float) -> DataFrame:
+    """(l, r, distance): the nearest right point within a great-circle distance.
+
+    Rows of cells are as high as the bound; each row has as many cells around
+    the globe as are surely as wide as the bound at the greatest latitude that
+    a pair with a point in the row can have.  So the 3 x 3 cells around a point
+    hold all points within the bound, also across the antimeridian.
+    """
+    half = min(max(meters, 1.0), math.pi * EARTH_RADIUS_M) / (2 * EARTH_RADIUS_M) * 1.001
+    height = math.degrees(2 * half)
+    greatest = F.least(F.lit(90.0), F.greatest(F.abs(F.col("cy") - 1), F.abs(F.col("cy") + 2)) * height)
+    bound = F.least(F.lit(1.0), F.lit(math.sin(min(half, math.pi / 2))) / F.greatest(F.cos(F.radians(greatest)), F.lit(1e-12)))
+    cells = F.greatest(F.lit(1), F.floor(F.lit(math.pi) / F.asin(bound)))
+    column = lambda x: F.floor((F.col(x) + 180) * F.col("n") / 360)
+    a = left.select("l", F.col("x").alias("lx"), F.col("y").alias("ly")).withColumn("cy", F.explode(around(cell_of(F.col("ly"), height)))).withColumn("n", cells)
+    a = a.withColumn("cx", F.explode(F.array_distinct(F.transform(around(column("lx")), lambda c: F.pmod(c, F.col("n"))))))
+    b = right.select("r", F.col("x").alias("rx"), F.col("y").alias("ry")).withColumn("cy", cell_of(F.col("ry"), height)).withColumn("n", cells)
+    b = b.withColumn("cx", F.pmod(column("rx"), F.col("n"))).drop("n")
+    exact = haversine(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry"))
+    near = a.join(b, ["cx", "cy"]).withColumn("distance", exact).where(F.col("distance") <= meters)
+    return near.groupBy("l").agg(F.min(F.struct("distance", "r")).alias("m")).select("l", "m.r", "m.distance")
+
+
 def nearest(left: DataFrame, right: DataFrame, cell: float, rounds: int = 12, meters: float | None = None) -> DataFrame:
     """(l, r, distance): the nearest right point of every left point.
 
     Left points look into squares of doubling cells until the nearest found is
     no farther than a square surely covers; ties go to the lower ``r``.
-    ``meters`` bounds the great-circle distance, and points beyond it drop out.
-    Distances are planar otherwise.
+    ``meters`` bounds the great-circle distance, and points beyond it drop out;
+    the cells then follow from the bound.  Distances are planar otherwise.
     """
+    if meters is not None:
+        return nearest_in_meters(left, right, meters)
     rest = left.select("l", F.col("x").alias("lx"), F.col("y").alias("ly"))
     out = None
     size = cell
@@ -51,16 +78,13 @@ def nearest(left: DataFrame, right: DataFrame, cell: float, rounds: int = 12, me
         a = rest.withColumn("cx", F.explode(around(cell_of(F.col("lx"), size)))).withColumn("cy", F.explode(around(cell_of(F.col("ly"), size))))
         b = right.select("r", F.col("x").alias("rx"), F.col("y").alias("ry")).withColumn("cx", cell_of(F.col("rx"), size)).withColumn("cy", cell_of(F.col("ry"), size))
         flat = planar(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry"))
-        exact = flat if meters is None else haversine(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry"))
-        near = a.join(b, ["cx", "cy"]).groupBy("l", "lx", "ly").agg(F.min(F.struct(exact.alias("distance"), F.col("r"), flat.alias("flat"))).alias("m"))
-        done = near if last else near.where(F.col("m.flat") <= size)
+        near = a.join(b, ["cx", "cy"]).groupBy("l", "lx", "ly").agg(F.min(F.struct(flat.alias("distance"), F.col("r"))).alias("m"))
+        done = near if last else near.where(F.col("m.distance") <= size)
         found = done.select("l", F.col("m.r").alias("r"), F.col("m.distance").alias("distance"))
         out = found if out is None else out.unionByName(found)
-        if meters is not None:
-            break
         rest = rest.join(found.select("l"), "l", "left_anti")
         size *= 4
-    return out if meters is None else out.where(F.col("distance") <= meters)
+    return out
 
 
 def points_in_rings(points: DataFrame, rings: DataFrame, ring_id: str, cell: float = 0.01) -> DataFrame:

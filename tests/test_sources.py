@@ -103,3 +103,15 @@ def test_stream_equals_batch(spark, tmp_path):
     closed = {r["window"]["start"]: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = {r["window"]["start"]: r["n"] for r in feeds.windowed(spark.read.parquet(str(tmp_path / "in"))).collect()}
     assert closed and closed.items() <= batch.items() and len(batch) == 6
+
+
+def test_matched_stops_cover_the_tolerance(spark):
+    from isoreach.sources.gtfs import matched_stops
+
+    places = {"far": (0.0, 10.0, 0.035, 10.0), "north": (20.02, 75.0, 20.0325, 75.0), "date line": (179.999, -40.0, -179.999, -40.0), "south": (50.0, -88.0, 50.1, -88.0)}
+    stops = spark.createDataFrame([(k, None, x, y) for k, (x, y, _, _) in places.items()], "stop_id string, parent_station string, stop_lon double, stop_lat double")
+    vertices = spark.createDataFrame([(i, x, y) for i, (_, _, x, y) in enumerate(places.values())], "vertex_id long, x double, y double")
+    got = lambda meters: {r["stop_id"]: r["vertex_id"] for r in matched_stops(stops, vertices, meters).collect()}
+    assert got(5000.0) == {"far": 0, "north": 1, "date line": 2, "south": 3}
+    assert got(500.0) == {"north": 1, "date line": 2, "south": 3}
+    assert got(300.0) == {"date line": 2}
