@@ -33,29 +33,65 @@ def weak_islands(edges: DataFrame, vertices: DataFrame, threshold_m: float) -> D
     return edges.join(small.select(F.col("node").alias("src")), "src", "left_semi").select(edges.columns)
 
 
-def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of strongly connected components; component: the least node.
 
-    Rounds of forward colouring: the least node that reaches a node is its
-    colour, and the nodes of one colour that reach back to that node form a
-    component and leave.
+    Before each round of colouring, nodes that no cycle reaches, or that reach
+    none, are trimmed as components of their own.  A node's colour is the first
+    node that reaches it, in an order by hash drawn anew each round; the nodes
+    of one colour that reach back to that node form a component and leave.
+    Each round settles one node at least, and rounds go on until none is left.
     """
     scratch = Scratch(edges.sparkSession, "strong")
     left = scratch.table(edges.select("src", "dst").where("src <> dst").distinct(), "edges0")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    rest, done = scratch.table(nodes, "nodes0"), None
-    for k in range(1, rounds + 1):
-        color = _spread(scratch, f"c{k}", rest.select("node", F.col("node").alias("color")), left)
-        same = left.join(color.select(F.col("node").alias("src"), F.col("color").alias("cs")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("cd")), "dst").where("cs = cd")
-        back = _reach_back(scratch, f"b{k}", color, same.select("src", "dst"))
-        found = scratch.table(back, f"found{k}")
-        done = found if done is None else done.unionByName(found)
+    rest = scratch.table(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes0")
+    k, forward, idle = 0, True, 0
+    while rest.limit(1).count():
+        k += 1
+        if idle < 2:  # trim from either end until neither finds a node
+            root = _open_ends(scratch, f"t{k}", rest, left if forward else left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("root", F.col("node"))
+            forward = not forward
+        else:
+            color = _spread(scratch, f"c{k}", rest.select("node", F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("id")).alias("color")), left)
+            color = color.select("node", F.col("color.id").alias("color"))
+            same = left.join(color.select(F.col("node").alias("src"), F.col("color").alias("cs")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("cd")), "dst").where("cs = cd")
+            root = _reach_back(scratch, f"b{k}", color, same.select("src", "dst")).withColumnRenamed("component", "root")
+        found = scratch.table(root.select("node", "root"), f"found/{k}")
+        if not found.limit(1).count():
+            idle += 1
+            continue
+        idle = 0
         rest = scratch.table(rest.join(found.select("node"), "node", "left_anti"), f"nodes{k}")
-        if not rest.limit(1).count():
-            return done
         left = left.join(rest.select(F.col("node").alias("src")), "src", "left_semi").join(rest.select(F.col("node").alias("dst")), "dst", "left_semi")
         left = scratch.table(left.select("src", "dst"), f"edges{k}")
-    raise RuntimeError(f"components remain after {rounds} rounds")
+    if not k:
+        return rest.withColumn("component", F.col("node"))
+    done = edges.sparkSession.read.schema(found.schema).parquet(f"{scratch.root}/found/*")
+    return done.join(done.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+
+
+def _open_ends(scratch: Scratch, tag: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes without an incoming edge, and the chains of single incoming edges behind them.
+
+    Pointers along a chain double with each written round, so a chain takes as
+    many rounds as the logarithm of its length.  Where a round resolves no
+    pointer, those that remain run in cycles.
+    """
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("up"))
+    at = nodes.join(into, "node", "left").select("node", F.when(F.col("n") == 1, F.col("up")).alias("up"), F.when(F.col("n").isNull(), True).when(F.col("n") > 1, False).alias("open"))
+    at, k = scratch.table(at, f"{tag}-0"), 0
+    waiting = at.where("open is null").count()
+    while waiting:
+        k += 1
+        ahead = at.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("open").alias("there"))
+        moved = at.where("open is null").select("node", "up").join(ahead, "up").select("node", F.col("next").alias("up"), F.col("there").alias("open"))
+        at = scratch.table(at.where("open is not null").unionByName(moved), f"{tag}-{k}")
+        scratch.drop(f"{tag}-{k - 1}")
+        now = at.where("open is null").count()
+        if now == waiting:
+            break
+        waiting = now
+    return at.where("open").select("node")
 
 
 def _spread(scratch: Scratch, tag: str, labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -64,7 +100,7 @@ def _spread(scratch: Scratch, tag: str, labels: DataFrame, edges: DataFrame) ->
     while True:
         k += 1
         near = edges.join(labels.select(F.col("node").alias("src"), "color"), "src").select(F.col("dst").alias("node"), "color")
-        new = labels.select("node", "color", F.col("color").alias("was")).unionByName(near.withColumn("was", F.lit(None).cast("long"))).groupBy("node").agg(F.min("color").alias("color"), F.max("was").alias("was"))
+        new = labels.select("node", "color", F.col("color").alias("was")).unionByName(near.withColumn("was", F.lit(None).cast(labels.schema["color"].dataType))).groupBy("node").agg(F.min("color").alias("color"), F.max("was").alias("was"))
         new = scratch.table(new, f"{tag}-{k}")
         moved = new.where("color <> was").limit(1).count()
         labels = new.select("node", "color")

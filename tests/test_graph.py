@@ -28,6 +28,27 @@ def test_strong_components(spark):
     assert {r["node"]: r["component"] for r in labels.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
 
 
+def test_strong_components_of_long_chains(spark):
+    ring = [(1000, 1001), (1001, 1002), (1002, 1000)]
+    chain = [(i, i + 1) for i in range(250)]
+    labels = islands.strong_components(frame(spark, [*chain, (250, 1000), *ring, (1001, 2000), *[(i, i + 1) for i in range(2000, 2250)]]))
+    want = {i: i for i in (*range(251), *range(2000, 2251))} | {1000: 1000, 1001: 1000, 1002: 1000}
+    assert {r["node"]: r["component"] for r in labels.collect()} == want
+
+
+def test_strong_components_equal_reachability(spark):
+    import random
+
+    rng = random.Random(5)
+    arcs = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(55)})
+    reach = {n: {n} for arc in arcs for n in arc}
+    for _ in reach:
+        for a, b in arcs:
+            reach[a] |= reach[b]
+    want = {n: min(m for m in reach[n] if n in reach[m]) for n in reach}
+    assert {r["node"]: r["component"] for r in islands.strong_components(frame(spark, arcs)).collect()} == want
+
+
 def test_islands_and_leaves(spark):
     edges = frame(spark, [(1, 2), (2, 1), (10, 11), (11, 10), (2, 3)])
     places = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.1, 0.0), (3, 0.2, 0.0), (10, 1.0, 1.0), (11, 1.00001, 1.0)], "vertex_id long, x double, y double")
