@@ -15,8 +15,8 @@ from isoreach.llm.textrows import slices
 FOLDS = 5
 BUCKETS = 112  # training documents per language, at most
 LONGEST = 4000  # characters of a training document, at most
-LANGUAGES = 64  # languages learned, at most: the most frequent ones
-AT_ONCE = 4096  # segments that go through the network together
+AT_ONCE = 4096  # segments that go through the network together, fewer beyond CLASSES_AT_ONCE
+CLASSES_AT_ONCE = 64
 UNDETERMINED = "und"
 
 
@@ -31,17 +31,19 @@ def held_out() -> Column:
 def fit(docs: DataFrame) -> Network | None:
     """Train on a bounded sample of labelled documents outside the held-out fold.
 
-    Each language's documents fall into ``BUCKETS`` buckets by a hash of their
-    doc_id, and each bucket gives its least hash: partial aggregation finds
-    them, whatever the size of a language.  None without any labelled text.
+    Every language is learned.  Its documents with a letter fall into
+    ``BUCKETS`` buckets by a hash of their doc_id, and each bucket gives its
+    least hash: partial aggregation finds them, whatever the size of a
+    language.  Of each document up to 4 segments of 96 bytes (``per_text`` of
+    ``train``), drawn from its first ``LONGEST`` characters, are learned from.
+    None without any labelled text.
     """
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.substring("text", 1, LONGEST).rlike(r"\p{L}"))
     hashed = known.select("lang", F.xxhash64("doc_id").alias("h")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    picked = hashed.groupBy("lang", "bucket").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("n"))
-    total = picked.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(LANGUAGES)
+    picked = hashed.groupBy("lang", "bucket").agg(F.min("h").alias("h"))
     rows = known.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, LONGEST).alias("text"))
     # a doc_id can repeat: the least text hash of each picked doc_id alone is taken
-    texts = rows.join(F.broadcast(picked.join(total, "lang").select("lang", "h")), ["lang", "h"]).where(F.col("text").rlike(r"\p{L}"))
+    texts = rows.join(F.broadcast(picked.select("lang", "h")), ["lang", "h"])
     texts = texts.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
     if not texts:
         return None
@@ -62,6 +64,7 @@ def predict(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("lan
     if net is None:
         return docs.select(*[F.col(f"`{c}`") for c in rest], *unknown)
     at = rest.index("text")
+    at_once = max(1, AT_ONCE * CLASSES_AT_ONCE // max(CLASSES_AT_ONCE, len(net.classes)))
     schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add(lang, "string").add(score_name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +79,11 @@ def predict(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("lan
 
             for i, text in enumerate(texts):
                 x, real = segments((text or "").lower().encode())
-                for part in range(0, len(x), AT_ONCE):
-                    held.append((x[part : part + AT_ONCE], real[part : part + AT_ONCE]))
+                for part in range(0, len(x), at_once):
+                    held.append((x[part : part + at_once], real[part : part + at_once]))
                     owner.append(np.full(len(held[-1][0]), i))
                     n += len(held[-1][0])
-                    if n >= AT_ONCE:
+                    if n >= at_once:
                         read(held, owner)
                         held, owner, n = [], [], 0
             if held:

@@ -248,6 +248,14 @@ def test_language(spark):
     assert got[1002]["lang_pred"] == "aa" and 0 <= got[1002]["score"] <= 1
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(4)
+    rows = [(k * 10 + i, "".join(rng.choice("abcdefghij ") for _ in range(20)), f"l{k:02d}") for k in range(70) for i in range(6)]
+    rows += [(10_000 + i, f"{i} 123 456", "rare") for i in range(3000)] + [(20_000 + i, "only these have letters", "rare") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language.fit(df).classes) == {f"l{k:02d}" for k in range(70)} | {"rare"}
+
+
 def test_gradient():
     """Backpropagation agrees with finite differences."""
     from isoreach.llm import recurrent
