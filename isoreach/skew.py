@@ -20,6 +20,8 @@ def join_spread(rows: DataFrame, other: DataFrame, keys: list[str], counts: Data
     key, where they are known already; ``rows`` should be a written table.
     """
     total = rows.count()
+    if total <= LEAST:
+        return rows.join(other.hint("merge"), keys, how)
     least = max(LEAST, total // SHARES)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts.select(*keys, "n")
     hot = F.broadcast(counts.where(F.col("n") > least).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("_parts")))
