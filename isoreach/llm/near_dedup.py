@@ -267,12 +267,29 @@ def near_duplicates(docs: DataFrame, words_each: int = 2, percent: int = 80) ->
     sets = scratch.table(reps.select("doc_id", "n_shingles", "parity").join(ids.hint("merge"), "doc_id", "left_semi"), "sets")
     texts = scratch.table(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
 
-    def check(pairs: DataFrame, tag: str) -> DataFrame:
-        return scratch.table(confirmed(scratch.table(pairs, f"likely_{tag}"), texts, words_each, percent), f"links_{tag}")
-
-    def placed(links: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    def check(pairs: DataFrame, tag: str) -> DataFrame | None:
+        """Confirmed links of likely pairs, if there are any."""
+        pairs = scratch.table(pairs, f"likely_{tag}")
+        if pairs.isEmpty():
+            return None
+        links = scratch.table(confirmed(pairs, texts, words_each, percent), f"links_{tag}")
+        return None if links.isEmpty() else links
+
+    def joined(labels: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+        """Labels after more links, which are followed between whole components."""
+        ends = renamed(links, labels)
+        moved = components(ends, "now_a", "now_b").select(F.col("node").alias("component"), F.col("component").alias("_to"))
+        nodes = labels.union(links.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("component")).join(labels.hint("merge"), "node", "left_anti").distinct())
+        return scratch.table(nodes.join(moved.hint("merge"), "component", "left").select("node", F.coalesce("_to", "component").alias("component")), f"labels_{tag}")
+
+    def renamed(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """``pairs`` with the components of both ends (``now_a``, ``now_b``)."""
+        for end in ("a", "b"):
+            pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"now_{end}")).hint("merge"), end, "left").withColumn(f"now_{end}", F.coalesce(f"now_{end}", end))
+        return pairs
+
+    def placed(labels: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
         """Members of buckets that hold several components, and those buckets."""
-        labels = components(links, "a", "b")
         member = buckets.join(labels.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
         member = scratch.table(member, f"members_{tag}")
         parts = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
@@ -280,30 +297,33 @@ def near_duplicates(docs: DataFrame, words_each: int = 2, percent: int = 80) ->
         mixed = join_spread(member, parts.select("key", "main"), ["key"], parts)
         return scratch.table(mixed.withColumn("minor", F.col("component") != F.col("main")).drop("main"), f"mixed_{tag}"), parts
 
-    links = check(likely(stars, sets, percent), "stars").union(same)
-    mixed, parts = placed(links, "first")
+    found = check(likely(stars, sets, percent), "stars")
+    links = same if found is None else same.union(found)
+    labels = scratch.table(components(links, "a", "b"), "labels")
+    mixed, parts = placed(labels, "first")
     degrees = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
     hubs = mixed.where(~F.col("minor")).join(degrees.hint("merge"), "doc_id").groupBy("key").agg(F.max(F.struct("degree", "doc_id", "n_shingles")).alias("hub"))
     spokes = join_spread(mixed.where("minor"), hubs, ["key"], parts).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("hub.n_shingles").alias("n_a"), F.col("n_shingles").alias("n_b"))
     spokes = scratch.table(spokes.where(comparable).select(*pair).distinct().join(stars.select(*pair).hint("merge"), ["a", "b"], "left_anti"), "spokes")
-    links = links.union(check(likely(spokes, sets, percent), "spokes"))
+    found = check(likely(spokes, sets, percent), "spokes")
+    if found is not None:
+        labels = joined(labels, found, "spokes")
+        mixed, _ = placed(labels, "second")
 
-    mixed, _ = placed(links, "second")
     mixed = scratch.table(mixed.join(sets.drop("n_shingles").hint("merge"), "doc_id"), "blocks")
     across = scratch.table(_across(mixed, percent), "across")
     tested = stars.select(*pair).union(spokes)
-    across = scratch.table(across.select(*pair, F.least("c_a", "c_b").alias("c_a"), F.greatest("c_a", "c_b").alias("c_b"), "apart").distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"), "untested")
+    across = across.select(*pair, F.least("c_a", "c_b").alias("c_a"), F.greatest("c_a", "c_b").alias("c_b"), "apart").distinct()
+    across = scratch.table(across.join(tested.hint("merge"), ["a", "b"], "left_anti"), "untested")
     # the closest pair of two components first; the others only where these do not join them
     best = across.groupBy("c_a", "c_b").agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b")
-    links = links.union(check(best, "best"))
-    labels = scratch.table(components(links, "a", "b"), "labels")
-    found = across.select("a", "b")
-    for end in ("a", "b"):
-        found = found.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"now_{end}")).hint("merge"), end, "left").withColumn(f"now_{end}", F.coalesce(f"now_{end}", end))
-    rest = found.where("now_a <> now_b").select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti")
-    more = check(rest, "rest")
-    if more.limit(1).count():
-        labels = components(links.union(more), "a", "b")
+    found = check(best, "best")
+    if found is not None:
+        labels = joined(labels, found, "best")
+    rest = across.select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti")
+    found = check(renamed(rest, labels).where("now_a <> now_b").select("a", "b"), "rest")
+    if found is not None:
+        labels = joined(labels, found, "rest")
     out = signed_docs.join(labels.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
