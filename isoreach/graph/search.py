@@ -1,28 +1,67 @@
 """Shortest-path trees of many origins under multimodal constraints.
 
-Two strategies share one result.  A network whose edges fit a bounded broadcast
-is searched by label-setting per origin, one pass over the origins without any
-shuffle.  A larger network is searched by rounds of frontier joins, which need
-no broadcast; they support the constraints that depend on cost alone.
+Labels of all origins are relaxed together in rounds of joins, at every size
+and under every limit.  A label is a way to reach a vertex from an origin:
+its cost, distance and legs, and the sums that limits ask for.  Labels of one
+origin, vertex and (where limits or the caller tell legs apart) sequence of
+legs compete; one that is no better in cost nor in any limited sum is dropped,
+so the cheapest valid trip is found whatever is limited.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoreach.scratch import Scratch
-from isoreach.shipping import ship
 
-BROADCAST_EDGES = 2_000_000
-SCHEMA = "origin long, vertex_id long, mode_seq string, cost double, distance double, parent long, edge_list_id int, edge_id long"
+#: Hops relaxed before a round is written.
+HOPS = 2
+OPERATIONS = ("max_inclusive", "max_exclusive", "min_inclusive", "min_exclusive")
+
+
+def within_limit(value: Column, op: str, limit: float, switching: Column) -> Column:
+    """Limit test: a greatest value always holds, a least one only once the mode is left."""
+    if op not in OPERATIONS:
+        raise ValueError(f"unknown operation {op}")
+    tests = {"max_inclusive": value <= limit, "max_exclusive": value < limit, "min_inclusive": ~switching | (value >= limit), "min_exclusive": ~switching | (value > limit)}
+    return tests[op]
+
+
+def leg_selected(index: Column, selector: str | int, max_legs: int | None = None) -> Column:
+    """Whether a leg (from 0) is ``first``, ``last`` (as many legs as allowed), ``any`` or of an index."""
+    if selector == "any":
+        return F.lit(True)
+    if selector == "last" and max_legs is None:
+        raise ValueError("the last leg needs a limit on legs")
+    if selector not in ("first", "last") and not isinstance(selector, int):
+        raise ValueError(f"unknown leg {selector}")
+    return index == {"first": 0, "last": (max_legs or 0) - 1}.get(selector, selector)
+
+
+@dataclass(frozen=True)
+class Limit:
+    """A bound on the ``cost`` or ``distance`` of a trip, or of the legs of a mode.
+
+    Without ``mode`` the whole trip counts.  ``leg`` selects legs of the mode:
+    ``first``, ``last``, ``any`` or an index.  ``arrival`` names a boolean edge
+    column; the bound then holds only on edges that have it set.
+    """
+
+    value: float
+    of: str = "distance"
+    op: str = "max_inclusive"
+    mode: str | None = None
+    leg: str | int = "any"
+    arrival: str | None = None
+
+    @property
+    def least(self) -> bool:
+        return self.op.startswith("min")
 
 
 @dataclass(frozen=True)
@@ -35,7 +74,8 @@ class Constraints:
     ``sequences``: allowed mode sequences; a trip's legs must be a subsequence
     of one of them.  ``distance``: greatest trip distance.  ``mode_cost`` and
     ``mode_distance``: greatest sums per mode, where given.  ``leg_minimum``:
-    least distance of a leg before its mode may be left.
+    least distance of a leg before its mode may be left.  ``limits``: further
+    bounds on trips and legs.
     """
 
     cost: float = float("inf")
@@ -47,10 +87,18 @@ class Constraints:
     mode_cost: Mapping[str, float] = field(default_factory=dict)
     mode_distance: Mapping[str, float] = field(default_factory=dict)
     leg_minimum: Mapping[str, float] = field(default_factory=dict)
+    limits: Sequence[Limit] = ()
+
+    def all_limits(self) -> list[Limit]:
+        """The bounds on trips and legs, whichever way they were given."""
+        more = [Limit(value, op="min_inclusive", mode=mode) for mode, value in self.leg_minimum.items()]
+        if self.distance < float("inf"):
+            more.append(Limit(self.distance))
+        return [*self.limits, *more]
 
-    def by_cost_alone(self) -> bool:
-        """Whether rounds of frontier joins settle the same labels."""
-        return self == Constraints(cost=self.cost, modes=self.modes) and self.cost < float("inf")
+    def tells_legs(self) -> bool:
+        """Whether labels with other legs can differ in what they may do next."""
+        return any(x is not None for x in (self.max_legs, self.mode_counts, self.sequences)) or any(x.mode or x.least for x in self.all_limits())
 
     def subsequences(self) -> frozenset[tuple[str, ...]] | None:
         """All subsequences of the allowed sequences."""
@@ -58,108 +106,245 @@ class Constraints:
             return None
         return frozenset(c for s in self.sequences for r in range(len(s) + 1) for c in combinations(s, r))
 
-    def allows(self, legs: tuple[str, ...], mode: str, known: frozenset | None) -> tuple[str, ...] | None:
-        """The legs after travelling by ``mode``, or none if that is not allowed."""
-        if self.modes is not None and mode not in self.modes:
-            return None
-        after = legs if legs and legs[-1] == mode else (*legs, mode)
-        if self.max_legs is not None and len(after) > self.max_legs:
-            return None
-        if self.mode_counts is not None and any(n > self.mode_counts.get(m, 0) for m, n in Counter(after).items()):
-            return None
-        if known is not None and after not in known:
-            return None
-        return after
-
-
-def _tree(origin: int, out: dict[int, list[tuple]], limits: Constraints, delays: Mapping[int, float], most: int | None, by_mode: bool) -> Iterator[tuple]:
-    """Settled labels of one origin in order of cost."""
-    known = limits.subsequences()
-    start = float(delays.get(origin, 0.0))
-    heap = [(start, 0, origin, (), 0.0, None, None, None, (), 0.0)]
-    settled: set[tuple[int, tuple[str, ...]]] = set()
-    number = 0
-    while heap:
-        cost, _, vertex, legs, distance, parent, edge_list, edge, sums, leg = heapq.heappop(heap)
-        label = (vertex, legs if by_mode else ())
-        if label in settled:
-            continue
-        settled.add(label)
-        yield origin, vertex, "-".join(legs), cost, distance, parent, edge_list, edge
-        if most is not None and len(settled) >= most:
-            return
-        if cost > limits.cost:
-            continue
-        for target, list_id, edge_id, mode, price, length in out.get(vertex, ()):
-            after = limits.allows(legs, mode, known)
-            if after is None or (target, after if by_mode else ()) in settled:
-                continue
-            switched = len(after) > len(legs)
-            if switched and legs and leg < limits.leg_minimum.get(legs[-1], 0.0):
-                continue
-            used = dict(sums)
-            before = used.get(mode, (0.0, 0.0))
-            used[mode] = (before[0] + price, before[1] + length)
-            if distance + length > limits.distance or used[mode][0] > limits.mode_cost.get(mode, float("inf")) or used[mode][1] > limits.mode_distance.get(mode, float("inf")):
+    def allows(self, legs: Column) -> Column:
+        """Whether a trip may have these legs (an array of modes)."""
+        ok = F.lit(True)
+        if self.max_legs is not None:
+            ok &= F.size(legs) <= self.max_legs
+        for mode, n in (self.mode_counts or {}).items():
+            ok &= F.size(legs) - F.size(F.array_remove(legs, mode)) <= n
+        if self.sequences is not None:
+            ok &= F.array_join(legs, "\x01").isin(["\x01".join(s) for s in self.subsequences()])
+        return ok
+
+    def usable(self, edges: DataFrame) -> DataFrame:
+        """The edges whose mode any trip may use."""
+        if self.modes is not None:
+            edges = edges.where(F.col("mode").isin(*self.modes))
+        if self.mode_counts is not None:
+            edges = edges.where(F.col("mode").isin(*self.mode_counts))
+        return edges
+
+    def rivals(self) -> list[Column]:
+        """Sums beside cost that make a label worth keeping; smaller is better.
+
+        More than a least value asks for is no better than that value.
+        """
+        out = [F.col("sums")[f"{what} {mode}"] for what, given in (("cost", self.mode_cost), ("distance", self.mode_distance)) for mode in given]
+        for x in self.all_limits():
+            value = F.col(("leg_" if x.mode else "") + x.of)
+            if not x.least:
+                out += [value] if (x.mode or x.of != "cost") else []
                 continue
-            number += 1
-            heapq.heappush(heap, (cost + price, number, target, after, distance + length, vertex, list_id, edge_id, tuple(used.items()), (0.0 if switched else leg) + length))
+            out += [-F.least(value, F.lit(x.value))] + ([-(value > x.value).cast("int")] if x.op == "min_exclusive" else [])
+        return out
 
 
-def _by_origin(origins: DataFrame, edges: DataFrame, limits: Constraints, delays: Mapping[int, float], most: int | None, by_mode: bool) -> DataFrame:
-    spark = origins.sparkSession
-    table = edges.select("src", "dst", "edge_list_id", "edge_id", "mode", "cost", "distance").orderBy("edge_list_id", "edge_id").toPandas()
-    shared = spark.sparkContext.broadcast(table)
+@dataclass(frozen=True)
+class Timetable:
+    """Departures of edges, on a clock that shows ``start`` when a trip begins.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: dict[int, list[tuple]] = {}
-        for src, *rest in shared.value.itertuples(index=False, name=None):
-            out.setdefault(src, []).append(tuple(rest))
-        names = [part.split()[0] for part in SCHEMA.split(", ")]
-        for batch in batches:
-            for origin in batch["origin"]:
-                frame = pd.DataFrame(list(_tree(int(origin), out, limits, delays, most, by_mode)), columns=names)
-                yield frame.astype({"parent": "Int64", "edge_list_id": "Int32", "edge_id": "Int64"})
+    ``departures(edge_list_id, edge_id, departure, arrival, route)`` in units
+    of cost.  An edge with departures costs the wait for the next one and the
+    ride; without a further departure it can't be used.
+    """
 
-    return origins.select("origin").distinct().mapInPandas(run, SCHEMA)
+    departures: DataFrame
+    start: float = 0.0
 
 
-def by_rounds(origins: DataFrame, edges: DataFrame, limits: Constraints, rounds: int = 10_000) -> DataFrame:
-    """Settled labels by relaxing the frontier of all origins in rounds.
+@dataclass(frozen=True)
+class OnDemand:
+    """Zones that a mode serves on demand.
 
-    Exact for limits on cost and modes, which hold for a cheaper label whenever
-    they hold for a dearer one.  Each round is one join and one aggregation
-    keyed by (origin, vertex), written to the shared folder.
+    ``zones(vertex_id, zone_id)`` and ``relations(src_zone, dst_zone, opens,
+    closes)`` on a clock that shows ``start`` when a trip begins.  A leg of
+    ``mode`` may begin at an edge whose end lies in a zone with an open
+    relation; the tree marks the vertices where that leg may end.
     """
-    scratch = Scratch(origins.sparkSession, "search")
-    if limits.modes is not None:
-        edges = edges.where(F.col("mode").isin(*limits.modes))
-    hop = edges.select(F.col("src").alias("vertex_id"), F.col("dst"), "edge_list_id", "edge_id", F.col("cost").alias("price"), F.col("distance").alias("length"))
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("parent", "long"), ("edge_list_id", "int"), ("edge_id", "long"))]
-    known = scratch.table(origins.select("origin", F.col("origin").alias("vertex_id"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("distance"), *nothing, F.lit(0).alias("round")).distinct(), "0")
-    for k in range(1, rounds + 1):
-        steps = known.where((F.col("round") == k - 1) & (F.col("cost") <= limits.cost)).select("origin", "vertex_id", "cost", "distance").join(hop, "vertex_id")
-        steps = steps.select("origin", F.col("dst").alias("vertex_id"), (F.col("cost") + F.col("price")).alias("cost"), (F.col("distance") + F.col("length")).alias("distance"), F.col("vertex_id").alias("parent"), "edge_list_id", "edge_id", F.lit(k).alias("round"))
-        best = F.min(F.struct("cost", "round", "edge_list_id", "edge_id", "parent", "distance")).alias("m")
-        known = scratch.table(known.unionByName(steps).groupBy("origin", "vertex_id").agg(best).select("origin", "vertex_id", "m.*"), str(k))
-        scratch.drop(str(k - 1))
-        if not known.where(F.col("round") == k).limit(1).count():
-            return known.select("origin", "vertex_id", F.lit("").alias("mode_seq"), "cost", "distance", "parent", "edge_list_id", "edge_id")
-    raise RuntimeError(f"the frontier is not empty after {rounds} rounds")
-
-
-def reach(origins: DataFrame, edges: DataFrame, limits: Constraints, delays: Mapping[int, float] | None = None, most: int | None = None, by_mode: bool = False) -> DataFrame:
-    """The search tree of every origin: one row per settled label.
+
+    mode: str
+    zones: DataFrame
+    relations: DataFrame
+    start: float = 0.0
+
+
+def _added(sums: Column, at: str, value: Column) -> Column:
+    """The map of sums with a value added to one of them."""
+    return F.transform_values(sums, lambda key, v: F.when(key == at, v + value).otherwise(v))
+
+
+def _hops(edges: DataFrame, limits: Constraints, timetable: Timetable | None, on_demand: OnDemand | None) -> DataFrame:
+    """Edges by their start, with departures in order and the zone of their end."""
+    flags = sorted({x.arrival for x in limits.limits if x.arrival})
+    hop = limits.usable(edges).select(F.col("src").alias("vertex_id"), "dst", "edge_list_id", "edge_id", "mode", F.col("cost").alias("price"), F.col("distance").alias("length"), *flags)
+    if timetable:
+        used = timetable.departures.where((F.col("departure") >= timetable.start) & (F.col("departure") <= timetable.start + limits.cost))
+        listed = used.groupBy("edge_list_id", "edge_id").agg(F.sort_array(F.collect_list(F.struct("departure", "arrival", "route"))).alias("times"))
+        known = timetable.departures.select("edge_list_id", "edge_id", F.lit(True).alias("timed")).distinct()
+        hop = hop.join(known, ["edge_list_id", "edge_id"], "left").join(listed, ["edge_list_id", "edge_id"], "left")
+    if on_demand:
+        windows = on_demand.relations.groupBy(F.col("src_zone").alias("zone_id")).agg(F.collect_set(F.struct("opens", "closes")).alias("windows"))
+        zone = on_demand.zones.groupBy(F.col("vertex_id").alias("dst")).agg(F.min("zone_id").alias("zone_id"))
+        hop = hop.join(zone, "dst", "left").join(windows, "zone_id", "left").withColumnRenamed("zone_id", "to_zone")
+    return hop
+
+
+def _steps(labels: DataFrame, hop: DataFrame, k: int, limits: Constraints, timetable: Timetable | None, on_demand: OnDemand | None) -> DataFrame:
+    """Labels of round ``k``: valid extensions of those of the round before."""
+    frontier = labels.where((F.col("round") == k - 1) & (F.col("cost") <= limits.cost)).drop("edge_list_id", "edge_id", "parent", "boarding", "dwell")
+    j = frontier.join(hop, "vertex_id")
+    price = F.col("price")
+    if timetable:
+        now = timetable.start + F.col("cost")
+        j = j.withColumn("next", F.get(F.filter("times", lambda t: t["departure"] >= now), F.lit(0))).where("timed is null or next is not null")
+        wait = F.col("next.departure") - now
+        changed = ~F.col("route").eqNullSafe(F.col("next.route"))
+        timed = F.col("timed").isNotNull()
+        j = j.withColumn("new_boarding", F.when(timed & changed, wait)).withColumn("new_dwell", F.when(timed & ~changed, wait)).withColumn("route", F.col("next.route"))
+        price = F.when(timed, F.col("next.arrival") - now).otherwise(price)
+    legs, mode = F.col("legs"), F.col("mode")
+    last = F.try_element_at(legs, F.lit(-1))
+    same = last.eqNullSafe(mode)
+    switching = last.isNotNull() & ~same
+    j = j.withColumn("price", price).withColumn("after", F.when(same, legs).otherwise(F.concat(legs, F.array(mode)))).where(limits.allows(F.col("after")))
+    new = {"cost": F.col("cost") + F.col("price"), "distance": F.col("distance") + F.col("length")}
+    new |= {f"leg_{of}": F.when(same, F.col(f"leg_{of}")).otherwise(0.0) + F.col(by) for of, by in (("cost", "price"), ("distance", "length"))}
+    for x in limits.all_limits():
+        bounded = F.lit(True) if x.arrival is None else F.coalesce(F.col(x.arrival), F.lit(False))
+        if x.mode:  # a least value is asked of the leg that is left, a greatest one of the leg that goes on
+            mine = (last if x.least else mode) == x.mode
+            index = F.size(legs if x.least else F.col("after")) - 1
+            bounded &= F.coalesce(mine, F.lit(False)) & leg_selected(index, x.leg, limits.max_legs)
+        name = ("leg_" if x.mode else "") + x.of
+        j = j.where(~bounded | within_limit(F.col(name) if x.least else new[name], x.op, x.value, switching))
+    sums = F.col("sums")
+    for what, by, given in (("cost", "price", limits.mode_cost), ("distance", "length", limits.mode_distance)):
+        for m, most in given.items():
+            at = f"{what} {m}"
+            sums = _added(sums, at, F.when(mode == m, F.col(by)).otherwise(0.0))
+            j = j.where((mode != m) | (F.col("sums")[at] + F.col(by) <= most))
+    if on_demand:
+        now = on_demand.start + F.col("cost")
+        riding = F.col("zone").isNotNull() & (last == on_demand.mode)
+        open_now = F.coalesce(F.exists("windows", lambda w: (w["opens"] <= now) & (now < w["closes"])), F.lit(False))
+        j = j.where((mode != on_demand.mode) | F.coalesce(riding, F.lit(False)) | open_now)
+        j = j.withColumn("zone", F.when(mode == on_demand.mode, F.when(riding, F.col("zone")).otherwise(F.col("to_zone"))))
+    more = ([] if not timetable else ["route", F.col("new_boarding").alias("boarding"), F.col("new_dwell").alias("dwell")]) + (["zone"] if on_demand else [])
+    return j.select("origin", F.col("dst").alias("vertex_id"), F.col("after").alias("legs"), *[c.alias(n) for n, c in new.items()], sums.alias("sums"), F.lit(k).alias("round"), "edge_list_id", "edge_id", F.col("vertex_id").alias("parent"), *more)
+
+
+ORDER = ("cost", "round", "edge_list_id", "edge_id", "parent")
+
+
+def _best(labels: DataFrame, keys: list[str], rivals: list[Column]) -> DataFrame:
+    """The labels worth keeping: without rivals the cheapest of each key."""
+    rest = [c for c in labels.columns if c not in keys and c not in ORDER]
+    if not rivals:
+        # maps have no order, so what follows the sort columns rides along as the value
+        picked = labels.groupBy(*keys).agg(F.min_by(F.struct(*ORDER, *rest), F.struct(*ORDER)).alias("m"))
+        return picked.select(*keys, "m.*").select(*labels.columns)
+    rows = labels.select(*keys, F.struct(F.struct("cost", *[c.alias(f"r{i}") for i, c in enumerate(rivals)]).alias("by"), F.struct(*ORDER).alias("order"), F.struct(*ORDER, *rest).alias("row")).alias("m"))
+    names = ["cost", *[f"r{i}" for i in range(len(rivals))]]
+
+    def beaten(x: Column, y: Column) -> Column:
+        no_worse, better = F.lit(True), F.lit(False)
+        for n in names:
+            no_worse &= y["by"][n] <= x["by"][n]
+            better |= y["by"][n] < x["by"][n]
+        return no_worse & (better | (y["order"] < x["order"]))
+
+    listed = rows.groupBy(*keys).agg(F.collect_list("m").alias("all"))
+    left = listed.select(*keys, F.explode(F.filter("all", lambda x: ~F.exists("all", lambda y: beaten(x, y)))).alias("m"))
+    return left.select(*keys, "m.row.*").select(*labels.columns).dropDuplicates([*keys, *ORDER])
+
+
+def reach(
+    origins: DataFrame,
+    edges: DataFrame,
+    limits: Constraints,
+    delays: Mapping[int, float] | DataFrame | None = None,
+    most: int | None = None,
+    by_mode: bool = False,
+    timetable: Timetable | None = None,
+    on_demand: OnDemand | None = None,
+    rounds: int = 10_000,
+) -> DataFrame:
+    """The search tree of every origin: one row per vertex, or per vertex and sequence of modes.
 
     ``origins(origin)`` and ``edges(src, dst, edge_list_id, edge_id, mode,
     cost, distance)`` with costs of zero or more.  ``delays`` are departure
-    delays by origin vertex, added once at the start; ``most`` ends a tree at
-    so many labels.  The origin's own label has no edge.
+    delays by origin vertex (a mapping or ``(origin, delay)``), added once at
+    the start; ``most`` leaves the cheapest labels of a tree, so many.  The
+    origin's own label has no edge.  Ties go to fewer edges, then to the least
+    edge.  With a ``timetable`` each row has its ``route``, and the wait as
+    ``boarding`` (a new route) or ``dwell``; with ``on_demand`` its ``zone`` and
+    whether the ride may end there (``may_alight``).
+
+    Each round is a join with the edges and an aggregation by (origin, vertex),
+    written to the shared folder; nothing is broadcast but what Spark finds
+    small.
+    """
+    spark = origins.sparkSession
+    scratch = Scratch(spark, "search")
+    hop = scratch.table(_hops(edges, limits, timetable, on_demand), "hops")
+    first = origins.select("origin").distinct()
+    if isinstance(delays, Mapping):
+        delays = spark.createDataFrame(list(delays.items()), "origin long, delay double") if delays else None
+    first = first.withColumn("delay", F.lit(0.0)) if delays is None else first.join(delays.select("origin", "delay"), "origin", "left").fillna(0.0, ["delay"])
+    sums = [F.lit(f"{what} {m}") for what, given in (("cost", limits.mode_cost), ("distance", limits.mode_distance)) for m in given]
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    zero = F.lit(0.0)
+    more = ([] if not timetable else [none(timetable.departures.schema["route"].dataType, "route"), none("double", "boarding"), none("double", "dwell")]) + ([none(on_demand.zones.schema["zone_id"].dataType, "zone")] if on_demand else [])
+    start = first.select(
+        "origin",
+        F.col("origin").alias("vertex_id"),
+        F.array().cast("array<string>").alias("legs"),
+        F.col("delay").cast("double").alias("cost"),
+        zero.alias("distance"),
+        zero.alias("leg_cost"),
+        zero.alias("leg_distance"),
+        F.create_map(*[x for s in sums for x in (s, zero)]).cast("map<string,double>").alias("sums"),
+        F.lit(0).alias("round"),
+        none("int", "edge_list_id"),
+        none("long", "edge_id"),
+        none("long", "parent"),
+        *more,
+    )
+    keys = ["origin", "vertex_id", *(["legs"] if by_mode or limits.tells_legs() else []), *(["zone"] if on_demand else [])]
+    rivals = limits.rivals()
+    known, k = scratch.table(start, "0"), 0
+    while True:
+        if k >= rounds:
+            raise RuntimeError(f"labels still improve after {rounds} rounds")
+        at, grown = k, known
+        for _ in range(HOPS):
+            k += 1
+            grown = _best(grown.unionByName(_steps(grown, hop, k, limits, timetable, on_demand)), keys, rivals)
+        known = scratch.table(grown, str(k))
+        scratch.drop(str(at))
+        if known.where(F.col("round") == k).isEmpty():
+            break
+    tree = _best(known, ["origin", "vertex_id", *(["legs"] if by_mode else [])], [])
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy("origin").orderBy(*ORDER, "vertex_id"))
+        tree = tree.withColumn("_rank", rank).where(F.col("_rank") <= most)
+    extra = ["route", "boarding", "dwell"] if timetable else []
+    if on_demand:
+        ends = on_demand.relations.select(F.col("src_zone").alias("zone"), F.col("dst_zone").alias("zone_id")).distinct().join(on_demand.zones.select("vertex_id", "zone_id").distinct(), "zone_id")
+        tree = tree.join(ends.select("zone", "vertex_id", F.lit(True).alias("may_alight")).distinct(), ["zone", "vertex_id"], "left").fillna(False, ["may_alight"])
+        extra += ["zone", "may_alight"]
+    return tree.select("origin", "vertex_id", F.array_join("legs", "-").alias("mode_seq"), "cost", "distance", "parent", "edge_list_id", "edge_id", *extra)
+
+
+def with_costs(edges: DataFrame, speeds: Mapping[str, float | str], default: str | None = None) -> DataFrame:
+    """``edges`` with their cost by mode: a fixed speed, or the name of a column of speeds.
+
+    Cost is distance over speed.  Edges of a mode without an entry keep the
+    column ``default`` as their cost, or are dropped.
     """
-    ship(origins.sparkSession)
-    n = edges.limit(BROADCAST_EDGES + 1).count()
-    if n <= BROADCAST_EDGES:
-        return _by_origin(origins, edges, limits, delays or {}, most, by_mode)
-    if limits.by_cost_alone() and not delays and most is None and not by_mode:
-        return by_rounds(origins, edges, limits)
-    raise ValueError(f"more than {BROADCAST_EDGES} edges need limits on cost and modes alone")
+    cost = F.lit(None).cast("double") if default is None else F.col(default)
+    for mode, speed in speeds.items():
+        by = F.col(speed) if isinstance(speed, str) else F.lit(float(speed))
+        cost = F.when(F.col("mode") == mode, F.col("distance") / F.nullif(by, F.lit(0.0))).otherwise(cost)
+    return edges.withColumn("cost", cost).where(F.col("cost").isNotNull())

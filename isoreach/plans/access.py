@@ -64,11 +64,9 @@ def filtered_destinations(spark, sf_dir):
 
 
 def walk_only(spark, sf_dir):
-    """Costs with one allowed mode, by rounds of frontier joins."""
-    origins = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("origin")).where("origin < 5")
-    from isoreach.graph.search import by_rounds
-
-    tree = by_rounds(origins, torus(spark, sf_dir), Constraints(cost=40.0, modes=frozenset(["walk"])))
+    """Costs with one allowed mode."""
+    origins = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("origin"))
+    tree = reach(origins, torus(spark, sf_dir), Constraints(cost=40.0, modes=frozenset(["walk"])))
     return bins.destinations(tree).where("cost < 40").select("origin", "vertex_id", F.col("cost").cast("long").alias("cost"))
 
 
@@ -122,7 +120,7 @@ QUERIES = {
     "tree_costs": (tree_costs, f"{TREE_SQL} SELECT CAST(origin AS BIGINT) AS origin, CAST(vertex AS BIGINT) AS vertex_id, cost FROM dest"),
     "bin_destinations": (bin_destinations, f"{TREE_SQL}, {BIN_SQL} SELECT CAST(origin AS BIGINT) AS origin, bin_key, count(DISTINCT vertex) AS n_destinations FROM dest JOIN bins ON cost >= lo AND cost < hi GROUP BY 1, 2"),
     "filtered_destinations": (filtered_destinations, f"{TREE_SQL} SELECT CAST(origin AS BIGINT) AS origin, CAST(vertex AS BIGINT) AS vertex_id FROM dest WHERE vertex % 2 = 0 AND cost <= 20"),
-    "walk_only": (walk_only, f"""WITH RECURSIVE {TORUS_SQL}, p AS (SELECT n_nationkey AS origin, n_nationkey AS vertex, CAST(0 AS BIGINT) AS cost FROM nation WHERE n_nationkey < 5
+    "walk_only": (walk_only, f"""WITH RECURSIVE {TORUS_SQL}, p AS (SELECT n_nationkey AS origin, n_nationkey AS vertex, CAST(0 AS BIGINT) AS cost FROM nation
   UNION SELECT p.origin, e.dst, p.cost + e.mins FROM p JOIN torus e ON e.src = p.vertex AND e.mode = 'walk' WHERE p.cost + e.mins < 40)
   SELECT CAST(origin AS BIGINT) AS origin, CAST(vertex AS BIGINT) AS vertex_id, min(cost) AS cost FROM p WHERE vertex <> origin GROUP BY 1, 2"""),
     "two_legs": (two_legs, f"""WITH RECURSIVE {TORUS_SQL}, p AS (SELECT n_nationkey AS origin, n_nationkey AS vertex, '' AS seq, CAST(0 AS BIGINT) AS cost FROM nation

@@ -1,8 +1,11 @@
 """Search trees and their constraints on small networks."""
 
+import random
+from itertools import groupby
+
 import pytest
 
-from isoreach.graph.search import Constraints, by_rounds, reach
+from isoreach.graph.search import Constraints, Limit, OnDemand, Timetable, reach, with_costs
 
 EDGES = "src long, dst long, edge_list_id int, edge_id long, mode string, cost double, distance double"
 LINE = [(1, 2, 0, 1, "walk", 5.0, 400.0), (2, 3, 0, 2, "walk", 5.0, 400.0), (2, 3, 1, 3, "bus", 1.0, 400.0), (3, 4, 1, 4, "bus", 2.0, 900.0), (4, 5, 0, 5, "walk", 3.0, 200.0), (1, 5, 2, 6, "bike", 30.0, 3000.0)]
@@ -27,14 +30,13 @@ def best(tree):
 def test_shortest(line):
     edges, origins = line
     assert best(reach(origins, edges, Constraints())) == {2: 5.0, 3: 6.0, 4: 8.0, 5: 11.0}
-    assert best(by_rounds(origins, edges, Constraints(cost=100.0))) == {2: 5.0, 3: 6.0, 4: 8.0, 5: 11.0}
+    assert best(reach(origins, edges, Constraints(cost=100.0))) == {2: 5.0, 3: 6.0, 4: 8.0, 5: 11.0}
 
 
 def test_cost_limit_is_on_the_tail(line):
     edges, origins = line
     limits = Constraints(cost=6.0, modes=frozenset({"walk", "bus"}))
     assert best(reach(origins, edges, limits)) == {2: 5.0, 3: 6.0, 4: 8.0}
-    assert best(by_rounds(origins, edges, limits)) == {2: 5.0, 3: 6.0, 4: 8.0}
 
 
 def test_legs_counts_and_sequences(line):
@@ -54,16 +56,92 @@ def test_distances_and_minimum(line):
     assert best(reach(origins, edges, Constraints(mode_distance={"walk": 500.0})))[5] == 30.0
 
 
-def test_delay_size_and_errors(line, monkeypatch):
+def test_delay_and_size(line, spark):
     edges, origins = line
     assert best(reach(origins, edges, Constraints(), delays={1: 10.0}))[2] == 15.0
+    assert best(reach(origins, edges, Constraints(), delays=spark.createDataFrame([(1, 10.0)], "origin long, delay double")))[2] == 15.0
     assert reach(origins, edges, Constraints(), most=2).count() == 2
-    from isoreach.graph import search
+    assert {r["mode_seq"] for r in reach(origins, edges, Constraints()).collect()} == {"", "walk", "walk-bus", "walk-bus-walk"}
 
-    monkeypatch.setattr(search, "BROADCAST_EDGES", 3)
-    assert best(reach(origins, edges, Constraints(cost=100.0))) == {2: 5.0, 3: 6.0, 4: 8.0, 5: 11.0}
+
+def test_limits_of_trips_and_legs(line):
+    edges, origins = line
+    with_limit = lambda *x, **k: best(reach(origins, edges, Constraints(limits=x, **k)))
+    assert with_limit(Limit(5.0, "cost", "max_exclusive")) == {} and with_limit(Limit(5.0, "cost")) == {2: 5.0}
+    assert with_limit(Limit(400.0, op="min_inclusive", mode="walk"))[3] == 6.0
+    assert with_limit(Limit(400.0, op="min_exclusive", mode="walk"))[4] == 12.0
+    assert with_limit(Limit(2.0, "cost", mode="bus", leg=1)) == {2: 5.0, 3: 6.0, 4: 12.0, 5: 15.0}
+    assert with_limit(Limit(2.0, "cost", mode="bus", leg="first"))[4] == 8.0
+    assert with_limit(Limit(100.0, mode="walk", leg="last"), max_legs=3)[5] == 30.0
+    with pytest.raises(ValueError):
+        with_limit(Limit(100.0, mode="walk", leg="last"))
     with pytest.raises(ValueError):
-        reach(origins, edges, Constraints(max_legs=2))
+        with_limit(Limit(100.0, op="about"))
+
+
+def test_every_limit_against_enumeration(spark):
+    """The cheapest valid trip of every vertex, against all simple walks of a small network."""
+    rng = random.Random(12)
+    rows = [(rng.randrange(6), rng.randrange(6), 0, i, rng.choice(["walk", "bike", "bus"]), float(rng.randint(1, 9)), float(rng.randint(1, 9) * 100)) for i in range(22)]
+    edges, origins = spark.createDataFrame(rows, EDGES), spark.createDataFrame([(0,), (3,)], "origin long")
+
+    def enumerated(cost, ok):
+        out = {}
+        for origin in (0, 3):
+            queue = [(origin, ())]
+            while queue:
+                at, trip = queue.pop()
+                for r in rows:
+                    longer = (*trip, r)
+                    if r[0] == at and sum(x[5] for x in trip) <= cost and len(longer) <= 9 and ok(longer):
+                        key = (origin, r[1])
+                        total = sum(x[5] for x in longer)
+                        out[key] = min(out.get(key, total), total)
+                        if total <= cost:
+                            queue.append((r[1], longer))
+        return {k: v for k, v in out.items() if k[0] != k[1]}
+
+    legs = lambda trip: [(m, list(g)) for m, g in groupby(trip, key=lambda x: x[4])]
+    length = lambda trip: sum(x[6] for x in trip)
+    cases = [
+        (Constraints(cost=9.0, max_legs=2), lambda t: len(legs(t)) <= 2),
+        (Constraints(cost=9.0, distance=1200.0), lambda t: length(t) <= 1200),
+        (Constraints(cost=9.0, mode_distance={"bike": 500.0}), lambda t: length([x for x in t if x[4] == "bike"]) <= 500),
+        (Constraints(cost=9.0, leg_minimum={"walk": 700.0}), lambda t: all(m != "walk" or length(g) >= 700 for m, g in legs(t)[:-1])),
+        (Constraints(cost=9.0, limits=(Limit(600.0, mode="bus"),)), lambda t: all(m != "bus" or length(g) <= 600 for m, g in legs(t))),
+    ]
+    for limits, ok in cases:
+        got = {(r["origin"], r["vertex_id"]): r["cost"] for r in reach(origins, edges, limits).collect() if r["edge_id"] is not None and r["origin"] != r["vertex_id"]}
+        assert got == enumerated(limits.cost, ok), limits
+
+
+def test_timetable(spark):
+    """A ride waits for its departure; a later one serves a later arrival at the stop."""
+    edges = spark.createDataFrame([(1, 2, 0, 1, "walk", 5.0, 400.0), (2, 3, 1, 1, "transit", 0.0, 900.0), (3, 4, 1, 2, "transit", 0.0, 900.0), (1, 4, 0, 2, "walk", 60.0, 5000.0)], EDGES)
+    times = spark.createDataFrame([(1, 1, 478.0, 480.0, 7), (1, 1, 486.0, 490.0, 7), (1, 1, 500.0, 503.0, 7), (1, 2, 491.0, 495.0, 7), (1, 2, 490.0, 499.0, 8)], "edge_list_id int, edge_id long, departure double, arrival double, route long")
+    origins = spark.createDataFrame([(1,)], "origin long")
+    tree = {r["vertex_id"]: r for r in reach(origins, edges, Constraints(cost=100.0), timetable=Timetable(times, 480.0)).collect()}
+    assert (tree[3]["cost"], tree[3]["route"], tree[3]["boarding"], tree[3]["dwell"]) == (10.0, 7, 1.0, None)
+    assert (tree[4]["cost"], tree[4]["route"], tree[4]["boarding"], tree[4]["mode_seq"]) == (19.0, 8, 0.0, "walk-transit")
+    late = {r["vertex_id"]: r["cost"] for r in reach(origins, edges, Constraints(cost=100.0), timetable=Timetable(times, 494.0)).collect()}
+    assert late == {1: 0.0, 2: 5.0, 3: 9.0, 4: 60.0}
+
+
+def test_on_demand(spark):
+    """A ride starts in a zone with an open relation and may end where it leads."""
+    edges = spark.createDataFrame([(1, 2, 0, 1, "flex", 5.0, 400.0), (2, 3, 0, 2, "flex", 5.0, 400.0), (1, 4, 0, 3, "flex", 1.0, 100.0), (3, 5, 0, 4, "walk", 2.0, 100.0)], EDGES)
+    zones = spark.createDataFrame([(2, "a"), (3, "b"), (4, "c")], "vertex_id long, zone_id string")
+    relations = spark.createDataFrame([("a", "b", 100.0, 200.0), ("c", "c", 300.0, 400.0)], "src_zone string, dst_zone string, opens double, closes double")
+    origins = spark.createDataFrame([(1,)], "origin long")
+    find = lambda start: {r["vertex_id"]: (r["zone"], r["may_alight"]) for r in reach(origins, edges, Constraints(cost=50.0), on_demand=OnDemand("flex", zones, relations, start)).collect()}
+    assert find(150.0) == {1: (None, False), 2: ("a", False), 3: ("a", True), 5: (None, False)}
+    assert find(350.0) == {1: (None, False), 4: ("c", True)}
+
+
+def test_fixed_speeds(spark):
+    edges = spark.createDataFrame([(1, 2, 0, 1, "walk", 9.0, 160.0), (1, 2, 0, 2, "bike", 9.0, 300.0), (1, 2, 0, 3, "drive", 9.0, 300.0)], EDGES)
+    assert {r["mode"]: r["cost"] for r in with_costs(edges, {"walk": 80.0, "bike": 150.0}).collect()} == {"walk": 2.0, "bike": 2.0}
+    assert {r["mode"]: r["cost"] for r in with_costs(edges, {"bike": "distance"}, "cost").collect()} == {"walk": 9.0, "bike": 1.0, "drive": 9.0}
 
 
 def test_bins():
