@@ -8,7 +8,7 @@ from isoreach.graph.components import components
 from isoreach.graph.islands import filter_components
 from isoreach.graph.search import Constraints, reach
 from isoreach.operators import bins, opportunities as opp
-from isoreach.plans.domain import ACTIVITIES, TORUS_SQL, TRADE_SQL, TREE_SQL, opportunities, table, torus, trade
+from isoreach.plans.domain import ACTIVITIES, RETURNS_SQL, TORUS_SQL, TRADE_SQL, TREE_SQL, opportunities, returns, table, torus, trade
 
 BINNING = bins.Binning("cost", (10, 20, 30, 40))
 MARGINAL = bins.Binning("cost", (10, 20, 30, 40), marginal=True, prepend_zero=True)
@@ -83,9 +83,8 @@ def activity_totals(spark, sf_dir):
 
 
 def weak_components(spark, sf_dir):
-    """Weakly connected components of trade above the mean volume of small pairs."""
-    edges = trade(spark, sf_dir).where("n % 3 = 0 and src % 4 = dst % 4")
-    return components(edges).select(F.col("node").alias("vertex_id"), "component")
+    """Weakly connected components of customers and suppliers by large returns of urgent orders."""
+    return components(returns(spark, sf_dir)).select(F.col("node").alias("vertex_id"), "component")
 
 
 def largest_component(spark, sf_dir):
@@ -108,8 +107,8 @@ FILLED_SQL = f"""{TREE_SQL}, {BIN_SQL}, {SUM_SQL},
 filled AS (SELECT CAST(n_nationkey AS BIGINT) AS origin, bin_key, activity, coalesce(opportunities, 0) AS opportunities FROM nation CROSS JOIN bins
   CROSS JOIN (VALUES ('AUTOMOBILE'), ('BUILDING'), ('FURNITURE'), ('HOUSEHOLD'), ('MACHINERY')) a(activity)
   LEFT JOIN (SELECT origin AS n_nationkey, bin_key, activity, opportunities FROM agg) USING (n_nationkey, bin_key, activity))"""
-WCC_SQL = f"""WITH RECURSIVE {TRADE_SQL}, e AS (SELECT src, dst FROM trade WHERE n % 3 = 0 AND src % 4 = dst % 4),
-u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT a, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.a),
+WCC_SQL = f"""WITH RECURSIVE {RETURNS_SQL},
+u AS (SELECT src AS a, dst AS b FROM returned UNION SELECT dst, src FROM returned), r AS (SELECT a, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.a),
 comp AS (SELECT CAST(a AS BIGINT) AS vertex_id, CAST(min(c) AS BIGINT) AS component FROM r GROUP BY 1)"""
 
 QUERIES = {

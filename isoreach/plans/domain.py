@@ -73,6 +73,16 @@ TRADE_SQL = """trade AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*)
   JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)"""
 
 
+def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from customers (even ids) to suppliers (odd ids): large returns of urgent orders."""
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select("l_orderkey", "l_suppkey")
+    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return lines.join(orders, "l_orderkey").select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct()
+
+
+RETURNS_SQL = "returned AS (SELECT DISTINCT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 45 AND o_orderpriority = '1-URGENT')"
+
+
 def tagged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as tagged edges on a grid with centers 0.0001 degrees apart in x."""
     k = F.col("p_partkey")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from isoreach.functions import geometry as geo
@@ -129,10 +128,9 @@ def overlay_first(spark, sf_dir):
 
 
 def distances(spark, sf_dir):
-    """Great-circle meters between neighbouring vertices, and line lengths."""
+    """Great-circle meters from every vertex to the next number."""
     v = vertices(spark, sf_dir)
-    w = Window.orderBy("vertex_id")
-    v = v.withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).where("x2 is not null")
+    v = v.join(v.select((F.col("vertex_id") - 1).alias("vertex_id"), F.col("x").alias("x2"), F.col("y").alias("y2")), "vertex_id")
     return v.select("vertex_id", F.round(geo.haversine(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")), 3).alias("meters"))
 
 
@@ -160,8 +158,9 @@ def archive_summary(spark, sf_dir):
 
 
 def picked_dates(spark, sf_dir):
-    """Service dates nearest to three target dates."""
-    active = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("service_id"), F.to_date("o_orderdate").alias("date")).where(F.dayofmonth("date") % 3 == 0).distinct()
+    """Days with pending orders nearest to three target dates, by priority."""
+    pending = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    active = pending.select(F.col("o_orderpriority").alias("service_id"), F.to_date("o_orderdate").alias("date")).distinct()
     targets = active.select("service_id").distinct().withColumn("target_date", F.explode(F.array(*[F.lit(d).cast("date") for d in ("1996-03-01", "1997-07-04", "1999-01-15")])))
     out = sched.pick_dates(targets, active, 400)
     return out.select("service_id", F.col("target_date").cast("string").alias("target_date"), F.col("picked_date").cast("string").alias("picked_date"))
@@ -246,7 +245,7 @@ r AS (SELECT query_id, now, route, departure, arrival, row_number() OVER (PARTIT
 SELECT query_id, route, strftime(departure, '%Y-%m-%d %H:%M:%S') AS departure, CAST(epoch(departure) - epoch(now) AS BIGINT) AS wait_s, CAST(epoch(arrival) - epoch(departure) AS BIGINT) AS ride_s FROM r WHERE k = 1"""),
     "stop_pairs": (stop_pairs, "SELECT * FROM (SELECT l_orderkey AS trip_id, l_linenumber AS leg, l_suppkey AS src_stop_id, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS dst_stop_id FROM lineitem) WHERE dst_stop_id IS NOT NULL"),
     "archive_summary": (archive_summary, "WITH p AS (SELECT l_orderkey AS t, l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS b FROM lineitem), g AS (SELECT t, count(*) AS n, count(DISTINCT (a, b)) AS u FROM p WHERE b IS NOT NULL GROUP BY 1) SELECT count(*) AS trips, CAST(sum(n) AS BIGINT) AS legs, CAST(sum(u) AS BIGINT) AS unique_legs FROM g"),
-    "picked_dates": (picked_dates, """WITH a AS (SELECT DISTINCT o_orderpriority AS service_id, CAST(o_orderdate AS DATE) AS d FROM orders WHERE day(o_orderdate) % 3 = 0), t AS (SELECT * FROM (VALUES (DATE '1996-03-01'), (DATE '1997-07-04'), (DATE '1999-01-15')) v(t)),
+    "picked_dates": (picked_dates, """WITH a AS (SELECT DISTINCT o_orderpriority AS service_id, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'P'), t AS (SELECT * FROM (VALUES (DATE '1996-03-01'), (DATE '1997-07-04'), (DATE '1999-01-15')) v(t)),
 c AS (SELECT service_id, t, d, abs(date_diff('day', t, d)) AS away, CASE WHEN d = t THEN 0 WHEN dayofweek(d) = dayofweek(t) THEN 1 ELSE 2 END AS step FROM a CROSS JOIN t)
 SELECT service_id, CAST(t AS VARCHAR) AS target_date, CAST(arg_min(d, (step, away, d)) AS VARCHAR) AS picked_date FROM c WHERE away <= 400 GROUP BY 1, 2"""),
     "route_ids": (route_ids, "SELECT o_orderkey, '2->' || CASE WHEN o_orderkey % 3 <> 0 THEN 'a_' || o_orderstatus ELSE '()' END || '->' || o_orderpriority || '->' || o_orderstatus AS route, 'CO-' || CASE WHEN o_orderkey % 2 = 0 THEN 'Fort_Collins-' ELSE '' END || replace(o_orderpriority, ' ', '_') || '-bus_local' AS file FROM orders"),

@@ -80,15 +80,16 @@ def daytime_trips(spark, sf_dir):
 
 
 def service_dates(spark, sf_dir):
-    """Calendar days on weekdays with added and deleted dates, counted by month."""
+    """Calendar days on weekdays, with days added for finished urgent orders and deleted for pending low ones, by month."""
     c = table(spark, sf_dir, "region").select(
         F.col("r_name").alias("service_id"),
         F.lit("1996-01-01").cast("date").alias("start_date"),
         F.lit("1996-06-30").cast("date").alias("end_date"),
         *[(F.col("r_regionkey") + i < 7).alias(d) for i, d in enumerate(("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"), 1)],
     )
-    o = table(spark, sf_dir, "orders").where("year(o_orderdate) = 1996 and month(o_orderdate) <= 6 and o_orderkey % 5 = 0")
-    x = o.select(F.lit("ASIA").alias("service_id"), F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderkey") % 2 == 0, "Added").otherwise("Deleted").alias("exception_type")).distinct()
+    o = table(spark, sf_dir, "orders").where("year(o_orderdate) = 1996 and month(o_orderdate) <= 6")
+    kind = F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"), "Added").when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P"), "Deleted")
+    x = o.select(F.lit("ASIA").alias("service_id"), F.to_date("o_orderdate").alias("date"), kind.alias("exception_type")).where("exception_type is not null").distinct()
     return sched.active_dates(c, x).groupBy("service_id", F.month("date").alias("month")).agg(F.count(F.lit(1)).alias("days"))
 
 
@@ -144,9 +145,9 @@ def renumbered_edges(spark, sf_dir):
 
 
 def set_operations(spark, sf_dir):
-    """Keys in both, in either and in one of two tables."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("k")).where("k % 3 <> 0")
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("k")).where("k % 2 = 0")
+    """Nations of indebted suppliers and of the richest customers: in both, in either and in the first alone."""
+    s = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").cast("long").alias("k"))
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").cast("long").alias("k"))
     tag = lambda df, name: df.select(F.lit(name).alias("op"), "k")
     return tag(s.intersect(c), "intersect").unionByName(tag(s.union(c).distinct(), "union")).unionByName(tag(s.exceptAll(s.intersect(c)).distinct().join(c, "k", "left_anti"), "except"))
 
@@ -226,7 +227,7 @@ QUERIES = {
     "loaded_schedules": (loaded_schedules, "WITH s AS (SELECT user_id AS edge_id, event_type AS route, date_trunc('second', ts) AS d FROM events) SELECT edge_id, route, count(*) AS departures, strftime(min(d), '%Y-%m-%d %H:%M:%S') AS first_departure FROM s WHERE d BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-14 23:59:59' GROUP BY 1, 2"),
     "daytime_trips": (daytime_trips, "WITH s AS (SELECT event_type AS route, date_trunc('second', ts) AS d, date_trunc('second', ts) + to_seconds(CAST(floor(abs(value)) AS BIGINT)) AS a FROM events), t AS (SELECT route, hour(d) * 3600 + minute(d) * 60 + second(d) AS x, hour(a) * 3600 + minute(a) * 60 + second(a) AS y FROM s) SELECT route, count(*) AS n FROM t WHERE x BETWEEN 28800 AND 64800 AND y BETWEEN 28800 AND 64800 GROUP BY 1"),
     "service_dates": (service_dates, """WITH c AS (SELECT r_name AS s, CAST(d AS DATE) AS d FROM region, range(DATE '1996-01-01', DATE '1996-07-01', INTERVAL 1 DAY) t(d) WHERE r_regionkey + isodow(d) < 7),
-x AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, o_orderkey % 2 = 0 AS a FROM orders WHERE year(o_orderdate) = 1996 AND month(o_orderdate) <= 6 AND o_orderkey % 5 = 0),
+x AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, o_orderpriority = '1-URGENT' AS a FROM orders WHERE year(o_orderdate) = 1996 AND month(o_orderdate) <= 6 AND ((o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') OR (o_orderpriority = '5-LOW' AND o_orderstatus = 'P'))),
 u AS (SELECT s, d FROM c UNION SELECT 'ASIA', d FROM x WHERE a) SELECT s AS service_id, CAST(month(d) AS INTEGER) AS month, count(*) AS days FROM u WHERE NOT (s = 'ASIA' AND d IN (SELECT d FROM x WHERE NOT a)) GROUP BY 1, 2"""),
     "kept_trips": (kept_trips, "SELECT l_orderkey AS trip_id, l_linenumber AS stop_sequence, l_suppkey AS stop_id FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal < 0)"),
     "flex_pairs": (flex_pairs, "WITH g AS (SELECT l_orderkey AS trip_id, count(*) AS n, arg_min(l_suppkey, l_linenumber) AS a, arg_max(l_suppkey, l_linenumber) AS b, bool_and(l_returnflag <> 'R') AS p, min(l_linenumber) AS f, max(l_linenumber) AS l FROM lineitem GROUP BY 1) SELECT trip_id, a AS origin_zone, b AS destination_zone FROM g WHERE n = 2 AND p AND f = 1 AND l > 1"),
@@ -234,7 +235,7 @@ u AS (SELECT s, d FROM c UNION SELECT 'ASIA', d FROM x WHERE a) SELECT s AS serv
     "bounded_places": (bounded_places, "WITH p AS (SELECT p_partkey, p_brand AS class, -105.0 + 0.001 * (p_partkey % 100) AS x FROM part) SELECT p_partkey, class FROM p WHERE x >= -104.9805 AND x + 0.002 <= -104.9205 AND class IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22')"),
     "class_filters": (class_filters, "SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN p_brand NOT IN ('Brand#11', 'Brand#22', 'Brand#33') ELSE true END AS kept FROM part"),
     "renumbered_edges": (renumbered_edges, "WITH e AS (SELECT l_orderkey * 8 + l_linenumber AS i, min(l_returnflag) AS f FROM lineitem GROUP BY 1) SELECT row_number() OVER (ORDER BY i) - 1 AS edge_id, i AS old_edge_id FROM e WHERE f <> 'R'"),
-    "set_operations": (set_operations, "WITH s AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS k FROM supplier WHERE s_nationkey % 3 <> 0), c AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS k FROM customer WHERE c_nationkey % 2 = 0) SELECT 'intersect' AS op, k FROM (SELECT k FROM s INTERSECT SELECT k FROM c) UNION ALL SELECT 'union', k FROM (SELECT k FROM s UNION SELECT k FROM c) UNION ALL SELECT 'except', k FROM (SELECT k FROM s EXCEPT SELECT k FROM c)"),
+    "set_operations": (set_operations, "WITH s AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS k FROM supplier WHERE s_acctbal < 0), c AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS k FROM customer WHERE c_acctbal > 9900) SELECT 'intersect' AS op, k FROM (SELECT k FROM s INTERSECT SELECT k FROM c) UNION ALL SELECT 'union', k FROM (SELECT k FROM s UNION SELECT k FROM c) UNION ALL SELECT 'except', k FROM (SELECT k FROM s EXCEPT SELECT k FROM c)"),
     "top_regions": (top_regions, "WITH n AS (SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, count(*) AS n FROM customer GROUP BY 1) (SELECT 'largest' AS kind, * FROM n ORDER BY n DESC, c_nationkey LIMIT 3) UNION ALL (SELECT 'smallest', * FROM n ORDER BY n, c_nationkey LIMIT 3)"),
     "taxonomy_closure": (taxonomy_closure, "WITH RECURSIVE e AS (SELECT r_name AS child, NULL AS parent FROM region UNION ALL SELECT 'n:' || n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT DISTINCT n_name || '/' || c_mktsegment, 'n:' || n_name FROM customer JOIN nation ON c_nationkey = n_nationkey), t AS (SELECT child AS category, child AS descendant FROM e UNION SELECT t.category, e.child FROM t JOIN e ON e.parent = t.descendant) SELECT * FROM t"),
     "activity_masks": (activity_masks, "SELECT l_orderkey, bool_or(l_returnflag IN ('N', 'R')) AS food, bool_or(l_returnflag IN ('A', 'R')) AS jobs FROM lineitem GROUP BY 1"),
