@@ -98,11 +98,16 @@ def points_along(line: Column, stride_m: float) -> Column:
 
     A line shorter than the stride gives its first and last point.
     """
-    total = line_length(line)
-    n = F.floor(total / stride_m).cast("int")
-    shares = F.concat(F.transform(F.sequence(F.lit(0), n), lambda i: F.least(i * F.lit(stride_m) / total, F.lit(1.0))), F.array(F.lit(1.0)))
-    short = F.array(F.element_at(line, 1), F.element_at(line, -1))
-    return F.when(total < stride_m, short).otherwise(F.array_distinct(F.transform(shares, lambda s: point_at(line, s))))
+
+    def inside(g: Column) -> Column:
+        """Points of one leg, from its start up to but not including its end."""
+        first, last = F.ceil(g["lo"] / stride_m - 1e-9), F.ceil(g["hi"] / stride_m - 1e-9) - 1
+        share = lambda i: (i * F.lit(stride_m) - g["lo"]) / F.nullif(g["hi"] - g["lo"], F.lit(0.0))
+        made = lambda i: F.struct((g["a"]["x"] + share(i) * (g["b"]["x"] - g["a"]["x"])).alias("x"), (g["a"]["y"] + share(i) * (g["b"]["y"] - g["a"]["y"])).alias("y"))
+        return F.when(last >= first, F.transform(F.sequence(first, last), made)).otherwise(F.array())
+
+    ends = F.array(F.element_at(line, 1), F.element_at(line, -1))
+    return F.when(line_length(line) < stride_m, ends).otherwise(F.concat(F.flatten(F.transform(_measured(line), inside)), F.slice(line, -1, 1)))
 
 
 def circle(x: Column, y: Column, radius_m: float, corners: int = 12) -> Column:

@@ -160,7 +160,8 @@ class OnDemand:
     ``zones(vertex_id, zone_id)`` and ``relations(src_zone, dst_zone, opens,
     closes)`` on a clock that shows ``start`` when a trip begins.  A leg of
     ``mode`` may begin at an edge whose end lies in a zone with an open
-    relation; the tree marks the vertices where that leg may end.
+    relation; the tree marks the vertices where that leg may end.  Nobody waits
+    for a zone to open.
     """
 
     mode: str
@@ -278,8 +279,9 @@ def reach(
     the start; ``most`` leaves the cheapest labels of a tree, so many.  The
     origin's own label has no edge.  Ties go to fewer edges, then to the least
     edge.  With a ``timetable`` each row has its ``route``, and the wait as
-    ``boarding`` (a new route) or ``dwell``; with ``on_demand`` its ``zone`` and
-    whether the ride may end there (``may_alight``).
+    ``boarding`` (a new route) or ``dwell``; with ``on_demand`` there is a row per
+    vertex and ``zone`` of the current ride, and whether it may end there
+    (``may_alight``).
 
     Each round is a join with the edges and an aggregation by (origin, vertex),
     written to the shared folder; nothing is broadcast but what Spark finds
@@ -325,7 +327,7 @@ def reach(
         scratch.drop(str(at))
         if known.where(F.col("round") == k).isEmpty():
             break
-    tree = _best(known, ["origin", "vertex_id", *(["legs"] if by_mode else [])], [])
+    tree = _best(known, ["origin", "vertex_id", *(["legs"] if by_mode else []), *(["zone"] if on_demand else [])], [])
     if most is not None:
         rank = F.row_number().over(Window.partitionBy("origin").orderBy(*ORDER, "vertex_id"))
         tree = tree.withColumn("_rank", rank).where(F.col("_rank") <= most)
