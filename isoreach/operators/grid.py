@@ -26,32 +26,28 @@ def validate(query: Mapping) -> str:
     raise ValueError("a query has an extent or both origin_x and origin_y")
 
 
-def square_cells(ring: np.ndarray, size: float) -> Iterator[tuple[str, float, float, str]]:
-    """Square cells that touch a ring: (id, center, center, WKT).
+def square_cell(ring: np.ndarray, i: int, j: int, size: float) -> tuple[str, float, float, str] | None:
+    """The square cell (i, j) if it touches a counter-clockwise ring: (id, center, center, WKT)."""
+    corners = np.array([[i, j], [i + 1, j], [i + 1, j + 1], [i, j + 1]]) * size
+    if abs(kernels.area(kernels.clip_convex(ring, corners))) > 0:
+        return f"{i}:{j}", float((i + 0.5) * size), float((j + 0.5) * size), kernels.encode("POLYGON", [[*corners.tolist(), corners[0].tolist()]])
+    return None
 
-    The tiling is pluggable; squares stand in where no hexagonal index is
-    installed.
-    """
-    ring = kernels.counter_clockwise(ring)
-    lo, hi = np.floor(ring.min(axis=0) / size).astype(int), np.floor(ring.max(axis=0) / size).astype(int)
-    for i in range(lo[0], hi[0] + 1):
-        for j in range(lo[1], hi[1] + 1):
-            corners = np.array([[i, j], [i + 1, j], [i + 1, j + 1], [i, j + 1]]) * size
-            if abs(kernels.area(kernels.clip_convex(ring, corners))) > 0:
-                closed = [*corners.tolist(), corners[0].tolist()]
-                yield f"{i}:{j}", float((i + 0.5) * size), float((j + 0.5) * size), kernels.encode("POLYGON", [closed])
 
-
-def grid(queries: DataFrame, size: float, tiling: Callable = square_cells) -> DataFrame:
+def grid(queries: DataFrame, size: float, cell: Callable = square_cell) -> DataFrame:
     """One row per cell of every query's extent (WKT polygon or multipolygon).
 
-    Other columns of the query are copied to its cells.
+    Other columns of the query are copied to its cells.  Rows and columns of
+    an extent's box are exploded and dealt over tasks; Python only clips one
+    cell.  ``cell`` is pluggable; squares stand in where no hexagonal index is
+    installed.
     """
     ship(queries.sparkSession)
     rest = [f for f in queries.schema.fields if f.name != "extent"]
-    schema = ", ".join([SCHEMA, *[f"`{f.name}` {f.dataType.simpleString()}" for f in rest]])
+    names = [f.name for f in rest]
+    copied = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for query in batch.to_dict("records"):
@@ -59,10 +55,20 @@ def grid(queries: DataFrame, size: float, tiling: Callable = square_cells) -> Da
                 if kind not in ("POLYGON", "MULTIPOLYGON"):
                     raise ValueError(f"an extent is a polygon, not a {kind}")
                 for polygon in [coordinates] if kind == "POLYGON" else coordinates:
-                    rows += [(*cell, *[query[f.name] for f in rest]) for cell in tiling(np.array(polygon[0], float), size)]
-            yield pd.DataFrame(rows, columns=[p.split()[0] for p in SCHEMA.split(", ")] + [f.name for f in rest])
+                    ring = kernels.counter_clockwise(np.array(polygon[0], float))
+                    lo, hi = np.floor(ring.min(axis=0) / size).astype(int), np.floor(ring.max(axis=0) / size).astype(int)
+                    rows.append((ring.ravel().tolist(), int(lo[0]), int(hi[0]), int(lo[1]), int(hi[1]), *[query[n] for n in names]))
+            yield pd.DataFrame(rows, columns=["_ring", "_i0", "_i1", "_j0", "_j1", *names])
+
+    boxed = queries.mapInPandas(boxes, ", ".join(["_ring array<double>, _i0 int, _i1 int, _j0 int, _j1 int", *copied]))
+    cells = boxed.withColumn("_i", F.explode(F.sequence("_i0", "_i1"))).withColumn("_j", F.explode(F.sequence("_j0", "_j1"))).repartition("_i", "_j")
+
+    def clip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(*made, *[query[n] for n in names]) for query in batch.to_dict("records") if (made := cell(np.array(query["_ring"]).reshape(-1, 2), query["_i"], query["_j"], size))]
+            yield pd.DataFrame(found, columns=[p.split()[0] for p in SCHEMA.split(", ")] + names)
 
-    return queries.mapInPandas(run, schema)
+    return cells.select("_ring", "_i", "_j", *[F.col(f"`{n}`") for n in names]).mapInPandas(clip, ", ".join([SCHEMA, *copied]))
 
 
 def overlap_areas(cells: DataFrame, zones: DataFrame, bucket: float = 0.05) -> DataFrame:

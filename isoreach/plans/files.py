@@ -1 +1,180 @@
-QUERIES = {}
+"""Queries that write tables with the sinks and read them back with the sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from isoreach import sinks
+from isoreach.operators import bins, opportunities as opp
+from isoreach.plans.domain import opportunities, table, torus, vertices
+from isoreach.scratch import Scratch
+from isoreach.sources import flex, gtfs, tables
+
+
+def _folder(spark) -> str:
+    return Scratch(spark, "files").root
+
+
+def network_files(spark, sf_dir):
+    """Edges of a written network, by list."""
+    path = _folder(spark)
+    sinks.network(vertices(spark, sf_dir), torus(spark, sf_dir).withColumn("edge_list_id", F.when(F.col("mode") == "walk", 0).otherwise(1)), path)
+    edges = spark.read.parquet(f"{path}/edges").join(spark.read.parquet(f"{path}/vertices").select(F.col("vertex_id").alias("src")), "src")
+    return edges.groupBy("edge_list_id", "mode").agg(F.count(F.lit(1)).alias("edges"), F.sum("cost").cast("long").alias("minutes"))
+
+
+def bundle_files(spark, sf_dir):
+    """A transit archive from orders' lines over suppliers as stops: written edges with their departures."""
+    path = _folder(spark)
+    k = F.col("s_suppkey")
+    places = table(spark, sf_dir, "supplier").select(k.alias("vertex_id"), (k * 0.02).alias("x"), F.lit(0.0).alias("y"))
+    stops = places.select(F.col("vertex_id").cast("string").alias("stop_id"), F.lit(None).cast("string").alias("parent_station"), F.format_string("%.4f", F.col("x") + 0.001).alias("stop_lon"), F.lit("0.0").alias("stop_lat"))
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))
+    clock = F.format_string("%02d:%02d:00", F.lit(6) + F.col("l_linenumber"), (F.col("l_orderkey") % 60).cast("int"))
+    times = lines.select(F.col("l_orderkey").cast("string").alias("trip_id"), F.col("l_linenumber").cast("string").alias("stop_sequence"), F.col("s").cast("string").alias("stop_id"), clock.alias("arrival_time"), F.lit(None).cast("string").alias("departure_time"))
+    o = table(spark, sf_dir, "orders")
+    trips = o.select(F.col("o_orderkey").cast("string").alias("trip_id"), F.col("o_orderpriority").alias("route_id"), F.col("o_orderstatus").alias("service_id"), F.lit(None).cast("string").alias("agency_id"))
+    active = o.select(F.col("o_orderstatus").alias("service_id"), F.to_date("o_orderdate").alias("date")).distinct()
+    targets = o.select(F.col("o_orderstatus").alias("service_id")).distinct().withColumn("target_date", F.lit("1990-01-01").cast("date"))
+    sinks.bundle(*gtfs.bundle(times, trips, stops, places, active, targets, 1), path)
+    edges, schedules = spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/schedules")
+    out = schedules.join(edges.select("edge_id", "src", "dst"), "edge_id")
+    return out.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("departures"), F.sum((F.unix_seconds(F.col("arrival").cast("timestamp")) - F.unix_seconds(F.col("departure").cast("timestamp"))) / 60).cast("long").alias("minutes"))
+
+
+def schedule_file(spark, sf_dir):
+    """Departures written as text and read with the schema of schedules."""
+    path = _folder(spark)
+    text = F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd'T'HH:mm:ss")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("edge_id"), F.col("event_type").alias("fully_qualified_id"), text.alias("src_departure_time"), text.alias("dst_arrival_time"))
+    sinks.metrics(rows, path)
+    back = gtfs.schedule_rows(spark, path)
+    return back.groupBy("edge_id", "route").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.max("departure"), "yyyy-MM-dd HH:mm:ss").alias("last"))
+
+
+def metric_file(spark, sf_dir):
+    """Edge metrics written with a header and merged with others by edge."""
+    left, right = _folder(spark), _folder(spark)
+    p = table(spark, sf_dir, "part")
+    sinks.metrics(p.select(F.col("p_partkey").alias("edge_id"), F.col("p_size").alias("lts")), left)
+    sinks.metrics(p.select(F.col("p_partkey").alias("edge_id"), F.col("p_retailprice").alias("wci")), right)
+    return sinks.merged_metrics(tables.modal_edges(spark, left, "edge_id long, lts int"), tables.modal_edges(spark, right, "edge_id long, wci double"))
+
+
+def opportunity_file(spark, sf_dir):
+    """An opportunity vector written, sorted by vertex, and read back by activity."""
+    path = _folder(spark)
+    wide = opp.opportunity_vector(opportunities(spark, sf_dir), ["BUILDING", "MACHINERY"])
+    sinks.opportunity_vectors(wide, path)
+    back = tables.opportunity_file(spark, path, ["MACHINERY", "BUILDING"])
+    return back.select("vertex_id", F.col("MACHINERY").cast("long").alias("machinery"), F.col("BUILDING").cast("long").alias("building"))
+
+
+def zone_files(spark, sf_dir):
+    """On-demand zones written, and the nations where a ride from each nation may end."""
+    path = _folder(spark)
+    r = table(spark, sf_dir, "region")
+    relations = r.select(F.col("r_regionkey").cast("string").alias("src_zone"), ((F.col("r_regionkey") + 1) % 5).cast("string").alias("dst_zone"), F.lit(28800).alias("start_s"), F.lit(64800).alias("end_s"))
+    sinks.zones(relations, r.select(F.col("r_regionkey").cast("string").alias("zone_id"), F.lit("POLYGON EMPTY").alias("geometry")), path)
+    at = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("vertex_id"), F.col("n_regionkey").cast("string").alias("zone_id"))
+    relation, ids = spark.read.parquet(f"{path}/relations"), spark.read.parquet(f"{path}/zone_ids")
+    leaving = flex.may_depart(at.join(ids, "zone_id", "left_semi"), relation, F.lit(30000))
+    return flex.may_alight(leaving.select(F.col("vertex_id").alias("origin"), "zone_id"), at, relation)
+
+
+def overlay_files(spark, sf_dir):
+    """Rows in one folder per zone, counted by folder."""
+    path = _folder(spark)
+    sinks.overlay(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("zone")), "zone", path)
+    return spark.read.option("header", True).csv(path).groupBy("overlay_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def result_files(spark, sf_dir):
+    """Chosen columns of nested results as a text table."""
+    path = _folder(spark)
+    nested = table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.struct(F.col("c_acctbal").alias("total")).alias("bin")).alias("info"))
+    sinks.results(nested, path, {"key": "c_custkey", "total": "info.bin.total"})
+    return spark.read.option("header", True).schema("key long, total double").csv(path)
+
+
+def json_results(spark, sf_dir):
+    """Whole rows as JSON lines, read back."""
+    path = _folder(spark)
+    sinks.results(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), path, {}, "json")
+    return spark.read.schema("s_suppkey long, s_name string").json(path)
+
+
+def category_file(spark, sf_dir):
+    """Categories of a file with one a line, numbered in its order."""
+    path = _folder(spark)
+    names = table(spark, sf_dir, "nation").groupBy().agg(F.array_join(F.array_sort(F.collect_list("n_name")), "\n").alias("value"))
+    names.coalesce(1).write.text(path)
+    return tables.categories(spark, path)
+
+
+def latest_release(spark, sf_dir):
+    """Regions written as two releases; the newest is read."""
+    path = _folder(spark)
+    r = table(spark, sf_dir, "region")
+    for name, rows in (("2024-01-17.0", r.withColumn("r_name", F.lower("r_name"))), ("2024-11-13.0", r)):
+        rows.write.parquet(f"{path}/release/{name}")
+    return spark.read.parquet(tables.latest_release([f"{path}/release/2024-11-13.0", f"{path}/release/2024-01-17.0"])).select("r_regionkey", "r_name")
+
+
+def delay_file(spark, sf_dir):
+    """Delay zones of a file, and the delay of every nation inside of one."""
+    path = _folder(spark)
+    k = F.col("r_regionkey").cast("double")
+    corner = lambda x, y: F.concat_ws(" ", x.cast("string"), y.cast("string"))
+    x1, x2, y1, y2 = k * 5 - 0.5, k * 5 + 4.5, F.lit(-1.0), F.lit(1.0)
+    wkt = F.concat(F.lit("POLYGON(("), F.concat_ws(",", corner(x1, y1), corner(x2, y1), corner(x2, y2), corner(x1, y2), corner(x1, y1)), F.lit("))"))
+    sinks.metrics(table(spark, sf_dir, "region").select(wkt.alias("geometry"), (k * 2).alias("time")), path)
+    from isoreach.operators.spatial import points_in_rings
+
+    zones = tables.time_delays(spark, path)
+    at = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("vertex_id"), F.col("n_nationkey").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    return points_in_rings(at, zones.select("zone_id", "ring"), "zone_id").join(zones.select("zone_id", "time"), "zone_id").select("vertex_id", "time")
+
+
+def manifest_file(spark, sf_dir):
+    """Providers of one country in a written manifest."""
+    path = _folder(spark)
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("provider"), none.alias("name"), none.alias("municipality"), none.alias("state_code"), F.when(F.col("n_regionkey") == 1, "US").otherwise("FR").alias("country_code"), F.lit("gtfs").alias("data_type"), none.alias("url"))
+    sinks.metrics(rows, path)
+    return gtfs.manifest(spark, path, country="US", data_type="gtfs").select("provider")
+
+
+def route_shapes(spark, sf_dir):
+    """Lines of orders as shapes in sequence."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))
+    rows = lines.select(F.col("l_orderkey").alias("shape_id"), F.col("l_linenumber").alias("shape_pt_sequence"), F.col("s").cast("string").alias("shape_pt_lon"), F.lit("0").alias("shape_pt_lat"))
+    return gtfs.shapes(rows)
+
+
+def feature_rows(spark, sf_dir):
+    """Destinations of lines by bin of their quantity, marginal bins from zero."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").alias("cost"))
+    found = bins.explode_bins(rows, bins.Binning("cost", (10, 25, 50), marginal=True, prepend_zero=True))
+    return found.groupBy("bin_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+TORUS = "people AS (SELECT n_nationkey k, count(c_custkey) n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1), torus AS (SELECT CASE WHEN s IN (1, 24) THEN 'walk' ELSE 'bike' END AS mode, 2 + ((n * 7 + s * 3 + k) % 11) AS mins FROM people, (VALUES (1), (5), (20), (24)) v(s))"
+QUERIES = {
+    "network_files": (network_files, f"WITH {TORUS} SELECT CASE mode WHEN 'walk' THEN 0 ELSE 1 END AS edge_list_id, mode, count(*) AS edges, CAST(sum(mins) AS BIGINT) AS minutes FROM torus GROUP BY 1, 2"),
+    "bundle_files": (bundle_files, """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS i, min(l_suppkey) AS s FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2),
+p AS (SELECT s AS src, lead(s) OVER (PARTITION BY o ORDER BY i) AS dst, lead(i) OVER (PARTITION BY o ORDER BY i) - i AS h FROM l) SELECT src, dst, count(*) AS departures, CAST(sum(h) * 60 AS BIGINT) AS minutes FROM p WHERE dst IS NOT NULL GROUP BY 1, 2"""),
+    "schedule_file": (schedule_file, "SELECT user_id AS edge_id, event_type AS route, count(*) AS n, strftime(date_trunc('second', max(ts)), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1, 2"),
+    "metric_file": (metric_file, "SELECT p_partkey AS edge_id, p_size AS lts, p_retailprice AS wci FROM part"),
+    "opportunity_file": (opportunity_file, "SELECT CAST(c_nationkey AS BIGINT) AS vertex_id, count(*) FILTER (c_mktsegment = 'MACHINERY') AS machinery, count(*) FILTER (c_mktsegment = 'BUILDING') AS building FROM customer GROUP BY 1"),
+    "zone_files": (zone_files, "SELECT CAST(a.n_nationkey AS BIGINT) AS origin, CAST(b.n_nationkey AS BIGINT) AS vertex_id FROM nation a JOIN nation b ON b.n_regionkey = (a.n_regionkey + 1) % 5"),
+    "overlay_files": (overlay_files, "SELECT regexp_replace(o_orderpriority, '[^A-Za-z0-9_.-]', '_', 'g') AS overlay_id, count(*) AS rows FROM orders GROUP BY 1"),
+    "result_files": (result_files, "SELECT c_custkey AS key, c_acctbal AS total FROM customer"),
+    "json_results": (json_results, "SELECT s_suppkey, s_name FROM supplier"),
+    "category_file": (category_file, "SELECT CAST(row_number() OVER (ORDER BY n_name) - 1 AS INTEGER) AS label, n_name AS category FROM nation"),
+    "latest_release": (latest_release, "SELECT r_regionkey, r_name FROM region"),
+    "delay_file": (delay_file, "SELECT CAST(n_nationkey AS BIGINT) AS vertex_id, CAST(n_nationkey // 5 * 2 AS DOUBLE) AS time FROM nation"),
+    "manifest_file": (manifest_file, "SELECT n_name AS provider FROM nation WHERE n_regionkey = 1"),
+    "route_shapes": (route_shapes, "WITH l AS (SELECT l_orderkey AS o, l_linenumber AS i, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2) SELECT o AS shape_id, 'LINESTRING(' || string_agg(s || ' 0', ',' ORDER BY i) || ')' AS geometry FROM l GROUP BY 1"),
+    "feature_rows": (feature_rows, "WITH b AS (SELECT * FROM (VALUES ('10', 0, 10), ('25', 10, 25), ('50', 25, 50)) v(bin_key, lo, hi)) SELECT bin_key, count(*) AS n FROM lineitem JOIN b ON l_quantity >= lo AND l_quantity < hi GROUP BY 1"),
+}

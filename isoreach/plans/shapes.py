@@ -175,9 +175,9 @@ def grid_cells(spark, sf_dir):
 
 
 def area_population(spark, sf_dir):
-    """Customers of regions, by the share of the region's rectangle in each cell of the largest one."""
+    """Customers of regions, by the share of the region's rectangle in each cell of any."""
     extents = _extents(spark, sf_dir)
-    cells = grids.grid(extents.where("r_regionkey = 4"), 1.0).select("grid_id", "geometry")
+    cells = grids.grid(extents, 1.0).select("grid_id", "geometry").distinct()
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
     people = table(spark, sf_dir, "customer").join(nation, "c_nationkey").groupBy(F.col("n_regionkey").alias("zone_id")).agg(F.count(F.lit(1)).alias("population"))
     zones = extents.select(F.col("r_regionkey").alias("zone_id"), F.col("extent").alias("geometry")).join(people, "zone_id")
@@ -212,6 +212,6 @@ SELECT p_partkey, 'LINESTRING(' || x || ' ' || y || ',' || (x + 1) || ' ' || y |
     "travel_minutes": (travel_minutes, "SELECT l_returnflag, CAST(floor((l_quantity * 37 + CASE WHEN l_returnflag <> 'N' THEN l_linenumber * 60 ELSE 0 END) / 60) AS BIGINT) AS minutes, count(*) AS n FROM lineitem GROUP BY 1, 2"),
     "grid_cells": (grid_cells, f"WITH {CELLS_SQL} SELECT r_regionkey, i || ':' || j AS grid_id, i + CAST(0.5 AS DOUBLE) AS origin_x, j + CAST(0.5 AS DOUBLE) AS origin_y FROM c"),
     "area_population": (area_population, f"""WITH {CELLS_SQL}, p AS (SELECT n_regionkey AS z, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
-o AS (SELECT c.i, c.j, p.n * greatest(0, least(x2, i + 1) - greatest(x1, i)) * greatest(0, least(y2, j + 1) - greatest(y1, j)) / ((x2 - x1) * (y2 - y1)) AS v FROM c, e JOIN p ON p.z = e.r_regionkey WHERE c.r_regionkey = 4)
+o AS (SELECT c.i, c.j, p.n * greatest(0, least(x2, i + 1) - greatest(x1, i)) * greatest(0, least(y2, j + 1) - greatest(y1, j)) / ((x2 - x1) * (y2 - y1)) AS v FROM (SELECT DISTINCT i, j FROM c) c, e JOIN p ON p.z = e.r_regionkey)
 SELECT i || ':' || j AS grid_id, round(CAST(sum(v) AS DOUBLE), 6) AS population FROM o GROUP BY 1 HAVING sum(v) > 0"""),
 }
