@@ -313,6 +313,19 @@ def test_tier_packing(docs):
     assert odd <= 3  # one rest per partition
 
 
+def test_step_groups_are_balanced(spark):
+    rows = [(i, "some words of a text " * (1 + i % 37)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    packed = tier_packing.step_groups(tier_packing._packed(df), 4096).collect()
+    tokens = Counter()
+    for r in packed:
+        if r["offset"] == 0:
+            tokens[r["step_group"]] += r["tier"]
+    full = max(tokens)
+    assert len({r["tier"] for r in packed}) > 1 and sorted(tokens) == list(range(full + 1))
+    assert all(tokens[g] == 4096 for g in range(full)) and tokens[full] <= 4096
+
+
 def test_id_rows(docs):
     rows = token_rows.pack_rows(docs, width=256).collect()
     got = {}
