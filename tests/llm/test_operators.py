@@ -156,6 +156,16 @@ def test_sharding(docs):
     assert all(sorted(slots) == list(range(len(slots))) for slots in loads.values())
 
 
+def test_sharding_keeps_clashing_columns(spark):
+    names = ["shard", "slot", "_run", "_row", "_before", "grown_shard", "__best", "count"]
+    df = spark.createDataFrame([(i, "t", *([i] * len(names))) for i in range(50)], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    out = sharding.assign_shards(df, "doc_id", (1.0, 2.0))
+    assert sorted(out.columns) == sorted(df.columns)
+    rows = out.collect()
+    assert all(r["_run"] == r["_row"] == r["_before"] == r["__best"] == r["count"] == r["doc_id"] and r["shard"] in (0, 1) for r in rows)
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(k, i) for k in (0, 1) for i in range(sum(r["shard"] == k for r in rows))]
+
+
 def test_weighted_sharding(spark):
     from pyspark.sql import functions as F
 
