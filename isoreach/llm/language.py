@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.recurrent import Network, segments, train
+from isoreach.llm.recurrent import STEPS, Network, segments, train
 from isoreach.llm.textrows import slices
 
 FOLDS = 5
 BUCKETS = 112  # training documents per language, at most
-LONGEST = 4000  # characters of a training document, at most
+SEGMENTS = 4  # stretches of a training document, at most
 AT_ONCE = 4096  # segments that go through the network together, fewer beyond CLASSES_AT_ONCE
 CLASSES_AT_ONCE = 64
 UNDETERMINED = "und"
@@ -34,20 +34,21 @@ def fit(docs: DataFrame) -> Network | None:
     Every language is learned.  Its documents with a letter fall into
     ``BUCKETS`` buckets by a hash of their doc_id, and each bucket gives its
     least hash: partial aggregation finds them, whatever the size of a
-    language.  Of each document up to 4 segments of 96 bytes (``per_text`` of
-    ``train``), drawn from its first ``LONGEST`` characters, are learned from.
-    None without any labelled text.
+    language.  Of each document ``SEGMENTS`` stretches of ``STEPS`` characters
+    are learned from (of each the first ``STEPS`` bytes), which begin anywhere
+    in its whole text.  None without any labelled text.
     """
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.substring("text", 1, LONGEST).rlike(r"\p{L}"))
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = known.select("lang", F.xxhash64("doc_id").alias("h")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     picked = hashed.groupBy("lang", "bucket").agg(F.min("h").alias("h"))
-    rows = known.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, LONGEST).alias("text"))
+    room = F.greatest(F.length("text") - STEPS, F.lit(0)) + 1
+    stretches = F.array_distinct(F.array(*[F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(i)), room).cast("int") + 1, F.lit(STEPS)) for i in range(SEGMENTS)]))
+    rows = known.select("lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("fp"), stretches.alias("parts"))
     # a doc_id can repeat: the least text hash of each picked doc_id alone is taken
-    texts = rows.join(F.broadcast(picked.select("lang", "h")), ["lang", "h"])
-    texts = texts.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
-    if not texts:
-        return None
-    return train([r["text"].lower().encode() for r in texts], [r["lang"] for r in texts])
+    parts = rows.join(F.broadcast(picked.select("lang", "h")), ["lang", "h"])  # at most BUCKETS rows per language
+    parts = parts.groupBy("lang", "h").agg(F.min(F.struct("fp", "parts")).alias("m")).orderBy("lang", "h").collect()
+    learned = [(r["lang"], part.lower().encode()[:STEPS]) for r in parts for part in r["m"]["parts"]]
+    return train([text for _, text in learned], [lang for lang, _ in learned]) if learned else None
 
 
 def predict(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
