@@ -15,7 +15,6 @@ Windows without any shingle of the benchmark are passed over first.
 from __future__ import annotations
 
 import string
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.textrows import WordHashes, mix, slices
+from isoreach.llm.textrows import WordHashes, covered, mix, runs_of, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS = 23
+STRETCH = 1 << 15  # windows whose votes are held at once
 BLOCK_BYTES = 16 << 20  # benchmark text per pass over the documents, at most
 FILTER_BITS = 22
 
@@ -73,40 +73,43 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """The items of one pass, their shingles and fingerprints."""
+    """The items of one pass, their shingles and fingerprints, in flat arrays."""
 
     ids: list[int]
     sizes: np.ndarray  # words
-    steps: np.ndarray  # words per shingle: SHINGLE, or fewer for a shorter item
-    grams: list[Counter]
     prints: np.ndarray
-    known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # step -> sorted hashes, filter, items' rows by hash
+    bounds: np.ndarray  # item -> its stretch of ``grams`` and ``counts``
+    grams: np.ndarray  # distinct shingles of each item, sorted
+    counts: np.ndarray  # how often the item has each
+    known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # words per shingle -> sorted hashes, filter, item of each
 
     @staticmethod
     def of(rows: list[tuple[int, str]]) -> Items:
-        ids, sizes, steps, grams, prints = [], [], [], [], []
-        pairs: dict[int, list[tuple[int, int]]] = {}
+        ids, sizes, prints, grams, counts = [], [], [], [], []
+        by_step: dict[int, list[int]] = {}
         for item_id, text in rows:
             x = words(text)
             if not len(x):
                 continue
             k = min(SHINGLE, len(x))
             h = shingles(x, k)
-            for g in np.unique(h).tolist():
-                pairs.setdefault(k, []).append((g, len(ids)))
+            one, n = np.unique(h, return_counts=True)
+            by_step.setdefault(k, []).append(len(ids))
             ids.append(item_id)
             sizes.append(len(x))
-            steps.append(k)
-            grams.append(Counter(h.tolist()))
+            grams.append(one)
+            counts.append(n)
             prints.append(fingerprint(votes(h)[-1:])[0])
         known = {}
-        for k, found in pairs.items():
-            found.sort()
-            g = np.array([p[0] for p in found], np.uint64)
+        for k, members in by_step.items():
+            g, owner = np.concatenate([grams[i] for i in members]), np.repeat(members, [len(grams[i]) for i in members])
+            order = np.argsort(g, kind="stable")
             table = np.zeros(1 << FILTER_BITS, bool)
             table[(g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-            known[k] = (g, table, np.array([p[1] for p in found]))
-        return Items(ids, np.array(sizes), np.array(steps), grams, np.array(prints, np.uint64), known)
+            known[k] = (g[order], table, owner[order])
+        bounds = np.cumsum([0, *map(len, grams)])
+        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return Items(ids, np.array(sizes), np.array(prints, np.uint64), bounds, flat(grams, np.uint64), flat(counts, np.int64), known)
 
     def candidates(self, value: int, rows: np.ndarray | None = None) -> dict[int, int]:
         """Items (by row, of ``rows`` or all) within the radius of a fingerprint, with their distance."""
@@ -124,11 +127,11 @@ class Items:
             at = np.flatnonzero(table[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             if not len(at):
                 continue
-            low = np.searchsorted(g, h[at])
-            at = at[(low < len(g)) & (g[np.minimum(low, len(g) - 1)] == h[at])]
+            low, high = np.searchsorted(g, h[at], "left"), np.searchsorted(g, h[at], "right")
+            at, low, high = at[low < high], low[low < high], high[low < high]
             if not len(at):
                 continue
-            owners = np.unique(np.concatenate([owner[a:b] for a, b in zip(np.searchsorted(g, h[at], "left"), np.searchsorted(g, h[at], "right"), strict=True)]))
+            owners = np.unique(np.concatenate([owner[a:b] for a, b in sorted(set(zip(low.tolist(), high.tolist(), strict=True)))]))
             for size in np.unique(self.sizes[owners]).tolist():
                 self._windows(h, at, k, min(size, len(x)), owners[self.sizes[owners] == size], best)
         return best
@@ -137,23 +140,41 @@ class Items:
         """Windows of ``width`` words that hold one of the shingles ``at``, against the items ``rows``."""
         n = width - k + 1
         last = len(h) - n
-        starts = np.unique(np.clip(at[:, None] - np.arange(n)[None, :], 0, last))
-        cuts = np.flatnonzero(np.diff(starts) > 1) + 1
-        for part in np.split(starts, cuts):
-            base = part[0]
-            sums = votes(h[base : part[-1] + n])
-            prints = fingerprint(sums[part - base + n] - sums[part - base])
-            seen: dict[int, dict[int, int]] = {}
-            for start, value in zip(part.tolist(), prints.tolist(), strict=True):
-                if value not in seen:
-                    seen[value] = self.candidates(value, rows)
-                mine = Counter(h[start : start + n].tolist()) if seen[value] else None
-                for row, distance in seen[value].items():
-                    other = self.grams[row]
-                    both = sum(min(c, other[s]) for s, c in mine.items() if s in other)
-                    similarity = both / (mine.total() + other.total() - both)
-                    if similarity >= SIMILARITY and (row not in best or similarity > best[row][0]):
-                        best[row] = (similarity, start, width, distance)
+        starts, ends = runs_of(covered(np.clip(at - n + 1, 0, last), np.minimum(at, last) + 1, last + 1))
+        for begin, end in zip(starts.tolist(), ends.tolist(), strict=True):
+            for base in range(begin, end, STRETCH):  # long stretches in parts, so that memory is bounded
+                to = min(base + STRETCH, end)
+                sums = votes(h[base : to + n - 1])
+                prints = fingerprint(sums[n:] - sums[: to - base])
+                for row in rows.tolist():
+                    far = np.bitwise_count(prints ^ self.prints[row])
+                    near = np.flatnonzero(far <= RADIUS)
+                    if not len(near):
+                        continue
+                    shared = self._shared(h[base + near[0] : base + near[-1] + n], n, row)[near - near[0]]
+                    total = int(self.counts[self.bounds[row] : self.bounds[row + 1]].sum())
+                    similarity = shared / (n + total - shared)
+                    i = int(similarity.argmax())
+                    if similarity[i] >= SIMILARITY and (row not in best or similarity[i] > best[row][0]):
+                        best[row] = (float(similarity[i]), base + int(near[i]), width, int(far[near[i]]))
+
+    def _shared(self, h: np.ndarray, n: int, row: int) -> np.ndarray:
+        """Shingles that each window of ``n`` shares with an item, as often as both have them."""
+        grams, counts = (x[self.bounds[row] : self.bounds[row + 1]] for x in (self.grams, self.counts))
+        at = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
+        at = np.where(grams[at] == h, at, -1).tolist()
+        room, inside, now, out = counts.tolist(), [0] * len(counts), 0, []
+        for i, g in enumerate(at):
+            if g >= 0:
+                now += inside[g] < room[g]
+                inside[g] += 1
+            if i >= n - 1:
+                out.append(now)
+                first = at[i - n + 1]
+                if first >= 0:
+                    inside[first] -= 1
+                    now -= inside[first] < room[first]
+        return np.array(out, np.int64)
 
 
 def passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -171,8 +192,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     One row per document and item with the most similar window, the first of
     equals.  Null and empty texts and items match nothing; an item of fewer
     than five words is one shingle; a document shorter than an item is one
-    window.  Repeated rows give repeated matches.  A benchmark beyond
-    ``BLOCK_BYTES`` takes several passes over the documents.
+    window.  Repeated rows give repeated matches.  Whole texts of any length are
+    searched, in stretches of bounded memory.  A benchmark beyond
+    ``BLOCK_BYTES`` takes several passes over the documents; an item's arrays
+    take about three times its text.
     """
     schema = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
     out = None

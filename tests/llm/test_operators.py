@@ -406,6 +406,46 @@ def test_edited_passages_are_found():
             assert 0.8 <= similarity <= 0.85 and start == 1
 
 
+def test_decontamination_recall(spark):
+    """All pairs of text and item at 0.8 and more, with their best similarity, against brute force."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(60)}"  # noqa: E731  few words, so that shingles repeat
+    items = [(k, [word() for _ in range(rng.choice([6, 20, 40, 80]))]) for k in range(25)]
+    texts = []
+    for i in range(240):
+        passage = list(items[rng.randrange(25)][1])
+        for _ in range(rng.randrange(4)):  # edits, losses and gains
+            at = rng.randrange(len(passage))
+            passage[at : at + rng.randrange(2)] = [word() for _ in range(rng.randrange(3))]
+        texts.append((i, [word() for _ in range(rng.randrange(60))] + passage + [word() for _ in range(rng.randrange(60))]))
+    grams = lambda x, k: Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
+    want = {}
+    for i, text in texts:
+        for k, item in items:
+            size, step = min(len(item), len(text)), min(5, len(item))
+            mine = grams(item, step)
+            for start in range(len(text) - size + 1):
+                window = grams(text[start : start + size], step)
+                both = sum((window & mine).values())
+                similarity = both / (window.total() + mine.total() - both) if both else 0.0
+                if similarity >= 0.8 and similarity > want.get((i, k), 0.0):
+                    want[i, k] = similarity
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.contaminated(df, bench).collect()}
+    assert len(want) > 60 and set(got) <= set(want) and len(got) >= 0.99 * len(want)
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in got)
+
+
+def test_decontamination_of_very_long_texts(spark):
+    item = [f"i{k}" for k in range(40)]
+    text = [f"t{k % 977}" for k in range(150_000)]
+    text[120_000:120_040] = item
+    df = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(item * 4000))], "doc_id long, text string")
+    rows = {r["doc_id"]: (r["start_word"], r["similarity"]) for r in decontamination.contaminated(df, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert rows == {1: (120_000, 1.0), 2: (0, 1.0)}
+
+
 def run_all(df, spark):
     bench = spark.createDataFrame([(1, "some words of a benchmark item here")], "item_id long, text string")
     return {
