@@ -7,6 +7,7 @@ gradient of the mean log-loss over all positions back through time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +37,50 @@ class Direction:
         return h + z * (c - h), (z, reset, c, r[:, 2 * n :])
 
 
+    def states(self, at: np.ndarray, order: range) -> Iterator[tuple[int, np.ndarray]]:
+        """Every step of ``order`` with the states (units, segments) after it, in one buffer.
+
+        ``at`` (steps, segments) holds bytes; the caller may change the states.
+        """
+        n, m = at.shape[1], self.u.shape[0]
+        scale = np.concatenate([np.full(2 * m, 0.5), np.ones(m)]).astype(np.float32)  # a sigmoid is a tangent of half the argument
+        w, u = np.ascontiguousarray(self.w * scale, np.float32), np.ascontiguousarray((self.u * scale).T, np.float32)
+        gathered, a, r, c, h = (np.empty(shape, np.float32) for shape in ((n, 3 * m), (3 * m, n), (3 * m, n), (m, n), (m, n)))
+        spare = [np.empty((2 * m, n), np.float32) for _ in range(2)]
+        h[:] = 0
+        gates = a[: 2 * m]
+        for t in order:
+            np.take(w, at[t], axis=0, out=gathered, mode="clip")
+            a[:] = gathered.T
+            np.matmul(u, h, out=r)
+            gates += r[: 2 * m]
+            _tanh(gates, *spare)
+            gates *= 0.5
+            gates += 0.5
+            np.multiply(a[m : 2 * m], r[2 * m :], out=c)
+            c += a[2 * m :]
+            _tanh(c, spare[0][:m], spare[1][:m])
+            c -= h
+            c *= a[:m]
+            h += c
+            yield t, h
+
+
+def _tanh(x: np.ndarray, square: np.ndarray, under: np.ndarray) -> None:
+    """The hyperbolic tangent in place: x (945 + 105 x2 + x4) / (945 + 420 x2 + 15 x4)."""
+    np.clip(x, -3.65, 3.65, out=x)
+    np.multiply(x, x, out=square)
+    np.multiply(square, 15, out=under)
+    under += 420
+    under *= square
+    under += 945
+    x /= under
+    np.add(square, 105, out=under)
+    under *= square
+    under += 945
+    x *= under
+
+
 @dataclass
 class Network:
     """Both directions, the class bias and the class names."""
@@ -49,22 +94,27 @@ class Network:
         """Sum over the positions of each segment of their class probabilities.
 
         ``x`` (segments, steps) holds bytes, ``real`` marks those that exist.
+        States stand in columns here, so that gates are contiguous, and all
+        buffers are kept; the hyperbolic tangent is a quotient of polynomials
+        that is off by 0.0015 at most.
         """
         n, steps = x.shape
-        part = np.empty((steps, n, len(self.classes)), np.float32)
-        h = np.zeros((n, self.forward.u.shape[0]), np.float32)
-        for t in range(steps):
-            h, _ = self.forward.step(x[:, t], h)
-            part[t] = h @ self.forward.v + self.bias
-        h = np.zeros_like(h)
-        total = np.zeros((n, len(self.classes)), np.float32)
-        for t in range(steps - 1, -1, -1):
-            h, _ = self.backward.step(x[:, t], h)
-            h *= real[:, t, None]
-            logits = part[t] + h @ self.backward.v
-            e = np.exp(logits - logits.max(axis=1, keepdims=True))
-            total += e / e.sum(axis=1, keepdims=True) * real[:, t, None]
-        return total
+        at, there = np.ascontiguousarray(x.T), np.ascontiguousarray(real.T).astype(np.float32)
+        part = np.empty((steps, len(self.classes), n), np.float32)
+        out, back = np.ascontiguousarray(self.forward.v.T), np.ascontiguousarray(self.backward.v.T)
+        for t, h in self.forward.states(at, range(steps)):
+            np.matmul(out, h, out=part[t])
+        part += self.bias[:, None]
+        total, logits = np.zeros(part.shape[1:], np.float32), np.empty(part.shape[1:], np.float32)
+        for t, h in self.backward.states(at, range(steps - 1, -1, -1)):
+            h *= there[t]
+            np.matmul(back, h, out=logits)
+            logits += part[t]
+            logits -= logits.max(axis=0)
+            np.exp(logits, out=logits)
+            logits *= there[t] / logits.sum(axis=0)
+            total += logits
+        return total.T
 
 
 def segments(raw: bytes, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
