@@ -28,16 +28,24 @@ def endpoints(edges: DataFrame) -> DataFrame:
     return degrees(edges).where(~passes).select("node")
 
 
+def with_ring_starts(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """``ends`` and the least node of every component without any (a ring)."""
+    labels = components(edges.select("src", "dst"), "src", "dst")
+    ended = labels.join(ends, "node", "left_semi").select("component").distinct()
+    rings = labels.join(ended, "component", "left_anti").select(F.col("component").alias("node")).distinct()
+    return ends.union(rings)
+
+
 def simplify(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Chains between endpoints as one edge: (src, dst, distance, nodes, way_ids, highway).
 
     ``edges(src, dst, distance, way_id, highway)``.  Chains double in length
     each round: a chain that ends at an inner node is joined with the chain
-    that leaves it without turning back.  A ring without any endpoint is left
-    as its edges.
+    that leaves it without turning back.  A ring without any endpoint becomes
+    one edge (each way) from its least node to itself.
     """
     scratch = Scratch(edges.sparkSession, "simplify")
-    ends = scratch.table(endpoints(edges), "ends")
+    ends = scratch.table(with_ring_starts(edges, scratch.table(endpoints(edges), "endpoints")), "ends")
     inner = ends.select(F.col("node").alias("dst"), F.lit(True).alias("_end"))
     chains = edges.select("src", "dst", "distance", F.array("src", "dst").alias("nodes"), F.array("way_id").alias("way_ids"), F.array("highway").alias("classes"))
     chains = scratch.table(chains.join(inner, "dst", "left").withColumn("done", F.coalesce("_end", F.lit(False))).drop("_end"), "0")
@@ -49,8 +57,10 @@ def simplify(edges: DataFrame, rounds: int = 64) -> DataFrame:
         stuck = open_chains.join(tail, turn, "left_anti")
         chains = scratch.table(chains.where("done").unionByName(joined).unionByName(stuck.withColumn("done", F.lit(True)).select(chains.columns)), str(k))
         scratch.drop(str(k - 1))
-        if not chains.where("not done").limit(1).count():
+        if chains.where("not done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"chains still grow after {rounds} rounds")
     whole = chains.join(ends.select(F.col("node").alias("src")), "src", "left_semi")
     return whole.select("src", "dst", "distance", "nodes", F.array_distinct("way_ids").alias("way_ids"), top_highway(F.col("classes")).alias("highway"))
 

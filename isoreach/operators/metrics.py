@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoreach.functions import tags
@@ -59,24 +61,41 @@ def comfort(edges: DataFrame) -> DataFrame:
     return out.withColumn("wci", total).drop("near_mph", "scored", "s", "d", "near_side", "has")
 
 
-def class_speeds(edges: DataFrame) -> DataFrame:
-    """Length-weighted mean speed by class in km/h; the row of class null is global.
+def mean_speed() -> Column:
+    """Length-weighted mean speed in km/h; missing speeds have no weight, without any it is null."""
+    weight = F.when(F.col("mph").isNotNull(), F.col("length_m"))
+    return F.sum(F.col("length_m") * F.col("mph")) / F.nullif(F.sum(weight), F.lit(0.0)) * tags.MPH_KPH
+
+
+def class_speeds(edges: DataFrame, keys: Sequence[str] = ("class",)) -> DataFrame:
+    """(keys, kph, total): mean speed by class, and one row with ``total`` set over all edges.
 
-    Missing speeds have no weight; a class without any has a null mean.
+    ``keys`` can be several (subtype, class, subclass).  A class without any
+    speed has a null mean; ``total`` tells the global row from a null class.
     """
-    weight = F.when(F.col("mph").isNotNull(), F.col("length_m"))
-    return edges.rollup("class").agg((F.sum(F.col("length_m") * F.col("mph")) / F.nullif(F.sum(weight), F.lit(0.0)) * tags.MPH_KPH).alias("kph"))
+    by_class = edges.groupBy(*keys).agg(mean_speed().alias("kph")).withColumn("total", F.lit(False))
+    overall = edges.agg(mean_speed().alias("kph")).select(*[F.lit(None).cast(edges.schema[k].dataType).alias(k) for k in keys], "kph", F.lit(True).alias("total"))
+    return by_class.unionByName(overall)
+
+
+def global_speed(edges: DataFrame) -> DataFrame:
+    """(kph): the mean speed over all edges; an error where no edge has a speed."""
+    made = edges.agg(mean_speed().alias("kph"))
+    return made.select(F.when(F.col("kph").isNotNull(), F.col("kph")).otherwise(F.raise_error(F.lit("no edge has a speed")).cast("double")).alias("kph"))
 
 
-def fill_speeds(edges: DataFrame) -> DataFrame:
+def fill_speeds(edges: DataFrame, keys: Sequence[str] = ("class",)) -> DataFrame:
     """``edges`` with ``speed`` in km/h: own, else the class mean, else the global mean."""
-    means = class_speeds(edges)
-    by_class = means.where("class is not null").select("class", F.col("kph").alias("_c"))
-    overall = means.where("class is null").agg(F.max("kph").alias("_g"))
-    out = edges.join(F.broadcast(by_class), "class", "left").crossJoin(F.broadcast(overall))
-    return out.withColumn("speed", F.coalesce(F.col("mph") * tags.MPH_KPH, "_c", "_g")).drop("_c", "_g")
+    means = edges.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(mean_speed().alias("_c"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = edges.join(means, same, "left").drop(*[f"_{k}" for k in keys])
+    overall = edges.agg(mean_speed().alias("_g"))  # one row
+    return out.crossJoin(F.broadcast(overall)).withColumn("speed", F.coalesce(F.col("mph") * tags.MPH_KPH, "_c", "_g")).drop("_c", "_g")
 
 
 def summary(edges: DataFrame) -> DataFrame:
-    """Edges and length by class, with the totals as class null."""
-    return edges.rollup("class").agg(F.count(F.lit(1)).alias("edges"), F.sum("length_m").alias("length_m"))
+    """Edges, length and mean speed by class; the totals have ``total`` set."""
+    made = [F.count(F.lit(1)).alias("edges"), F.sum("length_m").alias("length_m"), mean_speed().alias("kph")]
+    return edges.rollup("class").agg(*made, (F.grouping("class") == 1).alias("total"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoreach.functions.geometry import EARTH_RADIUS_M, envelope, haversine, in_ring, planar
+from isoreach.scratch import Scratch
 
-#: Cells that one ring may be dealt over; larger rings need a larger cell.
-MAX_CELLS = 4096
+#: Cells each way that the envelope of a ring may cover.
+SPAN = 16
 
 
 def cell_of(value: Column, size: float) -> Column:
@@ -60,46 +62,63 @@ def nearest_in_meters(left: DataFrame, right: DataFrame, meters: float) -> DataF
     return near.groupBy("l").agg(F.min(F.struct("distance", "r")).alias("m")).select("l", "m.r", "m.distance")
 
 
-def nearest(left: DataFrame, right: DataFrame, cell: float, rounds: int = 12, meters: float | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, cell: float, meters: float | None = None) -> DataFrame:
     """(l, r, distance): the nearest right point of every left point.
 
-    Left points look into squares of doubling cells until the nearest found is
-    no farther than a square surely covers; ties go to the lower ``r``.
-    ``meters`` bounds the great-circle distance, and points beyond it drop out;
-    the cells then follow from the bound.  Distances are planar otherwise.
+    Left points look into squares of growing cells until the nearest found is
+    no farther than a square surely covers, or the squares cover all points;
+    each round is written, so none repeats the work of those before.  Ties go
+    to the lower ``r``.  ``meters`` bounds the great-circle distance, and points
+    beyond it drop out; the cells then follow from the bound.  Distances are
+    planar otherwise.
     """
     if meters is not None:
         return nearest_in_meters(left, right, meters)
-    rest = left.select("l", F.col("x").alias("lx"), F.col("y").alias("ly"))
-    out = None
-    size = cell
-    for k in range(rounds):
-        last = k == rounds - 1
+    scratch = Scratch(left.sparkSession, "nearest")
+    rest = scratch.table(left.select("l", F.col("x").alias("lx"), F.col("y").alias("ly")), "0")
+    b = scratch.table(right.select("r", F.col("x").alias("rx"), F.col("y").alias("ry")), "right")
+    box = rest.select(F.col("lx").alias("x"), F.col("ly").alias("y")).union(b.select("rx", "ry")).agg(*[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))]).first()
+    span = 0.0 if box["x0"] is None else max(box["x1"] - box["x0"], box["y1"] - box["y0"])
+    size, k, out = cell, 0, []
+    while not rest.isEmpty():
+        k += 1
+        last = size >= span
         a = rest.withColumn("cx", F.explode(around(cell_of(F.col("lx"), size)))).withColumn("cy", F.explode(around(cell_of(F.col("ly"), size))))
-        b = right.select("r", F.col("x").alias("rx"), F.col("y").alias("ry")).withColumn("cx", cell_of(F.col("rx"), size)).withColumn("cy", cell_of(F.col("ry"), size))
+        at = b.withColumn("cx", cell_of(F.col("rx"), size)).withColumn("cy", cell_of(F.col("ry"), size))
         flat = planar(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry"))
-        near = a.join(b, ["cx", "cy"]).groupBy("l", "lx", "ly").agg(F.min(F.struct(flat.alias("distance"), F.col("r"))).alias("m"))
+        near = a.join(at, ["cx", "cy"]).groupBy("l", "lx", "ly").agg(F.min(F.struct(flat.alias("distance"), F.col("r"))).alias("m"))
         done = near if last else near.where(F.col("m.distance") <= size)
-        found = done.select("l", F.col("m.r").alias("r"), F.col("m.distance").alias("distance"))
-        out = found if out is None else out.unionByName(found)
-        rest = rest.join(found.select("l"), "l", "left_anti")
+        out.append(scratch.table(done.select("l", F.col("m.r").alias("r"), F.col("m.distance").alias("distance")), f"found{k}"))
+        if last:
+            break
+        rest = scratch.table(rest.join(out[-1].select("l"), "l", "left_anti"), str(k))
         size *= 4
-    return out
+    if not out:
+        return rest.join(b.limit(0), F.lit(False)).select("l", "r", F.lit(0.0).alias("distance"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def points_in_rings(points: DataFrame, rings: DataFrame, ring_id: str, cell: float = 0.01) -> DataFrame:
     """Points with the id of every ring that holds them (one row per pair).
 
     Rings are dealt over the cells of their envelope, points to their own cell;
-    the bounding box is tested before the ring.
+    the bounding box is tested before the ring.  A large ring takes cells that
+    double until its envelope covers ``SPAN`` or fewer each way, and points are
+    dealt to cells of every size in use (at most one per doubling).
     """
     box = envelope(F.col("ring"))
-    span = lambda lo, hi: F.sequence(cell_of(lo, cell), cell_of(hi, cell))
+    wide = F.greatest(F.col("_box.xmax") - F.col("_box.xmin"), F.col("_box.ymax") - F.col("_box.ymin"))
     r = rings.select(ring_id, "ring", box.alias("_box"))
-    r = r.withColumn("_cx", F.explode(span(F.col("_box.xmin"), F.col("_box.xmax")))).withColumn("_cy", F.explode(span(F.col("_box.ymin"), F.col("_box.ymax"))))
-    p = points.withColumn("_cx", cell_of(F.col("x"), cell)).withColumn("_cy", cell_of(F.col("y"), cell))
+    r = r.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(wide / (cell * SPAN), F.lit(1.0))))).cast("int"))
+    levels = [row[0] for row in r.select("_level").where("_level is not null").distinct().collect()]  # a few dozen at most
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
+    cell_at = lambda c: F.floor(c / size).cast("long")
+    span = lambda lo, hi: F.sequence(cell_at(F.col(lo)), cell_at(F.col(hi)))
+    r = r.withColumn("_cx", F.explode(span("_box.xmin", "_box.xmax"))).withColumn("_cy", F.explode(span("_box.ymin", "_box.ymax")))
+    p = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    p = p.withColumn("_cx", cell_at(F.col("x"))).withColumn("_cy", cell_at(F.col("y")))
     boxed = F.col("x").between(F.col("_box.xmin"), F.col("_box.xmax")) & F.col("y").between(F.col("_box.ymin"), F.col("_box.ymax"))
-    return p.join(r, ["_cx", "_cy"]).where(boxed & in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("_cx", "_cy", "_box", "ring")
+    return p.join(r, ["_level", "_cx", "_cy"]).where(boxed & in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("_level", "_cx", "_cy", "_box", "ring")
 
 
 def exactly_one(points: DataFrame, rings: DataFrame, key: str, ring_id: str) -> DataFrame:

@@ -98,7 +98,7 @@ def nearest_vertex(spark, sf_dir):
     """Nearest nation vertex of every supplier's place."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l"), (F.lit(-105.0) + 0.0037 * (F.col("s_suppkey") % 13)).alias("x"), (F.lit(39.9) + 0.0041 * (F.col("s_suppkey") % 11)).alias("y"))
     v = vertices(spark, sf_dir).select(F.col("vertex_id").alias("r"), "x", "y")
-    return spatial.nearest(s, v, 0.01, rounds=4).select(F.col("l").alias("s_suppkey"), F.col("r").alias("vertex_id"), F.round("distance", 9).alias("distance"))
+    return spatial.nearest(s, v, 0.01).select(F.col("l").alias("s_suppkey"), F.col("r").alias("vertex_id"), F.round("distance", 9).alias("distance"))
 
 
 def nearest_in_range(spark, sf_dir):

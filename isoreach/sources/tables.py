@@ -56,10 +56,13 @@ def categories(spark: SparkSession, path: str) -> DataFrame:
 
 
 def time_delays(spark: SparkSession, path: str) -> DataFrame:
-    """(zone_id, ring, time) of a file (geometry, time); polygons only."""
+    """(zone_id, ring, time) of a file (geometry, time): a row per polygon; other geometries are an error."""
     rows = spark.read.option("header", True).schema("geometry string, time double").csv(path)
-    checked = F.when(F.upper(F.ltrim("geometry")).startswith("POLYGON"), F.col("geometry")).otherwise(F.raise_error(F.lit("a delay zone is a polygon")))
-    return rows.select(F.xxhash64("geometry").alias("zone_id"), from_wkt(checked).alias("ring"), "time")
+    kind = F.upper(F.regexp_extract("geometry", r"^\s*(\w+)", 1))
+    bodies = F.split(F.regexp_replace("geometry", r"^\s*\w+\s*\(\s*\(\s*\(|\)\s*\)\s*\)\s*$", ""), r"\)\s*\)\s*,\s*\(\s*\(")
+    parts = F.transform(bodies, lambda body: F.concat(F.lit("POLYGON(("), body, F.lit("))")))
+    polygons = F.when(kind == "POLYGON", F.array("geometry")).when(kind == "MULTIPOLYGON", parts).otherwise(F.raise_error(F.lit("a delay zone is a polygon")))
+    return rows.select(F.xxhash64("geometry").alias("zone_id"), F.explode(polygons).alias("polygon"), "time").select("zone_id", from_wkt(F.col("polygon")).alias("ring"), "time")
 
 
 def modal_edges(spark: SparkSession, path: str, schema: str) -> DataFrame:
