@@ -21,7 +21,7 @@ reduced to a least document, with partial aggregation, never collected.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,12 +81,16 @@ def _table(columns: list[list[np.ndarray]], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[n for n, _ in names])
 
 
-def segments(docs: DataFrame, what: Repeats, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """Segments of all documents; ``wanted`` keeps those whose gram it accepts."""
+def segments(docs: DataFrame, what: Repeats, wanted: Callable[[np.ndarray], np.ndarray] | None = None, cells: Sequence[Callable[[np.ndarray], np.ndarray]] = ()) -> DataFrame:
+    """Segments of all documents; ``wanted`` keeps those whose gram it accepts.
+
+    Each function of ``cells`` adds a column ``c0``, ``c1``, ... of its values of the gram.
+    """
+    schema = ", ".join([SEGMENTS, *[f"c{i} long" for i in range(len(cells))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            out: list[list[np.ndarray]] = [[] for _ in range(7 + len(cells))]
             for doc_id, fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if doc_id is None or not text or len(text) * (1 if what.by_words else 4) < what.window:
                     continue
@@ -103,12 +107,12 @@ def segments(docs: DataFrame, what: Repeats, wanted: Callable[[np.ndarray], np.n
                     start, end, g = start[keep], end[keep], g[keep]
                 n = len(start)
                 to = end + what.window
-                for column, values in zip(out, (np.full(n, doc_id), np.full(n, fp), start.astype(np.int32), end.astype(np.int32), signed(g), signed(first.of(start, to)), signed(second.of(start, to))), strict=True):
+                for column, values in zip(out, (np.full(n, doc_id), np.full(n, fp), start.astype(np.int32), end.astype(np.int32), signed(g), signed(first.of(start, to)), signed(second.of(start, to)), *[f(g) for f in cells]), strict=True):
                     column.append(values)
             if out[0]:
-                yield _table(out, SEGMENTS)
+                yield _table(out, schema)
 
-    return docs.select(*row_key(), "text").mapInArrow(run, SEGMENTS)
+    return docs.select(*row_key(), "text").mapInArrow(run, schema)
 
 
 def _pieces(docs: DataFrame, chosen: DataFrame, what: Repeats) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoreach.llm import repeats
-from isoreach.llm.sketch import repeated_grams
+from isoreach.llm.sketch import repeated_segments
 from isoreach.llm.textrows import slices
 from isoreach.scratch import Scratch
 
@@ -33,8 +33,7 @@ def remove_windows(docs: DataFrame) -> DataFrame:
     searched nor cleaned.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
-    repeated = repeated_grams(docs, WHAT, BYTES_PER_ANCHOR)
-    segs = scratch.table(repeats.segments(docs, WHAT, repeated), "segments")
+    segs = repeated_segments(docs, WHAT, BYTES_PER_ANCHOR, scratch)
     marks = repeats.find(docs, WHAT, segs, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,7 @@
 """Removal of 400-byte strings that start anywhere else, by sparse prefix ranks.
 
 Ranks double sparsely: positions are ranked by their 32-byte anchor gram (a
-merged sketch of bounded size lets most of the unique ones go before anything
-is shuffled), then pairs of that rank and the fingerprint of the stretch around it (400 bytes and
+merged sketch lets most of the unique ones go), then pairs of that rank and the fingerprint of the stretch around it (400 bytes and
 more) are ranked again, and at last the single 400-byte windows at the edges
 of repeated passages.  Positions that are unique leave after each round, and a
 rank past 400 bytes needs no further one (:mod:`isoreach.llm.repeats`).
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoreach.llm import repeats
-from isoreach.llm.sketch import repeated_grams
+from isoreach.llm.sketch import repeated_segments
 from isoreach.llm.textrows import runs_of, slices
 from isoreach.scratch import Scratch
 
@@ -36,7 +35,7 @@ def remove_strings(docs: DataFrame) -> DataFrame:
     without doc_id is neither searched nor cleaned.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    segs = scratch.table(repeats.segments(docs, WHAT, repeated_grams(docs, WHAT, BYTES_PER_ANCHOR)), "segments")
+    segs = repeated_segments(docs, WHAT, BYTES_PER_ANCHOR, scratch)
     marks = repeats.find(docs, WHAT, segs, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

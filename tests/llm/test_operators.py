@@ -108,6 +108,30 @@ def test_suffixes(docs):
     assert got == want and any(v[1] for v in want.values())
 
 
+def test_sketch_beyond_the_broadcast(docs, monkeypatch):
+    """The joined sketch keeps the same segments as the broadcast one, and results are equal."""
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    operators = (substring_dedup.remove_repeated_windows, suffix_dedup.remove_repeated_bytes)
+    want = [rows(f(docs)) for f in operators]
+    monkeypatch.setattr(sketch, "LARGEST_BITS", 15)
+    assert [rows(f(docs)) for f in operators] == want and any(r[2] for r in want[0]) and any(r[2] for r in want[1])
+
+
+def test_share_of_segments_stays_flat(spark, tmp_path):
+    """With room for the anchors of any input, unique segments are dropped alike at every size."""
+    from isoreach.llm import repeats
+    from isoreach.scratch import Scratch
+
+    rng = random.Random(8)
+    kept = []
+    for n in (60, 600):
+        rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(300))) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        every = repeats.segments(df, substring_dedup.WHAT).count()
+        kept.append(sketch.repeated_segments(df, substring_dedup.WHAT, 60, Scratch(spark, "flat")).count() / every)
+    assert max(kept) < 0.05
+
+
 @pytest.mark.parametrize("each", [2, 5])
 def test_near_duplicates(docs, each):
     sets = {}
