@@ -132,10 +132,10 @@ def test_share_of_segments_stays_flat(spark, tmp_path):
     assert max(kept) < 0.05
 
 
-@pytest.mark.parametrize("each", [2, 5])
-def test_near_duplicates(docs, each):
+def brute_components(texts, each):
+    """(shingle sets, least linked id of each) by all pairs of texts: {id: text}."""
     sets = {}
-    for i, text, *_ in ROWS:
+    for i, text in texts.items():
         w = words("".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in text or ""))
         sets[i] = {tuple(w[k : k + each]) for k in range(len(w) - each + 1)} if len(w) >= each else {tuple(w)} if w else set()
     parent = {i: i for i in sets}
@@ -151,9 +151,44 @@ def test_near_duplicates(docs, each):
             if a < b and both and 100 * both >= 80 * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
+    return sets, {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize("each", [2, 5])
+def test_near_duplicates(docs, each):
+    sets, root = brute_components({i: t for i, t, *_ in ROWS}, each)
     got = {r[0]: tuple(r[1:]) for r in near_dedup.near_duplicates(docs, each).collect()}
-    assert got == {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
-    assert sorted(r[0] for r in near_dedup.keep_representatives(docs, each).collect()) == sorted(i for i in sets if root(i) == i)
+    assert got == {i: (len(sets[i]), root[i], root[i] == i) for i in sets}
+    assert sorted(r[0] for r in near_dedup.keep_representatives(docs, each).collect()) == sorted(i for i in sets if root[i] == i)
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies that are near their source but mostly not near each other, in several blocks of a bucket."""
+    rng = random.Random(17)
+    source = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    rows = []
+    for i in range(420):
+        copy = list(source)
+        for _ in range(rng.choice([3, 6, 9, 14])):
+            copy[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i + 1, " ".join(copy)))
+    rows += [(0, rows[7][1]), (900, " ".join(source)), (901, " ".join(source))]
+    sets, root = brute_components(dict(rows), 2)
+    got = {r[0]: (r[1], r[2]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (len(sets[i]), root[i]) for i in sets}
+    assert len(set(root.values())) > 20 and max(Counter(root.values()).values()) > 100
+
+
+def test_parity_bitmaps_lose_nothing():
+    rng = np.random.default_rng(4)
+    for n, changed in ((5, 1), (90, 9), (90, 30), (4000, 500)):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[changed:], rng.integers(0, 1 << 63, changed * 2).astype(np.uint64)]))
+        a, b = near_dedup.parity(x)[None, :], near_dedup.parity(y)[None, :]
+        low = min(a.shape[1], b.shape[1])
+        apart = int(np.bitwise_count(near_dedup.folded(a, low) ^ near_dedup.folded(b, low)).sum())
+        exact = len(np.setxor1d(x, y))
+        assert 0.7 * exact - 8 <= apart <= exact
 
 
 def test_sketch_fills_and_estimates():
@@ -526,6 +561,64 @@ def test_pipeline(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "pii", "packing"]
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage against a plain version of it on the same input; the network's verdicts alone are taken as given."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(4000)}"
+    items = {k: [word() for _ in range(n)] for k, n in enumerate((8, 24, 40))}
+    edited = [items[2][0], "changed", *items[2][2:]]
+    planted = [[word() for _ in range(20)] + p + [word() for _ in range(20)] for p in (items[0], items[1], edited, items[2][:20])]
+    rows = [*ROWS, *[(500 + i, " ".join(p), "en", "s", 1) for i, p in enumerate(planted)]]
+    spark.createDataFrame(rows, COLUMNS).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, inputs = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        inputs.append({r["doc_id"]: r["text"] for r in docs.collect()})
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    # language: documents with a letter and a clear prediction stay
+    said = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert set(inputs[1]) <= {i for i, t, *_ in rows if t and re.search(r"[^\W\d_]", t)} and set(inputs[1]) == {i for i, r in said.items() if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.MIN_LANGUAGE_SCORE}
+    # near copies: the least id of each component stays
+    root = brute_components(inputs[1], 5)[1]
+    assert inputs[2] == {i: t for i, t in inputs[1].items() if root[i] == i}
+    # benchmark: no window of an item's length shares four fifths of its shingles
+    grams = lambda x: Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4))
+
+    def leaks(text):
+        w = words(text)
+        for item in items.values():
+            for start in range(max(1, len(w) - len(item) + 1)):
+                mine, other = grams(w[start : start + len(item)]), grams(item)
+                both = sum((mine & other).values())
+                if both and both >= 0.8 * (mine.total() + other.total() - both):
+                    return True
+        return False
+
+    assert inputs[3] == {i: t for i, t in inputs[2].items() if not leaks(t)} and len(inputs[2]) - len(inputs[3]) == 3
+    # personal data: the reported spans are replaced by their kind, from left to right
+    spans = {r["doc_id"]: [s.split(":") for s in r["spans"].split(",") if s] for r in pii.report(spark.createDataFrame(list(inputs[3].items()), "doc_id long, text string")).collect()}
+    want = {}
+    for i, text in inputs[3].items():
+        out, at = "", 0
+        for kind, a, b in spans[i]:
+            if int(a) >= at:
+                out += text[at : int(a)] + f"[{kind}]"
+            at = max(at, int(b))
+        want[i] = out + text[at:]
+        assert {(k, a, b) for a, _, b, k in base_spans(text)} <= {(k, int(a), int(b)) for k, a, b in spans[i]}
+    assert inputs[4] == want
+    # packing: pieces in order give every token once
+    for i, text in inputs[4].items():
+        ids, at = reference_ids(text), 0
+        for r in sorted((r for r in docs.collect() if r["doc_id"] == i), key=lambda r: r["start"]):
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+
+
 def test_registry():
     from isoreach.llm import registry
 
