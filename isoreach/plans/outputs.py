@@ -112,7 +112,7 @@ QUERIES = {
     "typed_speeds": (typed_speeds, f"WITH {TAGGED_SQL} SELECT CASE WHEN highway = 'motorway' THEN 'road' END AS subtype, class, oneway, {KPH}, false AS total FROM tagged GROUP BY 1, 2, 3 UNION ALL SELECT NULL, NULL, NULL, {KPH}, true FROM tagged"),
     "global_speed": (global_speed, f"WITH {TAGGED_SQL} SELECT {KPH} FROM tagged"),
     "edge_statistics": (edge_statistics, f"WITH {TAGGED_SQL} SELECT class, count(*) AS edges, round(sum(length_m), 2) AS length_m, {KPH}, grouping(class) = 1 AS total FROM tagged GROUP BY ROLLUP (class)"),
-    "destination_points": (destination_points, f"{POINTS_SQL} SELECT CAST(origin AS BIGINT) AS origin, count(*) AS ends, round(sum(-105.0 + 0.01 * (vertex % 5)), 6) AS x, 2 * count(*) AS points, 2 * count(*) AS along FROM near GROUP BY 1"),
+    "destination_points": (destination_points, f"{POINTS_SQL} SELECT CAST(origin AS BIGINT) AS origin, count(*) AS ends, round(CAST(sum(-105.0 + 0.01 * (vertex % 5)) AS DOUBLE), 6) AS x, 2 * count(*) AS points, 2 * count(*) AS along FROM near GROUP BY 1"),
     "arrival_delays": (arrival_delays, f"{TREE_SQL} SELECT CAST(origin AS BIGINT) AS origin, CAST(vertex AS BIGINT) AS vertex_id, cost + CASE WHEN n_regionkey > 1 THEN n_regionkey ELSE 0 END AS cost FROM dest JOIN nation ON n_nationkey = vertex WHERE cost < 30"),
     "archives_in_extent": (archives_in_extent, "SELECT DISTINCT s_nationkey AS archive FROM supplier WHERE s_suppkey % 20 BETWEEN 4 AND 8 AND s_suppkey // 20 BETWEEN 0 AND 2"),
     "states": (states, "WITH g AS (SELECT g FROM range(1, 57) t(g) WHERE g NOT IN (3, 7, 14, 43, 52)) SELECT n_nationkey, lpad(CAST(g AS VARCHAR), 2, '0') AS geoid FROM nation JOIN g ON n_nationkey // 2 = g"),

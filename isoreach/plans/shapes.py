@@ -195,10 +195,10 @@ QUERIES = {
     "line_lengths": (line_lengths, f"WITH {LINES_SQL} SELECT p_partkey, round(a + b, 3) AS meters, round((a + b) * 0.25, 3) AS quarter FROM l"),
     "points_at": (points_at, f"WITH {LINES_SQL}, p AS (SELECT p_partkey, {AT_SQL.format(f=0.3, i=1)} FROM l) SELECT p_partkey, round(px1, 6) AS x, round(py1, 6) AS y FROM p"),
     "sub_lines": (sub_lines, f"WITH {LINES_SQL}, p AS (SELECT p_partkey, a / (a + b) > 0.3 + 1e-6 AND a / (a + b) < 0.9 - 1e-6 AS inner_point, {AT_SQL.format(f=0.3, i=1)}, {AT_SQL.format(f=0.9, i=2)} FROM l) SELECT p_partkey, CAST(2 + CAST(inner_point AS INTEGER) AS INTEGER) AS points, round(CASE WHEN p_partkey % 2 = 1 THEN px2 ELSE px1 END, 6) AS x, round(CASE WHEN p_partkey % 2 = 1 THEN py2 ELSE py1 END, 6) AS y FROM p"),
-    "exit_bearings": (exit_bearings, f"WITH {LINES_SQL}, d AS (SELECT p_partkey, degrees(atan2(sin(radians(x - x2)) * cos(radians(y)), cos(radians(y)) * sin(radians(y)) - sin(radians(y)) * cos(radians(y)) * cos(radians(x - x2)))) AS w FROM l) SELECT p_partkey, 0.0 AS out, round((w + 360) - 360 * floor((w + 360) / 360), 4) AS back FROM d"),
+    "exit_bearings": (exit_bearings, f"WITH {LINES_SQL}, d AS (SELECT p_partkey, degrees(atan2(sin(radians(x - x2)) * cos(radians(y)), cos(radians(y)) * sin(radians(y)) - sin(radians(y)) * cos(radians(y)) * cos(radians(x - x2)))) AS w FROM l) SELECT p_partkey, CAST(0 AS DOUBLE) AS out, round((w + 360) - 360 * floor((w + 360) / 360), 4) AS back FROM d"),
     "points_along": (points_along, f"WITH {LINES_SQL} SELECT p_partkey, CAST(CASE WHEN a + b < 100 THEN 2 ELSE floor((a + b) / 100) + 2 END AS INTEGER) AS points FROM l"),
     "circles": (circles, "WITH s AS (SELECT s_suppkey, -105.0 + 0.01 * (s_suppkey % 10) AS x, 40.0 + 0.01 * (s_suppkey // 10) AS y, 500.0 / (6371008.8 * pi() / 180) AS r FROM supplier), c AS (SELECT * FROM (VALUES (0, 1, 0), (1, 0, 1), (2, -1, 0), (3, 0, -1), (4, 1, 0)) v(corner, dx, dy)) SELECT s_suppkey, corner, round(x + r * dx / cos(radians(y)), 6) AS x, round(y + r * dy, 6) AS y FROM s CROSS JOIN c"),
-    "boxes": (boxes, f"WITH {LINES_SQL} SELECT p_partkey, round(x, 6) AS xmin, round(x2, 6) AS xmax, round(y, 6) AS ymin, round(y2, 6) AS ymax, round((x + x2) / 2, 6) AS x, round((y + y2) / 2, 6) AS y, round(s * 0.001, 9) AS area FROM l"),
+    "boxes": (boxes, f"WITH {LINES_SQL}, d AS (SELECT p_partkey, CAST(x AS DOUBLE) AS x, CAST(x2 AS DOUBLE) AS x2, CAST(y AS DOUBLE) AS y, CAST(y2 AS DOUBLE) AS y2, CAST(s AS DOUBLE) AS s FROM l) SELECT p_partkey, round(x, 6) AS xmin, round(x2, 6) AS xmax, round(y, 6) AS ymin, round(y2, 6) AS ymax, round((x + x2) / 2, 6) AS x, round((y + y2) / 2, 6) AS y, round(s * 0.001, 9) AS area FROM d"),
     "geometry_texts": (geometry_texts, """WITH p AS (SELECT p_partkey, CAST(p_partkey % 50 + 0.5 AS DOUBLE) AS x, CAST(p_size + 0.5 AS DOUBLE) AS y FROM part)
 SELECT p_partkey, 'LINESTRING(' || x || ' ' || y || ',' || (x + 1) || ' ' || y || ',' || (x + 1) || ' ' || (y + 2) || ')' AS wkt,
  '{"type":"Feature","geometry":{"type":"LineString","coordinates":[[' || x || ',' || y || '],[' || (x + 1) || ',' || y || '],[' || (x + 1) || ',' || (y + 2) || ']]},"properties":null}' AS feature FROM p"""),

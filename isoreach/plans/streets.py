@@ -289,7 +289,7 @@ SELECT CAST(o AS BIGINT) AS origin, CAST(v AS BIGINT) AS vertex_id, min(cost) AS
     "isochrone_counts": (isochrone_counts, f"{TREE_SQL}, b AS (SELECT * FROM (VALUES ('10', 10), ('20', 20), ('30', 30)) v(bin_key, hi)) SELECT CAST(origin AS BIGINT) AS origin, bin_key, count(DISTINCT vertex) AS n_destinations FROM dest JOIN b ON cost < hi GROUP BY 1, 2"),
     "segment_splits": (segment_splits, f"WITH {SEGMENT_SQL} SELECT id, heading, CASE heading WHEN 'forward' THEN src ELSE dst END AS src, CASE heading WHEN 'forward' THEN dst ELSE src END AS dst, round(2 * 6371008.8 * asin(sqrt(power(sin(radians(0.01) / 2), 2))) * w, 3) AS distance, round(mph * 1.609344, 4) AS kph FROM hd"),
     "open_headings": (open_headings, f"WITH {SEGMENT_SQL} SELECT id, CASE WHEN f = 'N' THEN 'forward' ELSE 'forward,backward' END AS headings FROM sg"),
-    "segment_network": (segment_network, f"WITH {SEGMENT_SQL} SELECT heading, CASE heading WHEN 'forward' THEN 90.0 ELSE 270.0 END AS bearing, count(*) AS edges, count(DISTINCT CASE heading WHEN 'forward' THEN src ELSE dst END) AS sources FROM hd GROUP BY 1, 2"),
+    "segment_network": (segment_network, f"WITH {SEGMENT_SQL} SELECT heading, CAST(CASE heading WHEN 'forward' THEN 90 ELSE 270 END AS DOUBLE) AS bearing, count(*) AS edges, count(DISTINCT CASE heading WHEN 'forward' THEN src ELSE dst END) AS sources FROM hd GROUP BY 1, 2"),
     "public_ways": (public_ways, f"WITH {WAYS_SQL} SELECT osmid, highway = 'primary' AND NOT one AS kept FROM ws"),
     "way_edges": (way_edges, f"""WITH {WAYS_SQL}, nd AS (SELECT l_orderkey AS osmid, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS i FROM lineitem),
 g AS (SELECT a.osmid, a.s AS x, b.s AS y, one FROM nd a JOIN nd b ON a.osmid = b.osmid AND b.i = a.i + 1 JOIN ws ON ws.osmid = a.osmid), e AS (SELECT x AS src, y AS dst, osmid FROM g UNION ALL SELECT y, x, osmid FROM g WHERE NOT one)
