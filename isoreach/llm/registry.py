@@ -7,11 +7,11 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoreach.llm import oracle
+from isoreach.llm import oracle, url_filter
 from isoreach.shipping import ship
 
-#: Query name, module and function; each function takes the documents table
-#: (and the benchmark table for decontamination) and returns the full result.
+#: Query name, module and function; each function takes the documents table, or
+#: those that ``TABLES`` names, and returns the full result.
 QUERIES = {
     "op1_substring_dedup": ("substring_dedup", "remove_repeated_windows"),
     "op2_rendezvous_sharding": ("sharding", "shard_documents"),
@@ -23,26 +23,28 @@ QUERIES = {
     "op8_tier_packing": ("tier_packing", "pack_pieces"),
     "op9_suffix_dedup": ("suffix_dedup", "remove_repeated_bytes"),
     "op10_near_dedup": ("near_dedup", "near_duplicates"),
+    "op11_url_filter": ("url_filter", "report"),
+    "op12_periodic_runs": ("runs", "report"),
+    "op13_embedding_whitening": ("whitening", "report"),
 }
 
+TABLES = {"decontamination": ("documents", "benchmark"), "url_filter": ("pages",), "whitening": ("embeddings",)}
+
 
 def _query(module: str, function: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
         operator = getattr(import_module(f"isoreach.llm.{module}"), function)
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-        if module == "decontamination":
-            return operator(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-        return operator(docs)
+        return operator(*[spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES.get(module, ("documents",))])
 
     return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The ten operators, each over its whole table with production parameters."""
+    """The operators, each over its whole table with production parameters."""
     return {name: _query(*where) for name, where in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL expresses the operator."""
-    return oracle.SQL
+    return oracle.SQL | {"op11_url_filter": url_filter.verdict_sql()}
