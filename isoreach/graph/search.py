@@ -6,6 +6,13 @@ its cost, distance and legs, and the sums that limits ask for.  Labels of one
 origin, vertex and (where limits or the caller tell legs apart) sequence of
 legs compete; one that is no better in cost nor in any limited sum is dropped,
 so the cheapest valid trip is found whatever is limited.
+
+A round takes the frontier, the labels of the lowest bucket of costs that were
+not extended yet (delta stepping), joins them with the edges, and keeps those
+extensions that no known label of their own key beats.  Only these are
+written, as a table of their own, so what a round writes follows the frontier;
+tables of many rounds are merged now and then, each label a logarithmic number
+of times.
 """
 
 from __future__ import annotations
@@ -19,8 +26,12 @@ from pyspark.sql import functions as F
 
 from isoreach.scratch import Scratch
 
-#: Hops relaxed before a round is written.
-HOPS = 2
+#: Width of a bucket of costs, in mean costs of an edge.
+EDGES_A_BUCKET = 8
+#: Tables of known labels of about one size that are merged into a larger one.
+MERGED = 24
+#: Frontier labels whose extensions' keys are broadcast to the known labels at most.
+FRONTIER = 20_000
 OPERATIONS = ("max_inclusive", "max_exclusive", "min_inclusive", "min_exclusive")
 
 
@@ -145,12 +156,21 @@ class Timetable:
     """Departures of edges, on a clock that shows ``start`` when a trip begins.
 
     ``departures(edge_list_id, edge_id, departure, arrival, route)`` in units
-    of cost.  An edge with departures costs the wait for the next one and the
-    ride; without a further departure it can't be used.
+    of cost.  Of an edge's departures from now on, over all its routes, the one
+    that arrives first is taken (of several the one that departs first, then
+    the least route), so a later express overtakes; its cost is the wait and
+    the ride.  Rides that arrive before they depart don't count.  Without a
+    further departure the edge can't be used.
+
+    ``mapping(route, target_day, picked_day)`` replaces dates without service:
+    on a target day, by its number (days are ``day`` units of the clock long),
+    the route runs as from the picked day on.
     """
 
     departures: DataFrame
     start: float = 0.0
+    mapping: DataFrame | None = None
+    day: float = 1440.0
 
 
 @dataclass(frozen=True)
@@ -175,15 +195,51 @@ def _added(sums: Column, at: str, value: Column) -> Column:
     return F.transform_values(sums, lambda key, v: F.when(key == at, v + value).otherwise(v))
 
 
+EDGE = ["edge_list_id", "edge_id"]
+
+
+def profiles(timetable: Timetable, latest: float) -> DataFrame:
+    """(edge_list_id, edge_id, day, times): the departures worth taking of every edge.
+
+    ``day`` is null, or the number of a day on which one of the edge's routes
+    is mapped; then the rides of mapped routes are moved back by the days that
+    a look-up would be moved forward.  ``times`` are the departures, in order,
+    that arrive before all later ones: so the first one from now on is the one
+    that arrives first.  It ends with the first one after ``latest``, and after
+    the end of its day, which bounds its length whatever the timetable's.
+    """
+    rides = timetable.departures.where("arrival >= departure").select(*EDGE, "departure", "arrival", "route").withColumn("day", F.lit(None).cast("long"))
+    if timetable.mapping is not None:
+        mapping = timetable.mapping.groupBy("route", F.col("target_day").cast("long").alias("day")).agg(F.min("picked_day").alias("picked"))
+        first, last = int(timetable.start // timetable.day), latest // timetable.day
+        mapping = mapping.where((F.col("day") >= first) & (F.col("day") <= last))
+        days = rides.select(*EDGE, "route").distinct().join(mapping.select("route", "day"), "route").select(*EDGE, "day").distinct()
+        moved = rides.drop("day").join(days, EDGE).join(mapping, ["route", "day"], "left")
+        back = F.coalesce((F.col("picked") - F.col("day")) * timetable.day, F.lit(0.0))
+        moved = moved.withColumn("departure", F.col("departure") - back).withColumn("arrival", F.col("arrival") - back)
+        rides = rides.unionByName(moved.select(*rides.columns))
+    begins = F.greatest(F.lit(float(timetable.start)), F.coalesce(F.col("day") * timetable.day, F.lit(float(timetable.start))))
+    ends = F.least(F.lit(float(latest)), F.coalesce((F.col("day") + 1) * timetable.day, F.lit(float(latest))))
+    ride = F.struct("arrival", "departure", "route")
+    of = Window.partitionBy(*EDGE, "day")
+    later = of.orderBy(F.desc("departure")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    front = rides.where(F.col("departure") >= begins).withColumn("best", F.min(ride).over(later)).where(F.col("best") == ride).dropDuplicates([*EDGE, "day", "departure"])
+    near = front.withColumn("before", F.lag("departure").over(of.orderBy("departure"))).where((F.col("departure") <= ends) | F.col("before").isNull() | (F.col("before") <= ends))
+    return near.groupBy(*EDGE, "day").agg(F.sort_array(F.collect_list(F.struct("departure", "arrival", "route"))).alias("times"))
+
+
 def _hops(edges: DataFrame, limits: Constraints, timetable: Timetable | None, on_demand: OnDemand | None) -> DataFrame:
     """Edges by their start, with departures in order and the zone of their end."""
     flags = sorted({x.arrival for x in limits.limits if x.arrival})
     hop = limits.usable(edges).select(F.col("src").alias("vertex_id"), "dst", "edge_list_id", "edge_id", "mode", F.col("cost").alias("price"), F.col("distance").alias("length"), *flags)
     if timetable:
-        used = timetable.departures.where((F.col("departure") >= timetable.start) & (F.col("departure") <= timetable.start + limits.cost))
-        listed = used.groupBy("edge_list_id", "edge_id").agg(F.sort_array(F.collect_list(F.struct("departure", "arrival", "route"))).alias("times"))
-        known = timetable.departures.select("edge_list_id", "edge_id", F.lit(True).alias("timed")).distinct()
-        hop = hop.join(known, ["edge_list_id", "edge_id"], "left").join(listed, ["edge_list_id", "edge_id"], "left")
+        found = profiles(timetable, timetable.start + limits.cost)
+        every = found.where("day is null").select(*EDGE, "times")
+        known = timetable.departures.select(*EDGE, F.lit(True).alias("timed")).distinct()
+        hop = hop.join(known, EDGE, "left").join(every, EDGE, "left")
+        if timetable.mapping is not None:
+            by_day = found.where("day is not null").groupBy(*EDGE).agg(F.map_from_entries(F.collect_list(F.struct("day", "times"))).alias("days"))
+            hop = hop.join(by_day, EDGE, "left")
     if on_demand:
         windows = on_demand.relations.groupBy(F.col("src_zone").alias("zone_id")).agg(F.collect_set(F.struct("opens", "closes")).alias("windows"))
         zone = on_demand.zones.groupBy(F.col("vertex_id").alias("dst")).agg(F.min("zone_id").alias("zone_id"))
@@ -191,14 +247,16 @@ def _hops(edges: DataFrame, limits: Constraints, timetable: Timetable | None, on
     return hop
 
 
-def _steps(labels: DataFrame, hop: DataFrame, k: int, limits: Constraints, timetable: Timetable | None, on_demand: OnDemand | None) -> DataFrame:
-    """Labels of round ``k``: valid extensions of those of the round before."""
-    frontier = labels.where((F.col("round") == k - 1) & (F.col("cost") <= limits.cost)).drop("edge_list_id", "edge_id", "parent", "boarding", "dwell")
-    j = frontier.join(hop, "vertex_id")
+def _steps(frontier: DataFrame, hop: DataFrame, limits: Constraints, timetable: Timetable | None, on_demand: OnDemand | None) -> DataFrame:
+    """The valid extensions of labels by one edge."""
+    j = frontier.drop("edge_list_id", "edge_id", "parent", "boarding", "dwell").join(hop, "vertex_id")
     price = F.col("price")
     if timetable:
         now = timetable.start + F.col("cost")
-        j = j.withColumn("next", F.get(F.filter("times", lambda t: t["departure"] >= now), F.lit(0))).where("timed is null or next is not null")
+        times = F.col("times")
+        if timetable.mapping is not None:
+            times = F.coalesce(F.element_at("days", F.floor(now / timetable.day).cast("long")), times)
+        j = j.withColumn("next", F.get(F.filter(times, lambda t: t["departure"] >= now), F.lit(0))).where("timed is null or next is not null")
         wait = F.col("next.departure") - now
         changed = ~F.col("route").eqNullSafe(F.col("next.route"))
         timed = F.col("timed").isNotNull()
@@ -232,7 +290,7 @@ def _steps(labels: DataFrame, hop: DataFrame, k: int, limits: Constraints, timet
         j = j.where((mode != on_demand.mode) | F.coalesce(riding, F.lit(False)) | open_now)
         j = j.withColumn("zone", F.when(mode == on_demand.mode, F.when(riding, F.col("zone")).otherwise(F.col("to_zone"))))
     more = ([] if not timetable else ["route", F.col("new_boarding").alias("boarding"), F.col("new_dwell").alias("dwell")]) + (["zone"] if on_demand else [])
-    return j.select("origin", F.col("dst").alias("vertex_id"), F.col("after").alias("legs"), *[c.alias(n) for n, c in new.items()], sums.alias("sums"), F.lit(k).alias("round"), "edge_list_id", "edge_id", F.col("vertex_id").alias("parent"), *more)
+    return j.select("origin", F.col("dst").alias("vertex_id"), F.col("after").alias("legs"), *[c.alias(n) for n, c in new.items()], sums.alias("sums"), (F.col("round") + 1).alias("round"), "edge_list_id", "edge_id", F.col("vertex_id").alias("parent"), *more)
 
 
 ORDER = ("cost", "round", "edge_list_id", "edge_id", "parent")
@@ -260,6 +318,78 @@ def _best(labels: DataFrame, keys: list[str], rivals: list[Column]) -> DataFrame
     return left.select(*keys, "m.row.*").select(*labels.columns).dropDuplicates([*keys, *ORDER])
 
 
+class _Known:
+    """Labels written round by round, and which of them were not extended yet."""
+
+    def __init__(self, scratch: Scratch, keys: list[str], rivals: list[Column], width: float):
+        self.scratch, self.keys, self.rivals, self.width = scratch, keys, rivals, width
+        self.written, self.merges = 0, 0
+        self.tables: list[tuple[int, str]] = []  # how often merged, and its tag
+        self.open: dict[str, dict[int, int]] = {}  # labels to extend by tag and bucket
+
+    def add(self, labels: DataFrame) -> None:
+        """Write labels; those not beyond the limit (``open``) are to be extended."""
+        tag = f"labels{self.written}"
+        self.written += 1
+        bucket = F.when(F.col("open"), F.least(F.floor(F.col("cost") / self.width), F.lit(1 << 40)) if self.width > 0 else F.lit(0)).cast("long")
+        table = self.scratch.table(labels.withColumn("bucket", bucket).drop("open"), tag)
+        counts = {r["bucket"]: r["count"] for r in table.groupBy("bucket").count().collect()}
+        if not counts:
+            self.scratch.drop(tag)
+            return
+        self.schema = table.schema
+        self.tables.append((0, tag))
+        counts.pop(None, None)
+        if counts:
+            self.open[tag] = counts
+        level = 0
+        while len(same := [t for lv, t in self.tables if lv == level]) >= MERGED:
+            merged, self.merges = f"merged{self.merges}", self.merges + 1
+            self.scratch.table(self.read(same), merged)
+            self.tables = [(lv, t) for lv, t in self.tables if lv != level] + [(level + 1, merged)]
+            level += 1
+
+    def read(self, tags: list[str]) -> DataFrame:
+        return self.scratch.spark.read.schema(self.schema).parquet(*[f"{self.scratch.root}/{t}" for t in tags])
+
+    def all(self) -> DataFrame:
+        return self.read([t for _, t in self.tables]).drop("bucket")
+
+    def frontier(self) -> tuple[DataFrame, int] | None:
+        """The labels of the lowest bucket, and how many; they count as extended from now on."""
+        if not self.open:
+            return None
+        least = min(b for counts in self.open.values() for b in counts)
+        tags = [t for t, counts in self.open.items() if least in counts]
+        labels, n = self.read(tags).where(F.col("bucket") == least).drop("bucket"), sum(self.open[t].pop(least) for t in tags)
+        self.open = {t: counts for t, counts in self.open.items() if counts}
+        return (labels if len(tags) == 1 else _best(labels, self.keys, self.rivals)), n
+
+    def unbeaten(self, labels: DataFrame, n: int) -> DataFrame:
+        """The labels that no known label of the same key beats or equals.
+
+        ``n`` labels were extended to get them: few extensions' keys are
+        broadcast, so that only known labels with such keys are shuffled.
+        """
+        named = [F.col(k).alias(f"known_{k}") for k in self.keys]
+        values = {"cost": F.col("cost")} | {f"r{i}": c for i, c in enumerate(self.rivals)}
+        known = self.all().select(*named, F.struct(*ORDER).alias("known_order"), *([v.alias(f"known_{k}") for k, v in values.items()] if self.rivals else []))
+        same = F.lit(True)
+        for k in self.keys:
+            same &= F.col(k).eqNullSafe(F.col(f"known_{k}")) if k == "zone" else F.col(k) == F.col(f"known_{k}")
+        if n <= FRONTIER:
+            known = known.join(F.broadcast(labels.select(*self.keys).distinct()), same, "left_semi")
+        mine = labels.select("*", F.struct(*ORDER).alias("order"), *[v.alias(f"mine_{k}") for k, v in values.items()])
+        beaten = F.col("known_order") <= F.col("order")
+        if self.rivals:
+            no_worse, better = F.lit(True), F.lit(False)
+            for k in values:
+                no_worse &= F.col(f"known_{k}") <= F.col(f"mine_{k}")
+                better |= F.col(f"known_{k}") < F.col(f"mine_{k}")
+            beaten = no_worse & (better | beaten)
+        return mine.join(known, same & beaten, "left_anti").select(*labels.columns)
+
+
 def reach(
     origins: DataFrame,
     edges: DataFrame,
@@ -269,7 +399,7 @@ def reach(
     by_mode: bool = False,
     timetable: Timetable | None = None,
     on_demand: OnDemand | None = None,
-    rounds: int = 10_000,
+    bucket: float | None = None,
 ) -> DataFrame:
     """The search tree of every origin: one row per vertex, or per vertex and sequence of modes.
 
@@ -283,9 +413,10 @@ def reach(
     vertex and ``zone`` of the current ride, and whether it may end there
     (``may_alight``).
 
-    Each round is a join with the edges and an aggregation by (origin, vertex),
-    written to the shared folder; nothing is broadcast but what Spark finds
-    small.
+    ``bucket`` is the width of a bucket of costs, by default so many mean costs
+    of an edge.  There is no limit on rounds: they end when no label is left to
+    extend.  Labels are written to the shared folder; nothing is broadcast but
+    the keys of a small frontier and what Spark finds small.
     """
     spark = origins.sparkSession
     scratch = Scratch(spark, "search")
@@ -315,18 +446,22 @@ def reach(
     )
     keys = ["origin", "vertex_id", *(["legs"] if by_mode or limits.tells_legs() else []), *(["zone"] if on_demand else [])]
     rivals = limits.rivals()
-    known, k = scratch.table(start, "0"), 0
-    while True:
-        if k >= rounds:
-            raise RuntimeError(f"labels still improve after {rounds} rounds")
-        at, grown = k, known
-        for _ in range(HOPS):
-            k += 1
-            grown = _best(grown.unionByName(_steps(grown, hop, k, limits, timetable, on_demand)), keys, rivals)
-        known = scratch.table(grown, str(k))
-        scratch.drop(str(at))
-        if known.where(F.col("round") == k).isEmpty():
-            break
+    if bucket is None:
+        mean = hop.agg(F.avg("price")).head()[0] if limits.cost < float("inf") else None
+        bucket = EDGES_A_BUCKET * mean if mean else float("inf")
+    known = _Known(scratch, keys, rivals, 0.0 if bucket == float("inf") else bucket)
+    known.add(start.withColumn("open", F.col("cost") <= limits.cost))
+    while (found := known.frontier()) is not None:
+        labels, n = found
+        longer = _best(_steps(labels, hop, limits, timetable, on_demand), keys, rivals)
+        known.add(known.unbeaten(longer, n).withColumn("open", F.col("cost") <= limits.cost))
+    if not known.tables:
+        return _tree(start, None, by_mode, timetable, on_demand)
+    return _tree(known.all(), most, by_mode, timetable, on_demand)
+
+
+def _tree(known: DataFrame, most: int | None, by_mode: bool, timetable: Timetable | None, on_demand: OnDemand | None) -> DataFrame:
+    """The best known labels as a search tree."""
     tree = _best(known, ["origin", "vertex_id", *(["legs"] if by_mode else []), *(["zone"] if on_demand else [])], [])
     if most is not None:
         rank = F.row_number().over(Window.partitionBy("origin").orderBy(*ORDER, "vertex_id"))

@@ -11,15 +11,16 @@ SHARES = 2000
 LEAST = 200
 
 
-def join_spread(rows: DataFrame, other: DataFrame, keys: list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+def join_spread(rows: DataFrame, other: DataFrame, keys: list[str], counts: DataFrame | None = None, how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined with ``other`` on ``keys``, with the rows of hot keys dealt over several tasks.
 
     A hot key has more than one part in ``SHARES`` of ``rows``, which bounds
     the list of hot keys (the only thing broadcast) and the copies made of
     ``other``, whatever the input.  ``counts(keys, n)`` are the rows of each
-    key, where they are known already; ``rows`` should be a written table.
+    key and ``total`` those of all, where they are known already; else ``rows``
+    should be a written table.
     """
-    total = rows.count()
+    total = rows.count() if total is None else total
     if total <= LEAST:
         return rows.join(other.hint("merge"), keys, how)
     least = max(LEAST, total // SHARES)

@@ -122,11 +122,98 @@ def test_timetable(spark):
     origins = spark.createDataFrame([(1,)], "origin long")
     tree = {r["vertex_id"]: r for r in reach(origins, edges, Constraints(cost=100.0), timetable=Timetable(times, 480.0)).collect()}
     assert (tree[3]["cost"], tree[3]["route"], tree[3]["boarding"], tree[3]["dwell"]) == (10.0, 7, 1.0, None)
-    assert (tree[4]["cost"], tree[4]["route"], tree[4]["boarding"], tree[4]["mode_seq"]) == (19.0, 8, 0.0, "walk-transit")
+    assert (tree[4]["cost"], tree[4]["route"], tree[4]["dwell"], tree[4]["mode_seq"]) == (15.0, 7, 1.0, "walk-transit")
     late = {r["vertex_id"]: r["cost"] for r in reach(origins, edges, Constraints(cost=100.0), timetable=Timetable(times, 494.0)).collect()}
     assert late == {1: 0.0, 2: 5.0, 3: 9.0, 4: 60.0}
 
 
+DEPARTURES = "edge_list_id int, edge_id long, departure double, arrival double, route string"
+
+
+def test_express_overtakes(spark):
+    """The ride that arrives first wins, though another leaves before it."""
+    edges = spark.createDataFrame([(1, 2, 1, 1, "transit", 0.0, 900.0)], EDGES)
+    origins = spark.createDataFrame([(1,)], "origin long")
+    find = lambda rows, start, **k: [(r["cost"], r["route"]) for r in reach(origins, edges, Constraints(cost=100.0), timetable=Timetable(spark.createDataFrame(rows, DEPARTURES), start, **k)).collect() if r["edge_id"]]
+    rows = [(1, 1, 5.0, 50.0, "slow"), (1, 1, 6.0, 10.0, "express"), (1, 1, 7.0, 6.5, "wrong"), (1, 1, 30.0, 49.0, "last"), (1, 1, 30.0, 48.0, "least"), (1, 1, 30.0, 48.0, "same")]
+    assert find(rows, 0.0) == [(10.0, "express")] and find(rows, 6.5) == [(41.5, "least")] and find(rows, 31.0) == []
+    beyond = [(1, 1, 5.0, 300.0, "slow"), (1, 1, 120.0, 130.0, "late")]  # departs beyond the limit, arrives first
+    assert find(beyond, 0.0) == [(130.0, "late")]
+
+
+def test_dates_are_mapped_before_the_look_up(spark):
+    """Days of 100 units: on day 2 route "a" runs as on day 0, and on to day 1; "b" runs by its own dates."""
+    edges = spark.createDataFrame([(1, 2, 1, 1, "transit", 0.0, 900.0)], EDGES)
+    origins = spark.createDataFrame([(1,)], "origin long")
+    rows = [(1, 1, 20.0, 30.0, "a"), (1, 1, 120.0, 125.0, "a"), (1, 1, 250.0, 255.0, "b"), (1, 1, 310.0, 320.0, "b")]
+    mapping = spark.createDataFrame([("a", 2, 0), ("c", 2, 1)], "route string, target_day long, picked_day long")
+    times = spark.createDataFrame(rows, DEPARTURES)
+    find = lambda start: [(r["cost"], r["route"]) for r in reach(origins, edges, Constraints(cost=150.0), timetable=Timetable(times, start, mapping, 100.0)).collect() if r["edge_id"]]
+    assert find(205.0) == [(25.0, "a")]  # as at 5, back by two days
+    assert find(221.0) == [(34.0, "b")] and find(256.0) == [(64.0, "b")]
+    assert find(100.0) == [(25.0, "a")] and find(300.0) == [(20.0, "b")]
+
+
+def test_timetables_against_enumeration(spark):
+    """Arrivals over a small network of rides and walks, by label setting in plain Python, dates mapped or not."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(7), rng.randrange(7), i % 2, i, "walk" if i % 5 == 0 else "transit", float(rng.randint(4, 30)), 100.0) for i in range(30)]
+    rides = [(r[2], r[3], float(d), float(d + rng.randint(0, 60)), rng.choice("xyz")) for r in rows if r[4] == "transit" for d in (rng.randrange(600) for _ in range(9))]
+    days = {("x", 2): 1, ("y", 2): 4, ("x", 3): 0, ("z", 9): 1}
+    mapping = spark.createDataFrame([(*k, v) for k, v in days.items()], "route string, target_day long, picked_day long")
+    times = spark.createDataFrame(rides, DEPARTURES)
+    for start, maps in ((230.0, {}), (230.0, days)):
+        want = {0: 0.0}
+        for _ in range(60):  # arrivals only fall; with maps a later start may arrive earlier, so take every label
+            for src, dst, lst, e, mode, cost, _ in rows:
+                if src in want and want[src] <= 120:
+                    now = start + want[src]
+                    if mode == "walk":
+                        got = want[src] + cost
+                    else:
+                        options = []
+                        for li, ei, dep, arr, route in rides:
+                            shift = (maps.get((route, now // 100), now // 100) - now // 100) * 100
+                            if (li, ei) == (lst, e) and dep >= now + shift:
+                                options.append(arr - shift)
+                        if not options:
+                            continue
+                        got = min(options) - start
+                    want[dst] = min(got, want.get(dst, got))
+        tree = reach(spark.createDataFrame([(0,)], "origin long"), spark.createDataFrame(rows, EDGES), Constraints(cost=120.0), timetable=Timetable(times, start, mapping if maps else None, 100.0))
+        assert {r["vertex_id"]: r["cost"] for r in tree.collect()} == want
+
+
+@pytest.mark.parametrize("bucket", [None, 3.0, 1000.0, float("inf")])
+def test_buckets_and_merges_change_nothing(spark, monkeypatch, bucket):
+    """Costs and edges of a grid with ties, by any bucket width, merged tables and keys not broadcast."""
+    from isoreach.graph import search
+
+    monkeypatch.setattr(search, "MERGED", 3)
+    monkeypatch.setattr(search, "FRONTIER", 0 if bucket == 3.0 else 20_000)
+    rng = random.Random(2)
+    rows = []
+    for k in range(36):
+        for to in (k + 1 if k % 6 < 5 else None, k + 6 if k < 30 else None):
+            if to is not None:
+                rows += [(k, to, 0, len(rows), "walk", float(rng.randint(0, 4)), 1.0), (to, k, 0, len(rows) + 1, "walk", float(rng.randint(1, 4)), 1.0)]
+    want = {}
+    for origin in (0, 20):
+        best = {origin: (0.0, 0)}
+        for _ in range(80):
+            for src, dst, _, _, _, cost, _ in rows:
+                if src in best and best[src][0] <= 9.0:
+                    got = (best[src][0] + cost, best[src][1] + 1)
+                    best[dst] = min(best.get(dst, got), got)
+        want |= {(origin, v): c for v, (c, _) in best.items()}
+    tree = reach(spark.createDataFrame([(0,), (20,), (0,)], "origin long"), spark.createDataFrame(rows, EDGES), Constraints(cost=9.0), bucket=bucket)
+    found = tree.collect()
+    assert {(r["origin"], r["vertex_id"]): r["cost"] for r in found} == want and len(found) == len(want)
+    for r in found:
+        assert r["edge_id"] is None or rows[r["edge_id"]][:2] == (r["parent"], r["vertex_id"])
+    assert reach(spark.createDataFrame([], "origin long"), spark.createDataFrame(rows, EDGES), Constraints(cost=9.0)).count() == 0
+
+
 def test_on_demand(spark):
     """A ride starts in a zone with an open relation and may end where it leads."""
     edges = spark.createDataFrame([(1, 2, 0, 1, "flex", 5.0, 400.0), (2, 3, 0, 2, "flex", 5.0, 400.0), (1, 4, 0, 3, "flex", 1.0, 100.0), (3, 5, 0, 4, "walk", 2.0, 100.0)], EDGES)
