@@ -21,7 +21,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from isoreach.scratch import Scratch
@@ -32,6 +32,8 @@ EDGES_A_BUCKET = 8
 MERGED = 24
 #: Frontier labels whose extensions' keys are broadcast to the known labels at most.
 FRONTIER = 20_000
+#: Known labels that Spark may broadcast whole, as it sees fit.
+FEW = 100_000
 OPERATIONS = ("max_inclusive", "max_exclusive", "min_inclusive", "min_exclusive")
 
 
@@ -323,7 +325,7 @@ class _Known:
 
     def __init__(self, scratch: Scratch, keys: list[str], rivals: list[Column], width: float):
         self.scratch, self.keys, self.rivals, self.width = scratch, keys, rivals, width
-        self.written, self.merges = 0, 0
+        self.written, self.merges, self.total = 0, 0, 0
         self.tables: list[tuple[int, str]] = []  # how often merged, and its tag
         self.open: dict[str, dict[int, int]] = {}  # labels to extend by tag and bucket
 
@@ -332,16 +334,19 @@ class _Known:
         tag = f"labels{self.written}"
         self.written += 1
         bucket = F.when(F.col("open"), F.least(F.floor(F.col("cost") / self.width), F.lit(1 << 40)) if self.width > 0 else F.lit(0)).cast("long")
-        table = self.scratch.table(labels.withColumn("bucket", bucket).drop("open"), tag)
-        counts = {r["bucket"]: r["count"] for r in table.groupBy("bucket").count().collect()}
-        if not counts:
+        seen = Observation(tag)
+        measures = (F.count(F.lit(1)).alias("n"), F.count("bucket").alias("open"), F.min("bucket").alias("least"), F.max("bucket").alias("most"))
+        table = self.scratch.table(labels.withColumn("bucket", bucket).drop("open").observe(seen, *measures), tag)
+        found = seen.get
+        if not found.get("n"):
             self.scratch.drop(tag)
             return
-        self.schema = table.schema
+        self.schema, self.total = table.schema, self.total + found["n"]
         self.tables.append((0, tag))
-        counts.pop(None, None)
-        if counts:
-            self.open[tag] = counts
+        if found["open"] and found["least"] == found["most"]:
+            self.open[tag] = {found["least"]: found["open"]}
+        elif found["open"]:
+            self.open[tag] = {r["bucket"]: r["count"] for r in table.where("bucket is not null").groupBy("bucket").count().collect()}
         level = 0
         while len(same := [t for lv, t in self.tables if lv == level]) >= MERGED:
             merged, self.merges = f"merged{self.merges}", self.merges + 1
@@ -377,7 +382,7 @@ class _Known:
         same = F.lit(True)
         for k in self.keys:
             same &= F.col(k).eqNullSafe(F.col(f"known_{k}")) if k == "zone" else F.col(k) == F.col(f"known_{k}")
-        if n <= FRONTIER:
+        if n <= FRONTIER and self.total > FEW:
             known = known.join(F.broadcast(labels.select(*self.keys).distinct()), same, "left_semi")
         mine = labels.select("*", F.struct(*ORDER).alias("order"), *[v.alias(f"mine_{k}") for k, v in values.items()])
         beaten = F.col("known_order") <= F.col("order")

@@ -190,6 +190,7 @@ def test_buckets_and_merges_change_nothing(spark, monkeypatch, bucket):
     from isoreach.graph import search
 
     monkeypatch.setattr(search, "MERGED", 3)
+    monkeypatch.setattr(search, "FEW", 0)
     monkeypatch.setattr(search, "FRONTIER", 0 if bucket == 3.0 else 20_000)
     rng = random.Random(2)
     rows = []
