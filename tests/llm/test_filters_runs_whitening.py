@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from isoreach.llm import registry, runs, url_filter, whitening
+from isoreach.llm import pii, registry, runs, url_filter, whitening
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PERIODIC = "doc_id long, text string, lang string, runs int, _t long"
@@ -197,3 +197,58 @@ def test_deviations_beyond_64_bits():
 def test_registered():
     assert {"op11_url_filter", "op12_periodic_runs", "op13_embedding_whitening"} <= set(registry.queries())
     assert "op11_url_filter" in registry.oracle_sql()
+
+
+def test_added_spans_against_brute_force(spark):
+    """All spans of long texts, across blocks of matches, and the text without them."""
+    rng = random.Random(21)
+
+    def piece(i):
+        return rng.choice([f"user{i}.x@mail{i}.example.com", f"token = {rng.getrandbits(128):032x}", f"ssn {rng.randrange(100, 999)}-12-{rng.randrange(1000, 9999)}", "call 555-123-4567", "wörds \U0001f600", "10.2.3.4", "+1 (555) 010-9999", "mail a.b(at)c-1.de", "password: 'abcdefghijklmnopqrst/uv'", "\n"])
+
+    texts = [None, "", *[rng.choice([" ", "", "; "]).join(piece(i) for i in range(n)) for n in (1, 5, 255, 256, 257, 900, 3000) for _ in range(2)]]
+    trees = pii.model()
+    least = pii.thresholds(trees)
+    valid = {
+        "email": lambda v: True,
+        "ip": lambda v: all(int(x) < 256 for x in v.split(".")),
+        "card": lambda v: 12 <= len(d := re.sub("[^0-9]", "", v)) <= 19 and sum(int(c) if k % 2 == 0 else int(c) * 2 % 10 + (int(c) > 4) for k, c in enumerate(reversed(d))) % 10 == 0,
+        "phone": lambda v: 9 <= len(re.sub("[^0-9]", "", v)) <= 15,
+    }
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def spans(text):
+        base = [(m.start(), k, m.end(), kind) for k, kind in enumerate(pii.BASE_KINDS) for m in re.finditer(plain[kind], text) if valid[kind](m.group())]
+        found = []
+        for k, g in enumerate(pii.GENERATORS):
+            for m in re.finditer(g.pattern, text):
+                margin = float(trees.margin(np.array([pii.features_of(k, m.group(), text[max(0, m.start() - pii.BEFORE) : m.start()])]))[0])
+                if margin >= least[k] and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
+                    found.append((m.start(), m.end(), k, margin))
+        rank = lambda c: (-c[3], c[0], c[2])
+        kept = [c for c in found if not any(c[0] < d[1] and d[0] < c[1] and rank(d) < rank(c) for d in found)]
+        return sorted(base + [(s, k + 4, e, pii.GENERATORS[k].kind) for s, e, k, _ in kept])
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    for k, text in enumerate(texts):
+        want = spans(text or "")
+        assert got[k] == ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in want)
+        out, at = [], 0
+        for s, _, e, kind in want:
+            if s >= at:
+                out.append((text or "")[at:s] + f"[{kind}]")
+            at = max(at, e)
+        assert masked[k] == (None if text is None else "".join(out) + text[at:])
+
+
+def test_thresholds_on_other_negatives():
+    trees = pii.model()
+    least = np.array(pii.thresholds(trees))
+    kind = pii.FEATURES.index("kind")
+    for rows, most in ((pii.other_negatives(800, 77), 0.02),):
+        assert (trees.margin(rows) >= least[rows[:, kind].astype(int)]).mean() <= most
+    x, y = pii.examples(1000, 78)
+    chosen = trees.margin(x) >= least[x[:, kind].astype(int)]
+    assert np.isfinite(least).all() and chosen[y > 0].mean() >= 0.9 and y[chosen].mean() >= 0.97
