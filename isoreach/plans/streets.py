@@ -87,6 +87,17 @@ def transit_tree(spark, sf_dir):
     return _costs(reach(_origins(spark, sf_dir), edges, Constraints(cost=30.0), timetable=Timetable(times, 60.0))).where("cost < 30")
 
 
+def express_tree(spark, sf_dir):
+    """Earliest arrivals where later rides overtake, and two routes run by the dates of other days."""
+    edges = torus(spark, sf_dir).withColumn("mode", F.when(F.col("mode") == "walk", "walk").otherwise("transit"))
+    k, i = F.col("edge_id"), F.col("i")
+    ride = edges.where("mode = 'transit'").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(100)))).withColumn("departure", i * (5 + k % 7) + k % 3)
+    times = ride.select("edge_list_id", "edge_id", F.col("departure").cast("double").alias("departure"), (F.col("departure") + 1 + (i * 7 + k) % 23).cast("double").alias("arrival"), ((i + k) % 5).alias("route"))
+    regions = table(spark, sf_dir, "region").where("r_regionkey in (0, 2)")  # routes 0 and 2 have no service on day 1
+    mapping = regions.select(F.col("r_regionkey").cast("long").alias("route"), F.lit(1).cast("long").alias("target_day"), F.col("r_regionkey").cast("long").alias("picked_day"))
+    return _costs(reach(_origins(spark, sf_dir), edges, Constraints(cost=30.0), timetable=Timetable(times, 75.0, mapping, 60.0))).where("cost < 30")
+
+
 def on_demand_tree(spark, sf_dir):
     """Costs with rides on demand, from regions that still serve others, and where they may end."""
     edges = torus(spark, sf_dir).withColumn("mode", F.when(F.col("mode") == "walk", "walk").otherwise("flex"))
@@ -279,6 +290,12 @@ SELECT CAST(o AS BIGINT) AS origin, CAST(v AS BIGINT) AS vertex_id, min(cost) AS
 ck AS (SELECT t.edge_id, n, min(dep) AS dep FROM tt t, range(60, 91) c(n) WHERE dep >= n AND dep <= 90 GROUP BY 1, 2), rd AS (SELECT ck.edge_id, n, arr - n AS mins FROM ck JOIN tt ON tt.edge_id = ck.edge_id AND tt.dep = ck.dep),
 st AS (SELECT src, dst, n, rd.mins FROM torus JOIN rd USING (edge_id) UNION ALL SELECT src, dst, n, torus.mins FROM torus, range(60, 91) c(n) WHERE mode = 'walk'),
 p AS (SELECT n_nationkey AS o, n_nationkey AS v, CAST(0 AS BIGINT) AS cost FROM nation UNION SELECT p.o, st.dst, p.cost + st.mins FROM p JOIN st ON st.src = p.v AND st.n = 60 + p.cost WHERE p.cost + st.mins < 30)
+SELECT CAST(o AS BIGINT) AS origin, CAST(v AS BIGINT) AS vertex_id, min(cost) AS cost FROM p WHERE v <> o GROUP BY 1, 2"""),
+    "express_tree": (express_tree, f"""{MODES_SQL}, tt AS (SELECT edge_id, d * (5 + edge_id % 7) + edge_id % 3 AS dep, d * (5 + edge_id % 7) + edge_id % 3 + 1 + (d * 7 + edge_id) % 23 AS arr, (d + edge_id) % 5 AS route FROM torus, range(0, 101) r(d) WHERE mode = 'bike'),
+mv AS (SELECT edge_id, dep - 60 * (pk - 1) AS dep, arr - 60 * (pk - 1) AS arr FROM (SELECT *, CASE route WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS pk FROM tt)),
+rd AS (SELECT edge_id, n, min(arr) - n AS mins FROM mv, range(75, 106) c(n) WHERE dep >= n GROUP BY 1, 2),
+st AS (SELECT src, dst, n, rd.mins FROM torus JOIN rd USING (edge_id) UNION ALL SELECT src, dst, n, torus.mins FROM torus, range(75, 106) c(n) WHERE mode = 'walk'),
+p AS (SELECT n_nationkey AS o, n_nationkey AS v, CAST(0 AS BIGINT) AS cost FROM nation UNION SELECT p.o, st.dst, p.cost + st.mins FROM p JOIN st ON st.src = p.v AND st.n = 75 + p.cost WHERE p.cost + st.mins < 30)
 SELECT CAST(o AS BIGINT) AS origin, CAST(v AS BIGINT) AS vertex_id, min(cost) AS cost FROM p WHERE v <> o GROUP BY 1, 2"""),
     "on_demand_tree": (on_demand_tree, f"""{MODES_SQL}, z AS (SELECT n_nationkey AS v, n_regionkey AS z FROM nation),
 p AS (SELECT n_nationkey AS o, n_nationkey AS v, CAST(0 AS BIGINT) AS cost, -1 AS zone FROM nation

@@ -1,5 +1,7 @@
 """Components, islands, contraction and importers on hand-made networks."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,31 @@ def test_renumber_keeps_order(spark):
     out = islands.renumbered(edges, edges.where(F.col("edge_id") % 3 == 0), buckets=4)
     got = sorted((r["edge_id"], r["old_edge_id"]) for r in out.collect())
     assert got == list(enumerate(i for i in range(50) if i % 3))
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_components_of_long_chains(spark, monkeypatch, few):
+    """Ids that fall away from the least node, in order or not, with pointers broadcast or joined."""
+    from isoreach.graph import components as module
+
+    monkeypatch.setattr(module, "BROADCAST", few)
+    rng = random.Random(3)
+    ids = list(range(10_000, 11_500))
+    rng.shuffle(ids)
+    edges = [(0, 4000), *[(k, k - 1) for k in range(4000, 1, -1)], *zip(ids, ids[1:], strict=False), (20_000, 20_000), (None, 20_001), (30_000, 30_001), (30_001, 30_000)]
+    got = dict(map(tuple, module.components(spark.createDataFrame(edges, "src long, dst long")).collect()))
+    assert got == {k: 0 for k in range(4001)} | {k: 10_000 for k in ids} | {20_000: 20_000, 30_000: 30_000, 30_001: 30_000}
+
+
+def test_components_leave_one_table(spark):
+    import os
+
+    from isoreach.scratch import _made, release
+
+    from isoreach.graph.components import components
+
+    found = components(spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "src long, dst long"))
+    assert os.listdir(_made[-1]) == ["components"] and found.count() == 5
+    assert components(spark.createDataFrame([], "src string, dst string")).count() == 0
+    release(spark)
+    assert not _made
