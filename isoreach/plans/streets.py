@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from isoreach.functions import tags
 from isoreach.graph import contraction, islands
 from isoreach.graph.search import Constraints, Limit, OnDemand, Timetable, reach, with_costs
 from isoreach.operators import bins, isochrones as iso, opportunities as opp, overture
@@ -204,6 +205,18 @@ def simplified_chains(spark, sf_dir):
     return made.select("src", "dst", F.round("distance", 4).alias("distance"), F.size("nodes").alias("nodes"), F.element_at("way_ids", 1).alias("way_id"), "highway")
 
 
+def simplified_tags(spark, sf_dir):
+    """Tags along the same chains: sidewalks by return flag, speeds by quantity."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.max("l_quantity").alias("most"))
+    tagged = lines.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("src"),
+        F.when(F.col("flag") == "R", "both").when(F.col("flag") == "A", "no").alias("sidewalk"),
+        F.when(F.col("most") >= 25, "30 mph").otherwise("20 mph").alias("maxspeed"),
+    )
+    made = contraction.simplify(_chains(spark, sf_dir).join(tagged, "src"), tags=("sidewalk", "maxspeed"))
+    return made.select("src", "dst", "sidewalk", "maxspeed", tags.reduce_numbers(F.regexp_replace("maxspeed", " mph", ""), "min").cast("int").alias("least_mph"))
+
+
 def consolidated_corners(spark, sf_dir):
     """Corners of a street with gaps, merged where an edge joins close ones."""
     k = F.col("p_partkey")
@@ -313,6 +326,11 @@ g AS (SELECT a.osmid, a.s AS x, b.s AS y, one FROM nd a JOIN nd b ON a.osmid = b
 SELECT src, dst, min(osmid) AS way_id, round(2 * 6371008.8 * asin(sqrt(power(sin(radians(dst * 0.001 - src * 0.001) / 2), 2))), 3) AS distance, round(CAST(30 * 1.609344 AS DOUBLE), 4) AS kph FROM e WHERE src <> dst GROUP BY 1, 2"""),
     "truncated_edges": (truncated_edges, f"WITH {STREETS_SQL}, i AS (SELECT src, dst, src % {WIDTH} BETWEEN 5 AND 20 AND src // {WIDTH} BETWEEN 5 AND 16 AS a, dst % {WIDTH} BETWEEN 5 AND 20 AND dst // {WIDTH} BETWEEN 5 AND 16 AS b FROM st) SELECT src, dst, a AND b AS both FROM i WHERE a OR b"),
     "simplified_chains": (simplified_chains, f"WITH {CHAIN_SQL} SELECT o * 10 + min(i) AS src, o * 10 + max(i) + 1 AS dst, round(sum(d), 4) AS distance, CAST(count(*) + 1 AS INTEGER) AS nodes, o AS way_id, 'residential' AS highway FROM rn GROUP BY o, run"),
+    "simplified_tags": (simplified_tags, """WITH ln AS (SELECT l_orderkey AS o, l_linenumber AS i, CASE min(l_returnflag) WHEN 'R' THEN 'both' WHEN 'A' THEN 'no' END AS s, CASE WHEN max(l_quantity) >= 25 THEN '30 mph' ELSE '20 mph' END AS m FROM lineitem GROUP BY 1, 2),
+ch AS (SELECT a.* FROM ln a JOIN ln b ON a.o = b.o AND b.i = a.i + 1), rn AS (SELECT *, i - row_number() OVER (PARTITION BY o ORDER BY i) AS run FROM ch),
+sw AS (SELECT o, run, i, s, lag(s) OVER (PARTITION BY o, run ORDER BY i) AS p FROM rn WHERE s IS NOT NULL), sj AS (SELECT o, run, string_agg(s, '#' ORDER BY i) AS sidewalk FROM sw WHERE s IS DISTINCT FROM p GROUP BY 1, 2),
+mw AS (SELECT o, run, i, m, lag(m) OVER (PARTITION BY o, run ORDER BY i) AS p FROM rn), mj AS (SELECT o, run, string_agg(m, '#' ORDER BY i) AS maxspeed FROM mw WHERE m IS DISTINCT FROM p GROUP BY 1, 2)
+SELECT o * 10 + min(i) AS src, o * 10 + max(i) + 1 AS dst, any_value(sidewalk) AS sidewalk, any_value(maxspeed) AS maxspeed, CAST(CASE WHEN any_value(maxspeed) LIKE '%20%' THEN 20 ELSE 30 END AS INTEGER) AS least_mph FROM rn JOIN mj USING (o, run) LEFT JOIN sj USING (o, run) GROUP BY o, run"""),
     "consolidated_corners": (consolidated_corners, """WITH k AS (SELECT p_partkey AS k, max(p_partkey) OVER () AS last FROM part), m AS (SELECT k, last, CASE WHEN k % 2 = 1 THEN k - 1 ELSE k END AS g FROM k)
 SELECT g AS vertex_id, round(avg(CASE WHEN k % 2 = 0 THEN k + 0.9 ELSE k END), 6) AS x, CAST(count(*) AS INTEGER) AS merged, CASE WHEN max(k) < max(last) THEN g + 2 ELSE -1 END AS next FROM m GROUP BY g"""),
     "strong_labels": (strong_labels, f"WITH RECURSIVE {RIDES_SQL}, nd AS (SELECT src AS v FROM ri UNION SELECT dst FROM ri), r AS (SELECT v AS a, v AS b FROM nd UNION SELECT r.a, ri.dst FROM r JOIN ri ON ri.src = r.b) SELECT x.a AS vertex_id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1"),
