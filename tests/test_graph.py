@@ -132,3 +132,13 @@ def test_components_leave_one_table(spark):
     assert components(spark.createDataFrame([], "src string, dst string")).count() == 0
     release(spark)
     assert not _made
+
+
+def test_tags_of_merged_streets(spark):
+    """Values in order, without nulls, equal neighbours once; null without any."""
+    edges = spark.createDataFrame([(1, 2, 10.0, 7, "residential", "no", None), (2, 3, 5.0, 7, "residential", None, None), (3, 4, 5.0, 8, "service", "no", None), (4, 5, 1.0, 8, "service", "both", None), (5, 6, 1.0, 9, "service", "no", None)], "src long, dst long, distance double, way_id long, highway string, sidewalk string, cycleway string")
+    made = contraction.simplify(edges, tags=("sidewalk", "cycleway")).collect()
+    assert [(r["src"], r["dst"], r["sidewalk"], r["cycleway"]) for r in made] == [(1, 6, "no#both#no", None)]
+    nodes = spark.createDataFrame([(1, 0.0, 0.0, "stop"), (2, 0.1, 0.0, None), (3, 0.2, 0.0, "stop"), (4, 9.0, 0.0, "signal")], "vertex_id long, x double, y double, highway string")
+    merged, _ = contraction.consolidate(nodes, spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long"), 0.1, tags=("highway",))
+    assert {r["vertex_id"]: r["highway"] for r in merged.collect()} == {1: "stop", 4: "signal"}
