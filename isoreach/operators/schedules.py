@@ -57,6 +57,37 @@ def archive_summary(stop_times: DataFrame, trip: str = "trip_id", order: str = "
     return per.agg(F.count(F.lit(1)).alias("trips"), F.sum("legs").alias("legs"), F.sum("unique_legs").alias("unique_legs"))
 
 
+def archive_summaries(stop_times: DataFrame, trips: DataFrame, shapes: DataFrame, archive: str = "archive") -> DataFrame:
+    """Per archive its trips, shapes, legs, distinct legs per trip, and the trips with a known shape.
+
+    Trips with fewer than two stops have no legs and count for no shape;
+    ``coverage`` is the share of all trips that have a known shape (0 without trips).
+    """
+    legs = stop_pairs(stop_times.withColumn("_t", F.struct(archive, "trip_id")).withColumn("stop_sequence", F.col("stop_sequence").cast("int")), "_t", "stop_sequence", ("stop_id",))
+    per = legs.groupBy("_t").agg(F.count(F.lit(1)).alias("legs"), F.count_distinct("src_stop_id", "dst_stop_id").alias("unique_legs")).select(F.col(f"_t.{archive}").alias(archive), F.col("_t.trip_id").alias("trip_id"), "legs", "unique_legs")
+    known = shapes.select(archive, "shape_id").distinct().withColumn("_known", F.lit(1))
+    each = trips.select(archive, "trip_id", "shape_id").dropDuplicates([archive, "trip_id"]).join(per, [archive, "trip_id"], "left").join(known, [archive, "shape_id"], "left")
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    out = each.groupBy(archive).agg(F.count(F.lit(1)).alias("trips"), count("legs").alias("legs"), count("unique_legs").alias("unique_legs"), count(F.when(F.col("legs").isNotNull(), F.col("_known"))).alias("shaped"))
+    out = out.join(known.groupBy(archive).agg(F.count(F.lit(1)).alias("shapes")), archive, "full").fillna(0, ["trips", "legs", "unique_legs", "shaped", "shapes"])
+    return out.withColumn("coverage", F.coalesce(F.try_divide(F.col("shaped"), F.col("trips")), F.lit(0.0)))
+
+
+def checked_routes(schedules: DataFrame, routes: DataFrame) -> DataFrame:
+    """Schedule rows whose route is known; an unknown one is an error: ``routes(route)``."""
+    met = schedules.join(routes.select("route").distinct().withColumn("_known", F.lit(1)), "route", "left")
+    test = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("unknown route "), F.coalesce("route", F.lit("null")))).cast("int")).otherwise(1)
+    return met.where(test == 1).select(schedules.columns)
+
+
+def checked_edges(schedules: DataFrame, edge_ids: int) -> DataFrame:
+    """Schedule rows of edges 0 to ``edge_ids - 1``, each of which must have some; a gap or another id is an error."""
+    found = schedules.agg(F.count_distinct("edge_id").alias("n"), F.min("edge_id").alias("lo"), F.max("edge_id").alias("hi")).first()
+    if (found["n"], found["lo"] or 0, found["hi"] if found["n"] else -1) != (edge_ids, 0, edge_ids - 1):
+        raise ValueError(f"edge ids are not dense: {found['n']} ids from {found['lo']} to {found['hi']} for {edge_ids} edges")
+    return schedules
+
+
 def active_dates(calendar: DataFrame, exceptions: DataFrame) -> DataFrame:
     """(service_id, date): calendar days on their weekdays, plus added, minus deleted dates."""
     days = F.explode(F.sequence("start_date", "end_date"))

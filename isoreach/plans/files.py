@@ -8,7 +8,8 @@ from isoreach import sinks
 from isoreach.operators import bins, opportunities as opp
 from isoreach.plans.domain import opportunities, table, torus, vertices
 from isoreach.scratch import Scratch
-from isoreach.sources import flex, gtfs, tables
+from isoreach.operators import schedules as sched
+from isoreach.sources import flex, gtfs, osm, pbf, tables
 
 
 def _folder(spark) -> str:
@@ -152,6 +153,54 @@ def route_shapes(spark, sf_dir):
     return gtfs.shapes(rows)
 
 
+def _archives(spark, sf_dir):
+    """Zipped archives by order priority: orders are trips over suppliers, those of one status share a shape."""
+    path = _folder(spark)
+    o = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))
+    archive = F.substring("o_orderpriority", 1, 1).alias("archive")
+    times = lines.join(o, lines["l_orderkey"] == o["o_orderkey"]).select(archive, F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("stop_sequence"), F.col("s").alias("stop_id"), F.format_string("%02d:00:00", "l_linenumber").alias("arrival_time"), F.lit(None).cast("string").alias("departure_time"))
+    trips = o.select(archive, F.col("o_orderkey").alias("trip_id"), F.col("o_custkey").alias("route_id"), F.lit("s, \"daily\"").alias("service_id"), F.col("o_orderstatus").alias("shape_id"))
+    shapes = o.where("o_orderstatus <> 'P'").select(archive, F.col("o_orderstatus").alias("shape_id"), F.lit(0).alias("shape_pt_sequence"), F.lit(0.5).alias("shape_pt_lon"), F.lit(1.5).alias("shape_pt_lat")).distinct()
+    plain = o.select(archive).distinct()
+    stops = lines.join(o, lines["l_orderkey"] == o["o_orderkey"]).select(archive, F.col("s").alias("stop_id"), F.lit(None).cast("string").alias("parent_station"), F.lit("1.0").alias("stop_lon"), F.lit("2.0").alias("stop_lat")).distinct()
+    routes = o.select(archive, F.col("o_custkey").alias("route_id"), F.lit("a").alias("agency_id")).distinct()
+    sinks.archives({"agency": plain.withColumn("agency_id", F.lit("a")), "stops": stops, "routes": routes, "trips": trips, "stop_times": times, "shapes": shapes}, path)
+    return path
+
+
+def zipped_archives(spark, sf_dir):
+    """Members of written zipped archives, by archive: trips, routes, stops and hours of arrival."""
+    path = _archives(spark, sf_dir)
+    times, trips = gtfs.read_archives(spark, path, "stop_times"), gtfs.read_archives(spark, path, "trips")
+    hours = (gtfs.seconds("arrival_time") / 3600).cast("long")
+    per = times.groupBy("archive").agg(F.count(F.lit(1)).alias("times"), F.count_distinct("stop_id").alias("stops"), F.sum(hours).alias("hours"), F.count("departure_time").alias("departures"))
+    return per.join(trips.groupBy("archive").agg(F.count(F.lit(1)).alias("trips"), F.count_distinct("route_id").alias("routes"), F.max("service_id").alias("service")), "archive")
+
+
+def archive_summaries(spark, sf_dir):
+    """Trips, legs and known shapes of zipped archives."""
+    path = _archives(spark, sf_dir)
+    read = lambda member: gtfs.read_archives(spark, path, member)
+    return sched.archive_summaries(read("stop_times"), read("trips"), read("shapes")).drop("coverage")
+
+
+def street_archive(spark, sf_dir):
+    """Suppliers as nodes and orders' lines as ways in binary archives: ways all of whose nodes are there."""
+    nodes_path, ways_path = _folder(spark), _folder(spark)
+    s, o = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "orders")
+    nodes = s.where("s_acctbal > 0").select(F.col("s_suppkey").cast("long").alias("osmid"), (F.col("s_acctbal").cast("double") / 1000).alias("x"), (F.col("s_nationkey") * -0.5).alias("y"), F.col("s_name").alias("ref"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))
+    on_way = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "s"))), lambda p: p["s"].cast("long"))
+    ways = lines.groupBy("l_orderkey").agg(on_way.alias("nodes")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    ways = ways.select(F.col("o_orderkey").cast("long").alias("osmid"), "nodes", F.col("o_orderpriority").alias("highway"), F.when(F.col("o_orderstatus") == "F", "yes").alias("oneway"))
+    pbf.write(nodes, nodes_path, "nodes")
+    pbf.write(ways, ways_path, "ways")
+    kept_nodes, kept = osm.prune(pbf.read(spark, nodes_path, "nodes"), pbf.read(spark, ways_path, "ways"))
+    at = kept.select(F.col("osmid").alias("way"), "highway", "oneway", F.size("nodes").cast("long").alias("n"), F.posexplode("nodes").alias("i", "osmid")).join(kept_nodes.select("osmid", "x", "y", "ref"), "osmid")
+    return at.groupBy("way", "highway", "oneway", "n").agg(F.sum(F.round(F.col("x") * 1e5).cast("long") * (F.col("i") + 1)).alias("x"), F.sum(F.round(F.col("y") * 2).cast("long") * (F.col("i") + 1)).alias("y"), F.max("ref").alias("ref"))
+
+
 def feature_rows(spark, sf_dir):
     """Destinations of lines by bin of their quantity, marginal bins from zero."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").alias("cost"))
@@ -176,5 +225,15 @@ p AS (SELECT s AS src, lead(s) OVER (PARTITION BY o ORDER BY i) AS dst, lead(i)
     "delay_file": (delay_file, "SELECT CAST(n_nationkey AS BIGINT) AS vertex_id, CAST(n_nationkey // 5 * 2 AS DOUBLE) AS time FROM nation"),
     "manifest_file": (manifest_file, "SELECT n_name AS provider FROM nation WHERE n_regionkey = 1"),
     "route_shapes": (route_shapes, "WITH l AS (SELECT l_orderkey AS o, l_linenumber AS i, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2) SELECT o AS shape_id, 'LINESTRING(' || string_agg(s || ' 0', ',' ORDER BY i) || ')' AS geometry FROM l GROUP BY 1"),
+    "zipped_archives": (zipped_archives, """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS i, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2), t AS (SELECT left(o_orderpriority, 1) AS archive, l.* FROM l JOIN orders ON o_orderkey = o),
+a AS (SELECT archive, count(*) AS times, count(DISTINCT s) AS stops, CAST(sum(i) AS BIGINT) AS hours, 0 AS departures FROM t GROUP BY 1)
+SELECT a.*, trips, routes, 's, "daily"' AS service FROM a JOIN (SELECT left(o_orderpriority, 1) AS archive, count(*) AS trips, count(DISTINCT o_custkey) AS routes FROM orders GROUP BY 1) USING (archive)"""),
+    "archive_summaries": (archive_summaries, """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS i, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2), p AS (SELECT o, s, lead(s) OVER (PARTITION BY o ORDER BY i) AS d FROM l),
+g AS (SELECT o, count(*) AS legs, count(DISTINCT (s, d)) AS unique_legs FROM p WHERE d IS NOT NULL GROUP BY 1)
+SELECT left(o_orderpriority, 1) AS archive, count(*) AS trips, CAST(coalesce(sum(legs), 0) AS BIGINT) AS legs, CAST(coalesce(sum(unique_legs), 0) AS BIGINT) AS unique_legs, count(*) FILTER (legs IS NOT NULL AND o_orderstatus <> 'P') AS shaped, count(DISTINCT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END) AS shapes FROM orders LEFT JOIN g ON o = o_orderkey GROUP BY 1"""),
+    "street_archive": (street_archive, """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS i, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2), r AS (SELECT o, s, row_number() OVER (PARTITION BY o ORDER BY i) AS k FROM l),
+m AS (SELECT o, k, s_suppkey, s_acctbal, s_nationkey, s_name FROM r LEFT JOIN supplier ON s_suppkey = s AND s_acctbal > 0)
+SELECT CAST(o AS BIGINT) AS way, o_orderpriority AS highway, CASE o_orderstatus WHEN 'F' THEN 'yes' END AS oneway, count(*) AS n, CAST(sum(k * CAST(round(s_acctbal * 100) AS BIGINT)) AS BIGINT) AS x, CAST(sum(-k * s_nationkey) AS BIGINT) AS y, max(s_name) AS ref
+FROM m JOIN orders ON o_orderkey = o GROUP BY ALL HAVING count(s_suppkey) = count(*)"""),
     "feature_rows": (feature_rows, "WITH b AS (SELECT * FROM (VALUES ('10', 0, 10), ('25', 10, 25), ('50', 25, 50)) v(bin_key, lo, hi)) SELECT bin_key, count(*) AS n FROM lineitem JOIN b ON l_quantity >= lo AND l_quantity < hi GROUP BY 1"),
 }

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
-from collections.abc import Mapping
+import uuid
+import zipfile
+from collections.abc import Iterator, Mapping
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isoreach.shipping import ship
+from isoreach.sources.pbf import opened
+
 
 def network(vertices: DataFrame, edges: DataFrame, path: str, overwrite: bool = False) -> None:
     """Vertices and edges as Parquet, edges by list; an existing network stays unless overwritten."""
@@ -24,6 +33,49 @@ def bundle(edges: DataFrame, schedules: DataFrame, mapping: DataFrame, path: str
     mapping.write.mode(mode).parquet(f"{path}/date_mapping")
 
 
+def archives(members: Mapping[str, DataFrame], path: str, archive: str = "archive") -> int:
+    """Zipped transit archives, one per value of a column, with every member; the number written.
+
+    Rows meet by archive and are sorted inside their partition; a task writes
+    them as a stream, under a hidden name until the archive is whole, so that a
+    repeated task leaves the same archives.
+    """
+    names = list(members)
+    headers = [[c for c in members[n].columns if c != archive] for n in names]
+    ship(members[names[0]].sparkSession)
+    rows = lambda i: members[names[i]].select(F.col(archive).cast("string").alias("a"), F.lit(i).alias("m"), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in headers[i]]).alias("v"))
+    sorted_rows = reduce(DataFrame.unionByName, [rows(i) for i in range(len(names))]).repartition("a").sortWithinPartitions("a", "m", "v")
+
+    def text(row: list[str]) -> bytes:
+        line = io.StringIO()
+        csv.writer(line, lineterminator="\n").writerow(row)
+        return line.getvalue().encode()
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, list[str]]]:
+        for batch in batches:
+            yield from zip(batch["a"], batch["m"], batch["v"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, at = opened(path)
+        fs.create_dir(at, recursive=True)
+        stream, row, done = parts(batches), None, 0
+        row = next(stream, None)
+        while row is not None:
+            name, hidden = row[0], f"{at}/.{uuid.uuid4().hex}"
+            with fs.open_output_stream(hidden) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as out:
+                for m, member in enumerate(names):
+                    with out.open(f"{member}.txt", "w", force_zip64=True) as target:
+                        target.write(text(headers[m]))
+                        while row is not None and row[0] == name and row[1] == m:
+                            target.write(text(list(row[2])))
+                            row = next(stream, None)
+            fs.move(hidden, f"{at}/{re.sub(r'[^A-Za-z0-9_.-]', '_', name)}.zip")
+            done += 1
+        yield pd.DataFrame({"n": [done]})
+
+    return sorted_rows.mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def zones(relations: DataFrame, geometries: DataFrame, path: str) -> None:
     """Zone ids, relations and geometries of an on-demand service."""
     ids = relations.select(F.col("src_zone").alias("zone_id")).union(relations.select("dst_zone")).distinct()

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import zipfile
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +15,70 @@ from isoreach.functions.geometry import haversine
 from isoreach.functions.ids import route_id, stop_timestamp
 from isoreach.operators.schedules import date_mapping, pick_dates, stop_pairs, without_bad_stops
 from isoreach.operators.spatial import nearest
+from isoreach.shipping import ship
+from isoreach.sources.pbf import opened
 
 MANIFEST_SCHEMA = "provider string, name string, municipality string, state_code string, country_code string, data_type string, url string"
 SCHEDULE_SCHEMA = "edge_id long, fully_qualified_id string, src_departure_time timestamp_ntz, dst_arrival_time timestamp_ntz"
 
+# The members of an archive, their columns that are read, and the members none may lack.
+MEMBERS = {
+    "agency": ("agency_id", "agency_name"),
+    "stops": ("stop_id", "parent_station", "stop_lon", "stop_lat"),
+    "routes": ("route_id", "agency_id"),
+    "trips": ("trip_id", "route_id", "service_id", "shape_id"),
+    "stop_times": ("trip_id", "stop_sequence", "stop_id", "arrival_time", "departure_time"),
+    "calendar": ("service_id", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "start_date", "end_date"),
+    "calendar_dates": ("service_id", "date", "exception_type"),
+    "shapes": ("shape_id", "shape_pt_sequence", "shape_pt_lon", "shape_pt_lat"),
+}
+REQUIRED = ("agency", "stops", "routes", "trips", "stop_times")
+BATCH_ROWS = 10_000
+
+
+def read_archives(spark: SparkSession, path: str, member: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """(archive, columns as text) of one member of every zipped archive at a path, folder or glob.
+
+    Archives are dealt over tasks by path alone; a task inflates the member as
+    a stream of batches, so that no archive or member is ever held whole.  The
+    archive is named by its file without ``.zip``.  Columns that an archive
+    lacks and empty values are null; an optional member it lacks has no rows.
+    """
+    ship(spark)
+    wanted = tuple(columns or MEMBERS[member])
+    needed = member in REQUIRED
+
+    def batch(name: str, rows: list[list[str]], at: list[int | None]) -> pa.RecordBatch:
+        column = lambda i: [r[i] if i is not None and i < len(r) and r[i] != "" else None for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *[pa.array(column(i), pa.string()) for i in at]], names=["archive", *wanted])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in batches:
+            for file in found.column(0).to_pylist():
+                fs, place = opened(file)
+                name = place.rsplit("/", 1)[-1].removesuffix(".zip")
+                with fs.open_input_file(place) as raw, zipfile.ZipFile(raw) as archive:
+                    members = [n for n in archive.namelist() if n.rsplit("/", 1)[-1] == f"{member}.txt"]
+                    if not members and needed:
+                        raise ValueError(f"{name} has no {member}.txt")
+                    for inner in members[:1]:
+                        with archive.open(inner) as stream:
+                            lines = csv.reader(io.TextIOWrapper(stream, "utf-8-sig", newline=""))
+                            header = [h.strip() for h in next(lines, [])]
+                            at = [header.index(c) if c in header else None for c in wanted]
+                            rows = []
+                            for row in lines:
+                                if row:
+                                    rows.append(row)
+                                if len(rows) == BATCH_ROWS:
+                                    yield batch(name, rows, at)
+                                    rows = []
+                            if rows:
+                                yield batch(name, rows, at)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    return files.mapInArrow(run, ", ".join(f"`{c}` string" for c in ("archive", *wanted)))
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One member of an extracted archive, all columns as text."""

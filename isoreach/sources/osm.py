@@ -12,12 +12,10 @@ from isoreach.functions import tags
 from isoreach.graph.components import components
 from isoreach.graph.contraction import consolidate, simplify
 from isoreach.graph.islands import filter_components
+from isoreach.operators.output import scaled_exteriors
+from isoreach.sources import pbf
+from isoreach.sources.pbf import NODE_SCHEMA, WAY_SCHEMA
 
-NODE_SCHEMA = "osmid long, x double, y double, highway string, ele string, junction string, railway string, ref string"
-WAY_SCHEMA = (
-    "osmid long, nodes array<long>, access string, area string, bridge string, est_width string, highway string, sidewalk string, cycleway string, footway string, "
-    "junction string, landuse string, lanes string, maxspeed string, name string, oneway string, ref string, service string, tunnel string, width string"
-)
 # The public-street filter of the import.
 NOT_PUBLIC_HIGHWAYS = ("abandoned", "construction", "planned", "platform", "proposed", "raceway", "razed")
 NOT_PUBLIC_ACCESS = ("private", "no")
@@ -28,6 +26,23 @@ def read(spark: SparkSession, nodes: str, ways: str) -> tuple[DataFrame, DataFra
     return spark.read.schema(NODE_SCHEMA).parquet(nodes), spark.read.schema(WAY_SCHEMA).parquet(ways)
 
 
+def read_archive(spark: SparkSession, path: str, ways: Column | None = None, extent: str | None = None, buffer_m: float = 500.0) -> tuple[DataFrame, DataFrame]:
+    """Nodes and ways of a binary archive: ways that pass, with all of their nodes there.
+
+    ``extent`` (polygon in WKT) keeps nodes inside of it, grown by the buffer,
+    and then only those that kept ways use.  A repeated id keeps one of its rows.
+    """
+    nodes = pbf.read(spark, path, "nodes").dropDuplicates(["osmid"])
+    found = pbf.read(spark, path, "ways").dropDuplicates(["osmid"])
+    found = found.where(ways) if ways is not None else found
+    if extent is None:
+        return nodes, prune(nodes, found)[1]
+    wide = scaled_exteriors(spark.createDataFrame([(0, extent)], "id int, geometry string"), "id", buffer_m)
+    ring = wide.select(geo.from_wkt(F.col("geometry")).alias("ring")).first()["ring"]
+    corners = F.array(*[F.struct(F.lit(p["x"]).alias("x"), F.lit(p["y"]).alias("y")) for p in ring])
+    return prune(nodes.where(geo.in_ring(F.col("x"), F.col("y"), corners)), found)
+
+
 def public_streets() -> Column:
     """Ways with a road class that the public may use."""
     access = F.coalesce(F.col("access").isin(*NOT_PUBLIC_ACCESS), F.lit(False))

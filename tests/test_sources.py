@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isoreach import sinks
 from isoreach.operators import opportunities as opp
 from isoreach.operators import schedules as sched
-from isoreach.sources import flex, gtfs, tables
+from isoreach.sources import flex, gtfs, osm, pbf, tables
 from isoreach.streaming import feeds
 
 
@@ -115,3 +115,87 @@ def test_matched_stops_cover_the_tolerance(spark):
     assert got(5000.0) == {"far": 0, "north": 1, "date line": 2, "south": 3}
     assert got(500.0) == {"north": 1, "date line": 2, "south": 3}
     assert got(300.0) == {"date line": 2}
+
+
+def test_street_archives(spark, tmp_path):
+    k = F.col("id")
+    nodes = spark.range(20000).select((k * 7 - 300).alias("osmid"), (k * 0.001 - 10).alias("x"), (50 - k * 0.002).alias("y"), F.when(k % 3 == 0, "stop").alias("highway"), F.when(k % 5 == 0, "café, Zürich").alias("ref"))
+    pbf.write(nodes.repartition(3), f"{tmp_path}/n", "nodes")
+    rows = lambda df: sorted((r["osmid"], round(r["x"], 7), round(r["y"], 7), r["highway"] or "", r["ref"] or "") for r in df.collect())
+    assert len(pbf.blocks(f"{tmp_path}/n")) >= 3
+    assert rows(pbf.read(spark, f"{tmp_path}/n", "nodes")) == rows(nodes)
+    ways = spark.createDataFrame([(5, [1, 8, -300], {"highway": "residential", "name": "a=b"}), (-6, [], {}), (1 << 40, [1 << 40, 3], {"note": "x"})], "osmid long, nodes array<long>, tags map<string,string>")
+    for _ in range(2):
+        pbf.write(ways, f"{tmp_path}/w", "ways")
+    got = {r["osmid"]: r for r in pbf.read(spark, f"{tmp_path}/w", "ways", "osmid long, nodes array<long>, highway string, tags map<string,string>").collect()}
+    assert len(got) == 3 and got[5]["nodes"] == [1, 8, -300] and got[5]["highway"] == "residential" and got[-6]["nodes"] == [] and got[1 << 40]["tags"] == {"note": "x"}
+
+
+def test_street_archive_of_other_writers(spark, tmp_path):
+    """Plain nodes, another granularity, offsets, zstandard and plain blobs, unknown blobs and fields."""
+    import struct
+
+    import pyarrow as pa
+
+    z = lambda v: pbf.packed([v], True)
+    node = lambda i, lat, lon: pbf.part(1, pbf.packed([1 << 3]) + z(i) + pbf.part(2, pbf.packed([1])) + pbf.part(3, pbf.packed([2])) + pbf.packed([8 << 3]) + z(lat) + pbf.packed([9 << 3]) + z(lon))
+    texts = pbf.part(1, b"".join(pbf.part(1, t) for t in (b"", b"highway", b"crossing")))
+    block = texts + pbf.part(2, node(-4, -25, 300) + node(9, 40, -7)) + pbf.number(17, 1000) + pbf.number(19, 5_000_000) + pbf.number(20, -1_000_000) + pbf.number(99, 7)
+    way = texts + pbf.part(2, pbf.part(3, pbf.number(1, 77) + pbf.part(2, pbf.packed([1])) + pbf.part(3, pbf.packed([2])) + pbf.part(8, pbf.packed([-4, 13, -13], True))) + pbf.part(3, pbf.number(1, 78) + pbf.part(8, pbf.packed([9, 1], True))))
+    squeezed = pbf.number(2, len(block)) + pbf.part(7, pa.compress(block, codec="zstd", asbytes=True))
+    framed = lambda kind, blob: struct.pack(">I", len(pbf.part(1, kind) + pbf.number(3, len(blob)))) + pbf.part(1, kind) + pbf.number(3, len(blob)) + blob
+    data = framed(b"OSMHeader", pbf.part(1, b"")) + framed(b"Other", b"??") + framed(b"OSMData", squeezed) + framed(b"OSMData", pbf.part(1, way))
+    (tmp_path / "a.osm.pbf").write_bytes(data)
+    path = str(tmp_path / "a.osm.pbf")
+    near = lambda r: (r["osmid"], round(r["x"], 9), round(r["y"], 9), r["highway"])
+    assert sorted(near(r) for r in pbf.read(spark, path, "nodes").collect()) == [(-4, -0.0007, 0.004975, "crossing"), (9, -0.001007, 0.00504, "crossing")]
+    assert pbf.read(spark, path, "nodes").select("osmid").count() == 2
+    nodes, ways = osm.read_archive(spark, "file://" + path)
+    assert [(r["osmid"], r["nodes"], r["highway"]) for r in ways.collect()] == [(77, [-4, 9, -4], "crossing")] and nodes.count() == 2
+    kept, _ = osm.read_archive(spark, path, osm.public_streets(), "POLYGON((-1 -1,1 -1,1 1,-1 1,-1 -1))")
+    assert sorted(r["osmid"] for r in kept.collect()) == [-4, 9]
+    none, lost = osm.read_archive(spark, path, extent="POLYGON((5 5,6 5,6 6,5 6,5 5))")
+    assert none.count() == 0 and lost.count() == 0
+    (tmp_path / "cut.pbf").write_bytes(data[:-3])
+    with pytest.raises(ValueError, match="cut off"):
+        pbf.blocks(str(tmp_path / "cut.pbf"))
+
+
+def test_varints():
+    import numpy as np
+
+    values = np.array([0, 1, -1, 127, 128, -(1 << 63), (1 << 63) - 1, 300, -70000], np.int64)
+    for zigzag in (False, True):
+        assert (pbf.numbers(pbf.packed(values, zigzag), zigzag) == values).all()
+    assert len(pbf.numbers(b"")) == 0 and pbf.packed([]) == b""
+
+
+def test_zipped_archives(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "one.zip", "w") as z:
+        z.writestr("feed/stops.txt", '\ufeffstop_id, stop_lon,stop_lat,extra\r\na,"1,5",2\r\n\r\nb,,3,x\r\n')
+        z.writestr("feed/trips.txt", "")
+    (tmp_path / "notes.txt").write_text("not an archive")
+    got = sorted(tuple(r) for r in gtfs.read_archives(spark, str(tmp_path), "stops").collect())
+    assert got == [("one", "a", None, "1,5", "2"), ("one", "b", None, None, "3")]
+    assert gtfs.read_archives(spark, str(tmp_path), "shapes").count() == 0 and gtfs.read_archives(spark, str(tmp_path), "trips").count() == 0
+    with pytest.raises(Exception, match="one has no routes.txt"):
+        gtfs.read_archives(spark, str(tmp_path), "routes").collect()
+    stops = spark.createDataFrame([("x/1", "s", 'a "b", c'), ("y", "t", None)], "archive string, stop_id string, stop_name string")
+    trips = spark.createDataFrame([("y", "7")], "archive string, trip_id string")
+    out = f"{tmp_path}/out"
+    assert [sinks.archives({"stops": stops, "trips": trips}, out) for _ in range(2)] == [2, 2]
+    back = gtfs.read_archives(spark, out, "stops", ["stop_id", "stop_name"])
+    assert sorted(tuple(r) for r in back.collect()) == [("x_1", "s", 'a "b", c'), ("y", "t", None)]
+    assert [tuple(r) for r in gtfs.read_archives(spark, out, "trips", ["trip_id"]).collect()] == [("y", "7")]
+
+
+def test_schedule_errors(spark):
+    rows = spark.createDataFrame([(0, "r"), (2, "r"), (0, "q")], "edge_id long, route string")
+    with pytest.raises(Exception, match="unknown route q"):
+        sched.checked_routes(rows, spark.createDataFrame([("r",)], "route string")).collect()
+    assert sched.checked_routes(rows, spark.createDataFrame([("r",), ("q",), ("q",)], "route string")).count() == 3
+    with pytest.raises(ValueError, match="not dense"):
+        sched.checked_edges(rows, 3)
+    assert sched.checked_edges(rows.where("edge_id = 0"), 1).count() == 2 and sched.checked_edges(rows.limit(0), 0).count() == 0
