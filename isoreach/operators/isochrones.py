@@ -15,20 +15,27 @@ from isoreach.shipping import ship
 SCHEMA = "origin long, bin_key string, isochrone string, n_destinations long"
 
 
-def isochrones(tree: DataFrame, vertices: DataFrame, binning: Binning, method: str = "convex", form: str = "wkt", base: float | None = None, factor: float = 1.0) -> DataFrame:
+def isochrones(tree: DataFrame, vertices: DataFrame, binning: Binning, method: str = "convex", form: str = "wkt", base: float | None = None, factor: float = 1.0, concavity: float = 2.0) -> DataFrame:
     """(origin, bin_key, isochrone, n_destinations) per origin and bin.
 
-    ``method``: convex or neighbours (a concave hull whose k follows the number
-    of points).  Fewer than three points give an empty polygon.  Places are
+    ``method``: convex, neighbours (a concave hull whose k follows the number
+    of points) or dug (a concave hull by ``concavity``).  Fewer than three points give an empty polygon.  Places are
     made distinct before they meet, so a group holds at most the vertices of
     one origin's tree.
     """
     ship(tree.sparkSession)
+    methods = {
+        "convex": kernels.convex_hull,
+        "neighbours": lambda points: kernels.neighbour_hull(points, kernels.hull_k(len(points), base, factor)),
+        "dug": lambda points: kernels.dug_hull(points, concavity),
+    }
+    ring_of = methods[method]
 
     def hull(group: pd.DataFrame) -> pd.DataFrame:
         points = group[["x", "y"]].drop_duplicates().to_numpy()
-        ring = kernels.convex_hull(points) if method == "convex" else kernels.neighbour_hull(points, kernels.hull_k(len(points), base, factor))
-        coordinates = [[*map(list, ring.tolist()), list(ring[0])]] if len(ring) > 2 else []
+        ring = ring_of(points)
+        corners = ring.tolist()
+        coordinates = [[*corners, corners[0]]] if len(ring) > 2 else []
         return pd.DataFrame([(group["origin"].iloc[0], group["bin_key"].iloc[0], kernels.encode("POLYGON", coordinates, form), len(points))], columns=["origin", "bin_key", "isochrone", "n_destinations"])
 
     reached = explode_bins(tree, binning).select("origin", "bin_key", "vertex_id").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isoreach.functions import geometry as geo
 from isoreach.functions.tags import MPH_KPH
+from isoreach.operators.spatial import lines_in_rings
 
 
 def mode_access_state(restrictions: Column, modes: Sequence[str]) -> Column:
@@ -128,6 +129,18 @@ def row_filter(**variants: Column) -> Column:
     return out
 
 
+def in_extent(segments: DataFrame, connectors: DataFrame, extent: DataFrame, cell: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """Segments that share a point with any ring of an extent, and the connectors that they use.
+
+    ``extent(ring_id, ring)``.  A segment that crosses the extent between two
+    of its points stays; one without points goes.
+    """
+    met = lines_in_rings(segments.select("id", "line"), extent, "id", "ring_id", cell).select("id").distinct()
+    kept = segments.join(met, "id", "left_semi")
+    used = kept.select(F.explode("connectors").alias("c")).select(F.col("c.connector_id").alias("connector_id")).distinct()
+    return kept, connectors.join(used, "connector_id", "left_semi")
+
+
 def splits(segments: DataFrame) -> DataFrame:
     """Directed splits between consecutive connectors, one row per open heading.
 

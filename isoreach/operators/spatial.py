@@ -121,6 +121,57 @@ def points_in_rings(points: DataFrame, rings: DataFrame, ring_id: str, cell: flo
     return p.join(r, ["_level", "_cx", "_cy"]).where(boxed & in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("_level", "_cx", "_cy", "_box", "ring")
 
 
+def _segments(rows: DataFrame, key: str, line: str, names: str) -> DataFrame:
+    """(key, segment ends named by ``names``) of consecutive points; a single point is a segment of no length."""
+    a, b = names
+    point = F.col(line)
+    ends = F.when(F.size(point) > 1, F.transform(F.sequence(F.lit(1), F.size(point) - 1), lambda i: F.struct(F.element_at(point, i).alias("p"), F.element_at(point, i + 1).alias("q"))))
+    ends = F.coalesce(ends, F.when(F.size(point) == 1, F.array(F.struct(F.element_at(point, 1).alias("p"), F.element_at(point, 1).alias("q")))))
+    each = rows.select(key, F.explode(ends).alias("s"))
+    return each.select(key, *[F.col(f"s.{e}.{c}").cast("double").alias(f"{n}{c}") for e, n in (("p", a), ("q", b)) for c in "xy"])
+
+
+def _with_cells(segments: DataFrame, names: str, cell: float, pad: int) -> DataFrame:
+    """Segments once per cell that they may touch, column by column, with ``pad`` cells around."""
+    a, b = names
+    ax, ay, bx, by = (F.col(f"{n}{c}") for n in (a, b) for c in "xy")
+    left, right = F.least(ax, bx), F.greatest(ax, bx)
+    out = segments.withColumn("_cx", F.explode(F.sequence(cell_of(left, cell) - pad, cell_of(right, cell) + pad)))
+    clipped = lambda x: F.least(F.greatest(x, left), right)
+    steep = F.coalesce(F.try_divide(by - ay, bx - ax), F.lit(0.0))
+    at = lambda x: F.when(ax == bx, F.lit(None)).otherwise(F.least(F.greatest(ay + (clipped(x) - ax) * steep, F.least(ay, by)), F.greatest(ay, by)))
+    first, last = at((F.col("_cx") - pad) * F.lit(cell)), at((F.col("_cx") + 1 + pad) * F.lit(cell))
+    low, high = F.coalesce(F.least(first, last), F.least(ay, by)), F.coalesce(F.greatest(first, last), F.greatest(ay, by))
+    return out.withColumn("_cy", F.explode(F.sequence(cell_of(low, cell) - pad, cell_of(high, cell) + pad)))
+
+
+def segments_meet() -> Column:
+    """Whether segments a-b and c-d share a point: their boxes meet, and each lies on both sides of the other's line or on it."""
+    p = {n: (F.col(f"{n}x"), F.col(f"{n}y")) for n in "abcd"}
+    side = lambda o, q, r: F.signum((p[q][0] - p[o][0]) * (p[r][1] - p[o][1]) - (p[q][1] - p[o][1]) * (p[r][0] - p[o][0]))
+    boxes = F.lit(True)
+    for i in (0, 1):
+        boxes = boxes & (F.greatest(p["a"][i], p["b"][i]) >= F.least(p["c"][i], p["d"][i])) & (F.greatest(p["c"][i], p["d"][i]) >= F.least(p["a"][i], p["b"][i]))
+    return boxes & (side("a", "b", "c") * side("a", "b", "d") <= 0) & (side("c", "d", "a") * side("c", "d", "b") <= 0)
+
+
+def lines_in_rings(lines: DataFrame, rings: DataFrame, key: str, ring_id: str, cell: float = 0.01) -> DataFrame:
+    """(key, ring id) of lines that share a point with a ring's area or its border.
+
+    ``lines(key, line)``, ``rings(ring_id, ring)``.  A line has its first point
+    inside, or one of its segments meets one of the border: segments and borders
+    are dealt over the cells along them for an equi-join, and the test is
+    exact.  Lines without points meet nothing; a ring need not be closed.
+    """
+    starts = lines.select(key, F.get("line", F.lit(0))["x"].alias("x"), F.get("line", F.lit(0))["y"].alias("y")).where("x is not null and y is not null")
+    closed = rings.where("size(ring) > 0").select(ring_id, F.concat("ring", F.slice("ring", 1, 1)).alias("ring"))
+    inside = points_in_rings(starts, closed, ring_id, cell).select(key, ring_id)
+    border = _with_cells(_segments(closed, ring_id, "ring", "cd"), "cd", cell, 1)
+    along = _with_cells(_segments(lines, key, "line", "ab").where("ax is not null and ay is not null and bx is not null and by is not null"), "ab", cell, 0)
+    crossing = along.join(border, ["_cx", "_cy"]).where(segments_meet()).select(key, ring_id)
+    return inside.union(crossing).distinct()
+
+
 def exactly_one(points: DataFrame, rings: DataFrame, key: str, ring_id: str) -> DataFrame:
     """Overlay: points inside exactly one ring, with its id; others drop out."""
     found = points_in_rings(points, rings, ring_id)

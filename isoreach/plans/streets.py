@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from isoreach.functions import geometry as geo
 from isoreach.functions import tags
-from isoreach.graph import contraction, islands
+from isoreach.graph import contraction, edits, islands
 from isoreach.graph.search import Constraints, Limit, OnDemand, Timetable, reach, with_costs
 from isoreach.operators import bins, isochrones as iso, opportunities as opp, overture
+from isoreach.operators.spatial import lines_in_rings
 from isoreach.plans.domain import TORUS_SQL, TREE_SQL, table, torus, vertices
 from isoreach.sources import osm
 
@@ -119,6 +121,59 @@ def isochrone_counts(spark, sf_dir):
     return rings.select("origin", "bin_key", "n_destinations")
 
 
+def isochrone_shapes(spark, sf_dir):
+    """Hulls of the places of every origin and bin: twice the area and the corners of convex ones, and the places that dug ones cover."""
+    binning = bins.Binning("cost", (10, 20, 30))
+    k = F.col("n_nationkey")
+    at = table(spark, sf_dir, "nation").select(k.cast("long").alias("vertex_id"), (k % 5).cast("double").alias("x"), F.floor(k / 5).cast("double").alias("y"))
+    tree = bins.destinations(reach(_origins(spark, sf_dir), torus(spark, sf_dir), Constraints(cost=30.0)))
+    ring = geo.from_wkt(F.col("isochrone"))
+    area = lambda name: F.coalesce(F.round(geo.ring_area(F.col(name)) * 2), F.lit(0)).cast("long")
+    hulls = iso.isochrones(tree, at, binning).select("origin", "bin_key", ring.alias("hull"))
+    dug = iso.isochrones(tree, at, binning, "dug", concavity=1.2).select("origin", "bin_key", ring.alias("dug"))
+    places = bins.explode_bins(tree, binning).select("origin", "bin_key", "vertex_id").distinct().join(at, "vertex_id")
+    both = hulls.join(dug, ["origin", "bin_key"])
+    edge = F.exists(geo.legs(F.col("dug")), lambda g: (F.greatest(g["a"]["x"], g["b"]["x"]) >= F.col("x")) & (F.least(g["a"]["x"], g["b"]["x"]) <= F.col("x")) & (F.greatest(g["a"]["y"], g["b"]["y"]) >= F.col("y")) & (F.least(g["a"]["y"], g["b"]["y"]) <= F.col("y")) & ((g["b"]["x"] - g["a"]["x"]) * (F.col("y") - g["a"]["y"]) == (g["b"]["y"] - g["a"]["y"]) * (F.col("x") - g["a"]["x"])))
+    covered = F.coalesce(geo.in_ring(F.col("x"), F.col("y"), F.col("dug")) | edge, F.lit(False))
+    met = places.join(both, ["origin", "bin_key"]).groupBy("origin", "bin_key", "hull", "dug").agg(F.count_if(covered).alias("covered"))
+    corners = F.coalesce(F.size("hull") - 1, F.lit(0)).cast("long").alias("corners")
+    return met.select("origin", "bin_key", area("hull").alias("double_area"), corners, "covered", (area("dug") <= area("hull")).alias("within"))
+
+
+def extent_lines(spark, sf_dir):
+    """Orders as lines through suppliers and quantities, with every region's triangle that they touch."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").cast("double").alias("x"), F.min("l_quantity").cast("double").alias("y"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    k = F.col("r_regionkey") * 20.0
+    corner = lambda dx, y: F.struct((k + dx).alias("x"), F.lit(float(y)).alias("y"))
+    rings = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("region"), F.array(corner(1, 5), corner(14, 9), corner(8, 30), corner(1, 5)).alias("ring"))
+    return lines_in_rings(lines.groupBy("l_orderkey").agg(line.alias("line")), rings, "l_orderkey", "region", 4.0)
+
+
+def edited_trade(spark, sf_dir):
+    """Trade between nations after edits: pairs cut, replaced, updated and added, and nations retired or removed."""
+    n, s, r = (table(spark, sf_dir, name) for name in ("nation", "supplier", "region"))
+    nodes = n.select(F.col("n_nationkey").cast("long").alias("osmid"))
+    ways = s.select(F.col("s_nationkey").cast("long").alias("src"), (24 - F.col("s_nationkey")).cast("long").alias("dst"), F.col("s_suppkey").cast("long").alias("way_id"), F.col("s_acctbal").cast("double").alias("cost"))
+    key = F.col("r_regionkey").cast("long")
+    edge = lambda src, dst, way, cost: r.select(src.alias("src"), dst.alias("dst"), way.cast("long").alias("way_id"), F.lit(cost).alias("cost"))
+    batch = edits.Edits(
+        retired=r.select((key + 2).alias("osmid")).where("osmid = 2"),
+        removed=r.select((key + 3).alias("osmid")).where("osmid = 3"),
+        cut=r.select((key + 5).alias("src"), (19 - key).alias("dst")),
+        replaced=edge(key + 10, 14 - key, F.lit(-1), 1.0),
+        updated=ways.where("src = 0 and cost < 0").withColumn("cost", -F.col("cost")),
+        nodes=r.select((key + 100).alias("osmid")),
+        edges=edge(key + 100, key + 15, F.lit(-2), 2.0),
+        strict=False,
+    )
+    kept, edges = edits.apply(nodes, ways, batch)
+    ends = edits.neighbours(edges).groupBy("node").agg(F.count_if(F.col("heading") == "out").alias("outs"), F.count_if(F.col("heading") == "in").alias("ins"))
+    sums = edges.groupBy(F.col("src").alias("node")).agg(F.round(F.sum("cost"), 2).alias("cost"))
+    out = kept.withColumnRenamed("osmid", "node").join(ends, "node", "left").join(sums, "node", "left")
+    return out.fillna(0, ["outs", "ins"])
+
+
 def _segments(spark, sf_dir):
     """Orders as segments east along the equator, with their lines as connectors."""
     at = ((F.col("l_linenumber") - 1) / 8.0).alias("at")
@@ -316,6 +371,26 @@ p AS (SELECT n_nationkey AS o, n_nationkey AS v, CAST(0 AS BIGINT) AS cost, -1 A
  WHERE p.cost + e.mins < 20 AND (e.mode = 'walk' OR p.zone >= 0 OR 6 + p.cost < z.z * 4 + 8)),
 b AS (SELECT o, v, zone, min(cost) AS cost FROM p GROUP BY 1, 2, 3)
 SELECT CAST(o AS BIGINT) AS origin, CAST(v AS BIGINT) AS vertex_id, min(cost) AS cost FROM b JOIN z USING (v) WHERE cost > 0 AND (zone = -1 OR z.z = zone OR z.z = (zone + 1) % 5) GROUP BY 1, 2"""),
+    "isochrone_shapes": (isochrone_shapes, f"""{TREE_SQL}, b AS (SELECT * FROM (VALUES ('10', 10), ('20', 20), ('30', 30)) v(bin_key, hi)),
+p AS (SELECT DISTINCT origin AS o, bin_key AS k, vertex % 5 AS x, vertex // 5 AS y FROM dest JOIN b ON cost < hi),
+c AS (SELECT a.o, a.k, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM p a JOIN p b ON a.o = b.o AND a.k = b.k AND (a.x, a.y) <> (b.x, b.y)),
+bad AS (SELECT DISTINCT c.* FROM c JOIN p ON p.o = c.o AND p.k = c.k WHERE (bx - ax) * (p.y - ay) - (b_y - ay) * (p.x - ax) < 0
+  OR ((bx - ax) * (p.y - ay) - (b_y - ay) * (p.x - ax) = 0 AND NOT (p.x BETWEEN least(ax, bx) AND greatest(ax, bx) AND p.y BETWEEN least(ay, b_y) AND greatest(ay, b_y)))),
+h AS (SELECT o, k, count(*) AS n, sum(ax * b_y - bx * ay) AS area FROM (SELECT * FROM c EXCEPT SELECT * FROM bad) GROUP BY 1, 2),
+g AS (SELECT o, k, count(*) AS places FROM p GROUP BY 1, 2)
+SELECT CAST(g.o AS BIGINT) AS origin, g.k AS bin_key, CAST(CASE WHEN n > 2 THEN area ELSE 0 END AS BIGINT) AS double_area, CAST(CASE WHEN n > 2 THEN n ELSE 0 END AS BIGINT) AS corners, CASE WHEN n > 2 THEN places ELSE 0 END AS covered, true AS "within" FROM g LEFT JOIN h ON g.o = h.o AND g.k = h.k"""),
+    "extent_lines": (extent_lines, """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS i, CAST(min(l_suppkey) AS DOUBLE) AS x, CAST(min(l_quantity) AS DOUBLE) AS y FROM lineitem GROUP BY 1, 2),
+s AS (SELECT o, x AS ax, y AS ay, coalesce(lead(x) OVER w, x) AS bx, coalesce(lead(y) OVER w, y) AS b_y FROM l WINDOW w AS (PARTITION BY o ORDER BY i)),
+t AS (SELECT CAST(r_regionkey AS BIGINT) AS z, r_regionkey * 20.0::DOUBLE AS k FROM region),
+e AS (SELECT z, k + 1 AS cx, 5.0::DOUBLE AS cy, k + 14 AS dx, 9.0::DOUBLE AS dy FROM t UNION ALL SELECT z, k + 14, 9, k + 8, 30 FROM t UNION ALL SELECT z, k + 8, 30, k + 1, 5 FROM t),
+hit AS (SELECT o, z FROM s JOIN e ON greatest(ax, bx) >= least(cx, dx) AND greatest(cx, dx) >= least(ax, bx) AND greatest(ay, b_y) >= least(cy, dy) AND greatest(cy, dy) >= least(ay, b_y)
+  WHERE ((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax)) * ((bx - ax) * (dy - ay) - (b_y - ay) * (dx - ax)) <= 0 AND ((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * ((dx - cx) * (b_y - cy) - (dy - cy) * (bx - cx)) <= 0),
+ins AS (SELECT o, z FROM l, e GROUP BY o, i, z HAVING min((dx - cx) * (y - cy) - (dy - cy) * (x - cx)) >= 0)
+SELECT o AS l_orderkey, z AS region FROM hit UNION SELECT o, z FROM ins"""),
+    "edited_trade": (edited_trade, """WITH w AS (SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(24 - s_nationkey AS BIGINT) AS dst, CAST(s_acctbal AS DOUBLE) AS cost FROM supplier WHERE s_nationkey NOT IN (2, 3) AND 24 - s_nationkey NOT IN (2, 3) AND s_nationkey NOT BETWEEN 5 AND 14),
+e AS (SELECT src, dst, CASE WHEN src = 0 THEN abs(cost) ELSE cost END AS cost FROM w UNION ALL SELECT r_regionkey + 10, 14 - r_regionkey, 1 FROM region UNION ALL SELECT r_regionkey + 100, r_regionkey + 15, 2 FROM region),
+n AS (SELECT CASE n_nationkey WHEN 2 THEN -2 ELSE n_nationkey END AS node FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT r_regionkey + 100 FROM region)
+SELECT CAST(node AS BIGINT) AS node, (SELECT count(DISTINCT dst) FROM e WHERE src = node) AS outs, (SELECT count(DISTINCT src) FROM e WHERE dst = node) AS ins, (SELECT round(sum(cost), 2) FROM e WHERE src = node) AS cost FROM n"""),
     "isochrone_counts": (isochrone_counts, f"{TREE_SQL}, b AS (SELECT * FROM (VALUES ('10', 10), ('20', 20), ('30', 30)) v(bin_key, hi)) SELECT CAST(origin AS BIGINT) AS origin, bin_key, count(DISTINCT vertex) AS n_destinations FROM dest JOIN b ON cost < hi GROUP BY 1, 2"),
     "segment_splits": (segment_splits, f"WITH {SEGMENT_SQL} SELECT id, heading, CASE heading WHEN 'forward' THEN src ELSE dst END AS src, CASE heading WHEN 'forward' THEN dst ELSE src END AS dst, round(2 * 6371008.8 * asin(sqrt(power(sin(radians(0.01) / 2), 2))) * w, 3) AS distance, round(mph * 1.609344, 4) AS kph FROM hd"),
     "open_headings": (open_headings, f"WITH {SEGMENT_SQL} SELECT id, CASE WHEN f = 'N' THEN 'forward' ELSE 'forward,backward' END AS headings FROM sg"),

@@ -172,3 +172,81 @@ def test_taxonomy(spark):
     assert {r["category"]: r["drinks"] for r in taxonomy.reverse_map(pairs, groups, ["drinks"]).collect()} == {"cafe": True, "tea": True}
     with pytest.raises(Exception, match="unknown category"):
         taxonomy.reverse_map(pairs, spark.createDataFrame([("x", "nope")], "activity string, category string"), ["x"]).collect()
+
+
+def _covers(ring, p):
+    a, b = ring, np.roll(ring, -1, axis=0)
+    side = (b[:, 0] - a[:, 0]) * (p[1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (p[0] - a[:, 0])
+    on = (side == 0) & (np.maximum(a, b) >= p).all(axis=1) & (np.minimum(a, b) <= p).all(axis=1)
+    return bool(on.any()) or kernels._inside(p, ring)
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("concavity", [0.5, 1.0, 2.0, 8.0])
+def test_dug_hull_is_a_simple_ring_around_all_points(seed, concavity):
+    """Against a plain look at every point and every pair of edges; odd seeds lie on whole numbers, with repeats and lines."""
+    rng = np.random.default_rng(seed)
+    pts = rng.integers(0, 9, (60, 2)).astype(float) if seed % 2 else rng.normal(size=(60, 2))
+    ring = kernels.dug_hull(pts, concavity)
+    assert len(np.unique(ring, axis=0)) == len(ring) and all(_covers(ring, p) for p in pts)
+    n = len(ring)
+    side = lambda p, q, r: np.sign((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
+    for i in range(n):
+        for j in range(i + 2, n - (i == 0)):
+            a, b, c, d = ring[i], ring[i + 1], ring[j], ring[(j + 1) % n]
+            boxes = (np.maximum(a, b) >= np.minimum(c, d)).all() and (np.maximum(c, d) >= np.minimum(a, b)).all()
+            assert not (boxes and side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0)
+    convex = kernels.convex_hull(pts)
+    assert 0 < kernels.area(ring) <= kernels.area(convex) + 1e-12
+    assert {tuple(p) for p in convex} <= {tuple(p) for p in ring}
+
+
+def test_dug_hull_digs_a_bay():
+    bay = [(x, y) for x in range(9) for y in range(9) if not (3 <= x <= 5 and y >= 3)]
+    ring = kernels.dug_hull(np.array(bay, float), 1.2)
+    assert not _covers(ring, np.array([4.0, 7.0])) and kernels.area(ring) < 64 - 12
+    assert kernels.area(kernels.dug_hull(np.array(bay, float), float("inf"))) == 64
+    assert len(kernels.dug_hull(np.array([(0, 0), (1, 1), (2, 2)], float))) == 0 and len(kernels.dug_hull(np.zeros((5, 2)))) == 0 and len(kernels.dug_hull(np.zeros((0, 2)))) == 0
+    assert len(kernels.dug_hull(np.array([(0, 0), (1, 0), (0, 1)], float))) == 3
+    with pytest.raises(ValueError):
+        kernels.dug_hull(np.array(bay, float), 0.0)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_lines_in_rings(spark, whole):
+    """Against a look at every segment and every edge; whole numbers give touches and shared edges."""
+    from isoreach.operators.spatial import lines_in_rings
+
+    rng = np.random.default_rng(5)
+    at = lambda n: [(float(x), float(y)) for x, y in (rng.integers(-6, 7, (n, 2)) if whole else rng.uniform(-6, 6, (n, 2)))]
+    lines = {i: at(1 + i % 4) for i in range(150)} | {900: [], 901: [(-50.0, 0.3), (50.0, 0.4)], 902: [(0.0, -40.0), (0.0, 40.0)]}
+    rings = {j: (lambda r: r + r[:1] if j % 2 else r)([tuple(p) for p in kernels.convex_hull(np.array(at(6))).tolist()]) for j in range(8)}
+    side = lambda p, q, r: np.sign((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
+
+    def meet(a, b, c, d):
+        boxes = all(max(a[k], b[k]) >= min(c[k], d[k]) and max(c[k], d[k]) >= min(a[k], b[k]) for k in (0, 1))
+        return boxes and side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0
+
+    wanted = set()
+    for i, line in lines.items():
+        for j, ring in rings.items():
+            edges = list(zip(ring, ring[1:] + ring[:1]))
+            if any(_covers(np.array(ring), np.array(p)) for p in line) or any(meet(a, b, c, d) for a, b in zip(line, line[1:]) for c, d in edges):
+                wanted.add((i, j))
+    point = "array<struct<x: double, y: double>>"
+    made = spark.createDataFrame(list(lines.items()) + [(950, None)], f"id long, line {point}")
+    shapes = spark.createDataFrame(list(rings.items()) + [(99, []), (98, None)], f"ring_id long, ring {point}")
+    for cell in (0.7, 50.0):
+        assert {tuple(r) for r in lines_in_rings(made, shapes, "id", "ring_id", cell).collect()} == wanted
+    assert {(901, j) for j in rings} & wanted
+
+
+def test_segments_in_an_extent(spark):
+    from isoreach.operators.overture import in_extent
+
+    point = "array<struct<x: double, y: double>>"
+    segments = spark.createDataFrame([(1, [(-1.0, 0.5), (2.0, 0.5)], [("a", 0.0), ("b", 1.0)]), (2, [(3.0, 3.0), (4.0, 4.0)], [("c", 0.0)]), (3, None, [("d", 0.0)]), (4, [(0.2, 0.2), (0.3, 0.3)], None)], f"id long, line {point}, connectors array<struct<connector_id: string, at: double>>")
+    connectors = spark.createDataFrame([(c,) for c in "abcd"], "connector_id string")
+    extent = spark.createDataFrame([(0, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)])], f"ring_id int, ring {point}")
+    kept, used = in_extent(segments, connectors, extent)
+    assert sorted(r["id"] for r in kept.collect()) == [1, 4] and sorted(r[0] for r in used.collect()) == ["a", "b"]

@@ -142,3 +142,61 @@ def test_tags_of_merged_streets(spark):
     nodes = spark.createDataFrame([(1, 0.0, 0.0, "stop"), (2, 0.1, 0.0, None), (3, 0.2, 0.0, "stop"), (4, 9.0, 0.0, "signal")], "vertex_id long, x double, y double, highway string")
     merged, _ = contraction.consolidate(nodes, spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long"), 0.1, tags=("highway",))
     assert {r["vertex_id"]: r["highway"] for r in merged.collect()} == {1: "stop", 4: "signal"}
+
+
+def test_edits(spark):
+    """A thousand edits against the same ones made one by one."""
+    from isoreach.graph import edits
+
+    nodes = spark.createDataFrame([(i, f"n{i}") for i in range(1, 401)], "osmid long, name string")
+    rows = [(1 + i * 7 % 400, 1 + i * 11 % 400, i, 1.0) for i in range(1500)]
+    schema = "src long, dst long, way_id long, cost double"
+    edges = spark.createDataFrame(rows, schema)
+    retired, removed = list(range(1, 101)), list(range(101, 151))
+    cut = [(s, d) for s, d, w, _ in rows if w % 5 == 0 and min(s, d) > 150]
+    replaced = [(s, d, w + 5000, 2.0) for s, d, w, _ in rows if w % 5 == 1 and min(s, d) > 150]
+    updated = [(s, d, w, 3.0) for s, d, w, _ in rows if w % 5 == 2 and min(s, d) > 150 and (s, d) not in {(a, b) for a, b, *_ in replaced} | set(cut)]
+    fresh = [(1000 + i, "new") for i in range(200)]
+    added = [(1000 + i, 200 + i, 9000 + i, 4.0) for i in range(200)] * 2
+    assert sum(map(len, (retired, removed, cut, replaced, updated, fresh, added))) > 1000
+    one = lambda ids: spark.createDataFrame([(i,) for i in ids], "osmid long")
+    batch = edits.Edits(one(retired), one(removed), spark.createDataFrame(cut, "src long, dst long"), spark.createDataFrame(replaced, schema), spark.createDataFrame(updated, schema), spark.createDataFrame(fresh, "osmid long, name string"), spark.createDataFrame(added, schema))
+    got_nodes, got_edges = edits.apply(nodes, edges, batch)
+    left = {i: f"n{i}" for i in range(1, 401)}
+    for i in retired:
+        left[-i] = left.pop(i)
+    for i in removed:
+        del left[i]
+    left |= dict(fresh)
+    kept = [r for r in rows if min(r[0], r[1]) > 150 and r[:2] not in set(cut)]
+    for s, d in {r[:2] for r in replaced}:
+        kept = [r for r in kept if r[:2] != (s, d)]
+    kept += replaced
+    new = {r[:3]: r for r in updated}
+    kept = [new.get(r[:3], r) for r in kept] + added
+    assert {r["osmid"]: r["name"] for r in got_nodes.collect()} == left
+    assert sorted(tuple(r) for r in got_edges.select("src", "dst", "way_id", "cost").collect()) == sorted(kept)
+    heads = {(r["node"], r["neighbour"], r["heading"]) for r in edits.neighbours(got_edges).collect()}
+    assert heads == {(s, d, "out") for s, d, *_ in kept} | {(d, s, "in") for s, d, *_ in kept}
+    assert {r["osmid"] for r in edits.isolated(got_nodes, got_edges).collect()} == set(left) - {i for r in kept for i in r[:2]}
+    three = edits.triplets(got_nodes, got_edges)
+    assert three.count() == len(kept) and three.where("src_node.osmid <> src or dst_node.osmid <> dst").count() == 0
+
+
+def test_edits_that_name_what_is_not_there(spark):
+    import pytest
+
+    from isoreach.graph import edits
+
+    nodes, edges = spark.createDataFrame([(1,), (2,)], "osmid long"), spark.createDataFrame([(1, 2, 7)], "src long, dst long, way_id long")
+    one, row = lambda i: spark.createDataFrame([(i,)], "osmid long"), lambda *r: spark.createDataFrame([r], "src long, dst long, way_id long")
+    done = lambda strict=True, **parts: [t.collect() for t in edits.apply(nodes, edges, edits.Edits(strict=strict, **parts))]
+    for parts, text in (({"retired": one(9)}, "no node 9"), ({"removed": one(9)}, "no node 9"), ({"cut": row(2, 1, 0)}, "no edge 2 1"), ({"updated": row(1, 2, 8)}, "no edge 1 2 8")):
+        with pytest.raises(Exception, match=text):
+            done(**parts)
+        assert [len(t) for t in done(False, **parts)] == [2, 1]
+    with pytest.raises(Exception, match="there already: 2"):
+        done(False, nodes=one(2))
+    with pytest.raises(Exception, match="an edge at no node: 5"):
+        done(False, edges=row(1, 5, 0))
+    assert [len(t) for t in done()] == [2, 1] and [len(t) for t in done(removed=one(1), retired=one(2))] == [1, 0]
