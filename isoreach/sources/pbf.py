@@ -15,7 +15,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ WAY_SCHEMA = (
 MAX_HEADER, MAX_BLOB, GRANULARITY, BLOCK_ROWS = 64 * 1024, 32 * 1024 * 1024, 100, 8000
 FEATURES = ("OsmSchema-V0.6", "DenseNodes")
 OWN = ("osmid", "x", "y", "nodes", "tags")
+#: Packed fields up to this long are handled number by number, which is faster there than arrays.
+FEW = 64
 
 
 # Messages: (field, value) pairs, a value being a number or the bytes of its length.
@@ -76,9 +78,13 @@ def signed(value: int) -> int:
 
 def numbers(data: bytes, zigzag: bool = False) -> np.ndarray:
     """All numbers of a packed field at once."""
+    if len(data) <= FEW:
+        out, at = [], 0
+        while at < len(data):
+            value, at = varint(data, at)
+            out.append((value >> 1) ^ -(value & 1) if zigzag else signed(value))
+        return np.array(out, np.int64)
     raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.int64)
     last = np.flatnonzero(raw < 0x80)
     first = np.concatenate(([0], last[:-1] + 1))
     place = np.arange(len(raw)) - np.repeat(first, last - first + 1)
@@ -88,8 +94,17 @@ def numbers(data: bytes, zigzag: bool = False) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def packed(values: np.ndarray, zigzag: bool = False) -> bytes:
+def packed(values: Sequence[int] | np.ndarray, zigzag: bool = False) -> bytes:
     """The bytes of a packed field."""
+    if len(values) <= FEW:
+        out = bytearray()
+        for v in map(int, values):
+            left = ((v << 1) ^ (v >> 63) if zigzag else v) & ((1 << 64) - 1)
+            while left > 0x7F:
+                out.append(left & 0x7F | 0x80)
+                left >>= 7
+            out.append(left)
+        return bytes(out)
     v = np.asarray(values, np.int64)
     left = ((v << 1) ^ (v >> 63)).view(np.uint64) if zigzag else v.view(np.uint64)
     digits = np.zeros((len(v), 10), np.uint8)
@@ -106,12 +121,12 @@ def packed(values: np.ndarray, zigzag: bool = False) -> bytes:
 
 def number(field: int, value: int) -> bytes:
     """A number as a field."""
-    return packed(np.array([field << 3])) + packed(np.array([value]))
+    return packed([field << 3, value])
 
 
 def part(field: int, data: bytes) -> bytes:
     """Bytes as a field."""
-    return packed(np.array([field << 3 | 2, len(data)])) + data
+    return packed([field << 3 | 2, len(data)]) + data
 
 
 def deltas(values) -> np.ndarray:
@@ -155,7 +170,7 @@ def elements(block: bytes, kind: str) -> Iterator[dict]:
                 yield from _dense(value, texts, lambda u: degrees(lon0, u), lambda u: degrees(lat0, u))
             elif kind == "nodes" and field == 1:
                 f = dict(fields(value))
-                one = lambda n: int(numbers(packed(np.array([signed(f.get(n, 0))])), True)[0])
+                one = lambda n: int(numbers(packed([f.get(n, 0)]), True)[0])
                 yield {"osmid": one(1), "x": degrees(lon0, one(9)), "y": degrees(lat0, one(8)), "tags": _tags(f, texts)}
             elif kind == "ways" and field == 3:
                 f = dict(fields(value))
@@ -187,13 +202,13 @@ def block_of(rows: list[dict], kind: str) -> bytes:
     if kind == "nodes":
         units = lambda c: deltas(np.rint(np.array([r[c] for r in rows], float) * 1e9 / GRANULARITY).astype(np.int64))
         keys = [n for r in rows for n in [*(at(t) for kv in sorted(r["tags"].items()) for t in kv), 0]]
-        dense = part(1, packed(deltas([r["osmid"] for r in rows]), True)) + part(8, packed(units("y"), True)) + part(9, packed(units("x"), True)) + part(10, packed(np.array(keys)))
+        dense = part(1, packed(deltas([r["osmid"] for r in rows]), True)) + part(8, packed(units("y"), True)) + part(9, packed(units("x"), True)) + part(10, packed(keys))
         group = part(2, dense)
     else:
         ways = []
         for r in rows:
             tags = sorted(r["tags"].items())
-            ways.append(number(1, r["osmid"]) + part(2, packed(np.array([at(k) for k, _ in tags], np.int64))) + part(3, packed(np.array([at(v) for _, v in tags], np.int64))) + part(8, packed(deltas(r["nodes"]), True)))
+            ways.append(number(1, r["osmid"]) + part(2, packed([at(k) for k, _ in tags])) + part(3, packed([at(v) for _, v in tags])) + part(8, packed(deltas(r["nodes"]), True)))
         group = b"".join(part(3, w) for w in ways)
     return part(1, b"".join(part(1, t.encode()) for t in place)) + part(2, group)
 

@@ -167,6 +167,9 @@ def test_varints():
     values = np.array([0, 1, -1, 127, 128, -(1 << 63), (1 << 63) - 1, 300, -70000], np.int64)
     for zigzag in (False, True):
         assert (pbf.numbers(pbf.packed(values, zigzag), zigzag) == values).all()
+        many = np.tile(values, 20)
+        assert (pbf.numbers(pbf.packed(many, zigzag), zigzag) == many).all()
+        assert pbf.packed(many, zigzag) == b"".join(pbf.packed([v], zigzag) for v in many)
     assert len(pbf.numbers(b"")) == 0 and pbf.packed([]) == b""
 
 
