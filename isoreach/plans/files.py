@@ -187,17 +187,17 @@ def archive_summaries(spark, sf_dir):
 
 def street_archive(spark, sf_dir):
     """Suppliers as nodes and orders' lines as ways in binary archives: ways all of whose nodes are there."""
-    nodes_path, ways_path = _folder(spark), _folder(spark)
+    path = _folder(spark)
     s, o = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "orders")
     nodes = s.where("s_acctbal > 0").select(F.col("s_suppkey").cast("long").alias("osmid"), (F.col("s_acctbal").cast("double") / 1000).alias("x"), (F.col("s_nationkey") * -0.5).alias("y"), F.col("s_name").alias("ref"))
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))
     on_way = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "s"))), lambda p: p["s"].cast("long"))
     ways = lines.groupBy("l_orderkey").agg(on_way.alias("nodes")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     ways = ways.select(F.col("o_orderkey").cast("long").alias("osmid"), "nodes", F.col("o_orderpriority").alias("highway"), F.when(F.col("o_orderstatus") == "F", "yes").alias("oneway"))
-    pbf.write(nodes, nodes_path, "nodes")
-    pbf.write(ways, ways_path, "ways")
-    kept_nodes, kept = osm.prune(pbf.read(spark, nodes_path, "nodes"), pbf.read(spark, ways_path, "ways"))
-    at = kept.select(F.col("osmid").alias("way"), "highway", "oneway", F.size("nodes").cast("long").alias("n"), F.posexplode("nodes").alias("i", "osmid")).join(kept_nodes.select("osmid", "x", "y", "ref"), "osmid")
+    pbf.write(nodes, path, "nodes")
+    pbf.write(ways, path, "ways")
+    all_nodes, kept = osm.read_archive(spark, path)
+    at = kept.select(F.col("osmid").alias("way"), "highway", "oneway", F.size("nodes").cast("long").alias("n"), F.posexplode("nodes").alias("i", "osmid")).join(all_nodes.select("osmid", "x", "y", "ref"), "osmid")
     return at.groupBy("way", "highway", "oneway", "n").agg(F.sum(F.round(F.col("x") * 1e5).cast("long") * (F.col("i") + 1)).alias("x"), F.sum(F.round(F.col("y") * 2).cast("long") * (F.col("i") + 1)).alias("y"), F.max("ref").alias("ref"))
 
 

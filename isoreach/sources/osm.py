@@ -13,6 +13,7 @@ from isoreach.graph.components import components
 from isoreach.graph.contraction import consolidate, simplify
 from isoreach.graph.islands import filter_components
 from isoreach.operators.output import scaled_exteriors
+from isoreach.scratch import Scratch
 from isoreach.sources import pbf
 from isoreach.sources.pbf import NODE_SCHEMA, WAY_SCHEMA
 
@@ -31,10 +32,12 @@ def read_archive(spark: SparkSession, path: str, ways: Column | None = None, ext
 
     ``extent`` (polygon in WKT) keeps nodes inside of it, grown by the buffer,
     and then only those that kept ways use.  A repeated id keeps one of its rows.
+    Both are decoded once, into tables that the joins then read.
     """
-    nodes = pbf.read(spark, path, "nodes").dropDuplicates(["osmid"])
+    scratch = Scratch(spark, "archive")
+    nodes = scratch.table(pbf.read(spark, path, "nodes").dropDuplicates(["osmid"]), "nodes")
     found = pbf.read(spark, path, "ways").dropDuplicates(["osmid"])
-    found = found.where(ways) if ways is not None else found
+    found = scratch.table(found.where(ways) if ways is not None else found, "ways")
     if extent is None:
         return nodes, prune(nodes, found)[1]
     wide = scaled_exteriors(spark.createDataFrame([(0, extent)], "id int, geometry string"), "id", buffer_m)

@@ -309,9 +309,9 @@ class Writer(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
         self.path, self.kind, self.rows = options["path"], options.get("kind", "nodes"), int(options.get("block_rows", str(BLOCK_ROWS)))
         fs, at = opened(self.path)
-        self.old = [name for name, _ in _files(self.path)] if fs.get_file_info(at).type != pafs.FileType.NotFound else []
+        self.old = [name for name, _ in _files(self.path) if name.rsplit("/", 1)[-1].startswith(f"{self.kind}-")] if fs.get_file_info(at).type != pafs.FileType.NotFound else []
         if self.old and not overwrite:
-            raise ValueError(f"there are files in {self.path}")
+            raise ValueError(f"there are {self.kind} in {self.path}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, at = opened(self.path)
@@ -375,6 +375,6 @@ def read(spark: SparkSession, path: str, kind: str, schema: str | None = None) -
 
 
 def write(df: DataFrame, path: str, kind: str) -> None:
-    """Nodes (osmid, x, y, tags) or ways (osmid, nodes, tags) as archives, one per partition."""
+    """Nodes (osmid, x, y, tags) or ways (osmid, nodes, tags) as archives, one per partition, in place of those of their kind."""
     register(df.sparkSession)
     df.write.format("street_archive").option("kind", kind).mode("overwrite").save(path)
