@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoreach.functions import geometry as geo
@@ -141,29 +141,34 @@ def in_extent(segments: DataFrame, connectors: DataFrame, extent: DataFrame, cel
     return kept, connectors.join(used, "connector_id", "left_semi")
 
 
-def splits(segments: DataFrame) -> DataFrame:
+def splits(segments: DataFrame, travel: Column | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """Directed splits between consecutive connectors, one row per open heading.
 
     ``segments(id, line, connectors array<struct<connector_id, at>>,
     access_restrictions, speed_limits, class)``.  The backward split swaps its
-    ends and reverses its geometry.
+    ends and reverses its geometry.  ``travel`` is an array of structs with a
+    ``heading``, by default the segment's open headings; ``extra`` names more
+    columns of the result, those of the structs as ``travel.name``.  Every
+    segment is split by itself, without a shuffle.
     """
-    w = Window.partitionBy("id").orderBy("at")
-    c = segments.select("id", F.explode("connectors").alias("c")).select("id", F.col("c.connector_id").alias("a"), F.col("c.at").alias("at"))
-    pairs = c.withColumn("b", F.lead("a").over(w)).withColumn("until", F.lead("at").over(w)).where("b is not null")
-    out = pairs.join(segments, "id").withColumn("heading", F.explode(headings(F.col("access_restrictions"))))
-    back = F.col("heading") == "backward"
+    if travel is None:
+        travel = F.transform(headings(F.col("access_restrictions")), lambda h: F.struct(h.alias("heading")))
+    stop = F.array_sort(F.transform("connectors", lambda c: F.struct(c["at"].alias("at"), c["connector_id"].alias("id"))))
+    pairs = F.zip_with(F.slice("_stops", F.lit(1), F.greatest(F.size("_stops") - 1, F.lit(0))), F.slice("_stops", F.lit(2), F.greatest(F.size("_stops") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    out = segments.withColumn("_stops", stop).where("size(_stops) > 1").withColumn("travel", travel).withColumn("_pair", F.explode(pairs)).withColumn("travel", F.explode("travel"))
+    back, at, until = F.col("travel.heading") == "backward", F.col("_pair.a.at"), F.col("_pair.b.at")
     return out.select(
         "id",
-        "heading",
-        F.when(back, F.col("b")).otherwise(F.col("a")).alias("src_connector"),
-        F.when(back, F.col("a")).otherwise(F.col("b")).alias("dst_connector"),
-        F.col("at").alias("start"),
-        F.col("until").alias("end"),
-        (geo.line_length(F.col("line")) * (F.col("until") - F.col("at"))).alias("distance"),
-        geo.sub_line(F.col("line"), F.col("at"), F.col("until"), back).alias("geometry"),
-        (split_speed(F.col("speed_limits"), F.col("at"), F.col("until")) * MPH_KPH).alias("kph"),
+        "travel.heading",
+        F.when(back, F.col("_pair.b.id")).otherwise(F.col("_pair.a.id")).alias("src_connector"),
+        F.when(back, F.col("_pair.a.id")).otherwise(F.col("_pair.b.id")).alias("dst_connector"),
+        at.alias("start"),
+        until.alias("end"),
+        (geo.line_length(F.col("line")) * (until - at)).alias("distance"),
+        geo.sub_line(F.col("line"), at, until, back).alias("geometry"),
+        (split_speed(F.col("speed_limits"), at, until) * MPH_KPH).alias("kph"),
         "class",
+        *extra,
     )
 
 

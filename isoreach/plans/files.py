@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isoreach import sinks
-from isoreach.operators import bins, opportunities as opp
+from isoreach.operators import bins, modal, opportunities as opp
 from isoreach.plans.domain import opportunities, table, torus, vertices
 from isoreach.scratch import Scratch
 from isoreach.operators import schedules as sched
@@ -24,6 +24,62 @@ def network_files(spark, sf_dir):
     return edges.groupBy("edge_list_id", "mode").agg(F.count(F.lit(1)).alias("edges"), F.sum("cost").cast("long").alias("minutes"))
 
 
+def _modal_network(spark, sf_dir):
+    """Orders as bent segments over suppliers as connectors; classes by priority, speeds by half, three modes."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("double").alias("q"), F.max("l_returnflag").alias("flag"))
+    stop = F.struct(F.col("s").cast("string").alias("connector_id"), ((F.col("l_linenumber") - 1) / 8.0).alias("at"))
+    c = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(stop).alias("connectors"), F.max("flag").alias("flag"), F.min("q").alias("q"))
+    nothing = lambda *names: [F.lit(None).cast("array<string>").alias(n) for n in names]
+    when = F.struct(F.lit(None).cast("string").alias("during"), F.lit("backward").alias("heading"), F.array(F.lit("car")).alias("mode"), *nothing("using", "recognized"))
+    half = lambda lo, mph: F.struct(F.struct(F.lit(lo).alias("lo"), F.lit(lo + 0.5).alias("hi")).alias("between"), mph.alias("mph"))
+    point = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    rank = F.substring("o_orderpriority", 1, 1).cast("int")
+    segments = c.join(table(spark, sf_dir, "orders"), "o_orderkey").select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.array(point(0.0, 0.0), point(0.01, 0.0), point(0.01, 0.01)).alias("line"),
+        "connectors",
+        F.when(F.col("flag") == "N", F.array(F.struct(F.lit("denied").alias("access_type"), when.alias("when")))).alias("access_restrictions"),
+        F.when((rank != 3) & (F.col("o_orderstatus") != "P"), F.array(half(0.0, F.col("q")), half(0.5, F.col("q") + 10))).alias("speed_limits"),
+        F.lit("road").alias("subtype"),
+        F.element_at(F.array(*[F.lit(v) for v in ("primary", "secondary", "residential", "service", "footway")]), rank).alias("class"),
+        F.when(rank == 5, "crosswalk").alias("subclass"),
+        F.when(rank >= 4, F.array(F.struct(F.struct(F.lit(0.0).alias("lo"), F.lit(0.5).alias("hi")).alias("between"), F.lit("alley").alias("value")))).alias("subclass_rules"),
+    )
+    connectors = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("connector_id"), (F.col("s_suppkey") * 0.001).alias("x"), F.lit(0.0).alias("y"))
+    modes = [
+        modal.Mode("drive", F.col("class") != "footway", {"mode": ["car"]}),
+        modal.Mode("walk", F.col("class") != "primary", {"mode": ["foot"]}),
+        modal.Mode("bike", ~F.col("class").isin("primary", "footway"), {"mode": ["bicycle"]}),
+    ]
+    path = _folder(spark)
+    sinks.modal_network(modal.build(segments, connectors, modes), path, {"release": "orders"})
+    return path
+
+
+def modal_files(spark, sf_dir):
+    """Written tables of every mode, joined by edge: by class and bearing the edges, their numbers, ends, miles and speeds."""
+    path = _modal_network(spark, sf_dir)
+    read = lambda mode, part, schema: spark.read.option("header", True).schema(schema).csv(f"{path}/{mode}/{part}")
+    out = None
+    for mode in ("drive", "walk", "bike"):
+        rows = read(mode, "edges", "edge_id long, src_vertex_id long, dst_vertex_id long, distance double")
+        for part, schema in (("speeds", "edge_id long, mph double"), ("classes", "edge_id long, class string"), ("bearings", "edge_id long, bearing double"), ("segments", "edge_id long, segment_id long, linear_reference double")):
+            rows = rows.join(read(mode, part, schema), "edge_id")
+        sums = [F.sum(F.col(a)).alias(b) for a, b in (("edge_id", "numbers"), ("src_vertex_id", "sources"), ("dst_vertex_id", "targets"), ("segment_id", "segments"))]
+        made = rows.groupBy(F.lit(mode).alias("mode"), "class", F.round("bearing", 3).alias("bearing")).agg(F.count(F.lit(1)).alias("edges"), *sums, F.round(F.sum("distance"), 2).alias("meters"), F.round(F.avg("mph"), 4).alias("mph"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def modal_speeds(spark, sf_dir):
+    """Written mean speeds of every mode by class, and the edges and miles that the written summary tells."""
+    path = _modal_network(spark, sf_dir)
+    means = spark.read.option("header", True).schema("class string, mph double").csv(*[[f"{path}/{m}/speed_mapping" for m in ("drive", "walk", "bike")]]).withColumn("mode", F.regexp_extract(F.col("_metadata.file_path"), r"/(\w+)/speed_mapping/", 1))
+    told = spark.read.text(f"{path}/summary", lineSep="[stats.edge_list.").select(F.regexp_extract("value", r'^"(\w+)"', 1).alias("mode"), F.regexp_extract("value", r'road_class_stats\."([\w-]+)"', 1).alias("class"), F.regexp_extract("value", r"(?:edges|count) = (\d+)", 1).cast("long").alias("edges"), F.regexp_extract("value", r"miles = ([0-9.E-]+)", 1).cast("double").alias("miles"))
+    told = told.where("mode <> ''").withColumn("class", F.when(F.col("class") == "", "_global_").otherwise(F.col("class")))
+    return told.join(means, ["mode", "class"], "left").select("mode", "class", "edges", F.round("miles", 3).alias("miles"), F.round("mph", 4).alias("mph"))
+
+
 def bundle_files(spark, sf_dir):
     """A transit archive from orders' lines over suppliers as stops: written edges with their departures."""
     path = _folder(spark)
@@ -209,7 +265,20 @@ def feature_rows(spark, sf_dir):
 
 
 TORUS = "people AS (SELECT n_nationkey k, count(c_custkey) n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1), torus AS (SELECT CASE WHEN s IN (1, 24) THEN 'walk' ELSE 'bike' END AS mode, 2 + ((n * 7 + s * 3 + k) % 11) AS mins FROM people, (VALUES (1), (5), (20), (24)) v(s))"
+MODAL_SQL = """ls AS (SELECT l_orderkey AS o, l_linenumber AS i, min(l_suppkey) AS s, CAST(min(l_quantity) AS DOUBLE) AS q, max(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),
+sg AS (SELECT o, max(f) AS f, min(q) AS q FROM ls GROUP BY 1), od AS (SELECT o, CAST((i - 1) / 8.0 AS DOUBLE) AS at, s, row_number() OVER (PARTITION BY o ORDER BY i) AS r FROM ls),
+vx AS (SELECT s_suppkey AS s, row_number() OVER (ORDER BY CAST(s_suppkey AS VARCHAR)) - 1 AS v FROM supplier),
+sp AS (SELECT a.o, a.at AS a, b.at AS b, va.v AS va, vb.v AS vb FROM od a JOIN od b ON a.o = b.o AND b.r = a.r + 1 JOIN vx va ON va.s = a.s JOIN vx vb ON vb.s = b.s),
+dr AS (SELECT sp.*, h, f, left(o_orderpriority, 1) AS p, CASE WHEN left(o_orderpriority, 1) <> '3' AND o_orderstatus <> 'P' THEN (q * greatest(least(b, 0.5) - a, 0) + (q + 10) * greatest(b - greatest(a, 0.5), 0)) / (b - a) END AS mph,
+ 'road-' || CASE left(o_orderpriority, 1) WHEN '1' THEN 'primary' WHEN '2' THEN 'secondary' WHEN '3' THEN 'residential' WHEN '4' THEN CASE WHEN a < 0.5 THEN 'service-alley' ELSE 'service' END ELSE 'footway-crosswalk' END AS class,
+ CASE h WHEN 'forward' THEN CASE WHEN b <= 0.5 THEN 90.0 ELSE 0.0 END ELSE CASE WHEN a >= 0.5 THEN 180.0 ELSE 270.0 END END AS bearing, (b - a) * 4 * 6371008.8 * asin(sqrt(power(sin(radians(0.01) / 2), 2))) AS d
+ FROM sp JOIN sg USING (o) JOIN orders ON o_orderkey = o CROSS JOIN (VALUES ('forward'), ('backward')) h(h)),
+ed AS (SELECT m AS mode, dr.*, row_number() OVER (PARTITION BY m ORDER BY h DESC, CAST(o AS VARCHAR), a) - 1 AS n FROM dr CROSS JOIN (VALUES ('drive'), ('walk'), ('bike')) m(m) WHERE CASE m WHEN 'drive' THEN p <> '5' AND (h = 'forward' OR f <> 'N') WHEN 'walk' THEN p <> '1' ELSE p NOT IN ('1', '5') END),
+mn AS (SELECT mode, class, sum(d * mph) / sum(CASE WHEN mph IS NOT NULL THEN d END) AS mean FROM ed GROUP BY ROLLUP (mode, class))"""
 QUERIES = {
+    "modal_files": (modal_files, f"""WITH {MODAL_SQL} SELECT ed.mode, ed.class, CAST(bearing AS DOUBLE) AS bearing, count(*) AS edges, CAST(sum(n) AS BIGINT) AS numbers, CAST(sum(CASE h WHEN 'forward' THEN va ELSE vb END) AS BIGINT) AS sources, CAST(sum(CASE h WHEN 'forward' THEN vb ELSE va END) AS BIGINT) AS targets,
+CAST(sum(o) AS BIGINT) AS segments, round(sum(d), 2) AS meters, round(avg(coalesce(mph, c.mean, g.mean)), 4) AS mph FROM ed LEFT JOIN mn c ON c.mode = ed.mode AND c.class = ed.class JOIN mn g ON g.mode = ed.mode AND g.class IS NULL GROUP BY 1, 2, 3"""),
+    "modal_speeds": (modal_speeds, f"""WITH {MODAL_SQL}, t AS (SELECT mode, class, count(*) AS edges, sum(d) / 1609.344 AS miles FROM ed GROUP BY ROLLUP (mode, class)) SELECT t.mode, coalesce(t.class, '_global_') AS class, edges, round(miles, 3) AS miles, round(mean, 4) AS mph FROM t JOIN mn ON mn.mode = t.mode AND mn.class IS NOT DISTINCT FROM t.class"""),
     "network_files": (network_files, f"WITH {TORUS} SELECT CASE mode WHEN 'walk' THEN 0 ELSE 1 END AS edge_list_id, mode, count(*) AS edges, CAST(sum(mins) AS BIGINT) AS minutes FROM torus GROUP BY 1, 2"),
     "bundle_files": (bundle_files, """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS i, min(l_suppkey) AS s FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2),
 p AS (SELECT s AS src, lead(s) OVER (PARTITION BY o ORDER BY i) AS dst, lead(i) OVER (PARTITION BY o ORDER BY i) - i AS h FROM l) SELECT src, dst, count(*) AS departures, CAST(sum(h) * 60 AS BIGINT) AS minutes FROM p WHERE dst IS NOT NULL GROUP BY 1, 2"""),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import re
 import uuid
 import zipfile
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isoreach.functions.geometry import to_wkt
+from isoreach.operators.modal import ModalNetwork, summary
 from isoreach.shipping import ship
 from isoreach.sources.pbf import opened
 
@@ -25,6 +28,57 @@ def network(vertices: DataFrame, edges: DataFrame, path: str, overwrite: bool =
     edges.write.mode(mode).partitionBy("edge_list_id").parquet(f"{path}/edges")
 
 
+def modal_network(network: ModalNetwork, path: str, source: Mapping[str, str] | None = None, ids: bool = True, overwrite: bool = False) -> None:
+    """A network of several modes as zipped text: vertices beside one folder per mode, and a summary.
+
+    A mode's folder has edges, geometries (WKT), speeds (miles an hour),
+    classes, bearings and speed_mapping (mean by class, ``_global_`` for all);
+    ``ids`` adds the segment and start of every edge and the connector of every
+    vertex.  Rows carry their number and lie in its order over the files of a
+    folder.  ``summary`` is TOML: what ``source`` tells, then counts, miles and
+    mean speeds.  Tables that exist stay unless overwritten.
+    """
+    mode = "overwrite" if overwrite else "ignore"
+
+    def save(df: DataFrame, name: str, number: str | None = None) -> None:
+        df = df if number is None else df.repartitionByRange(number).sortWithinPartitions(number)
+        df.write.mode(mode).option("header", True).option("compression", "gzip").csv(f"{path}/{name}")
+
+    save(network.vertices.select("vertex_id", "x", "y"), "vertices", "vertex_id")
+    if ids:
+        save(network.vertices.select("vertex_id", "connector_id"), "vertex_connectors", "vertex_id")
+    parts = {
+        "edges": ["edge_id", F.col("src").alias("src_vertex_id"), F.col("dst").alias("dst_vertex_id"), "distance"],
+        "geometries": ["edge_id", to_wkt(F.col("geometry")).alias("geometry")],
+        "speeds": ["edge_id", "mph"],
+        "classes": ["edge_id", "class"],
+        "bearings": ["edge_id", "bearing"],
+    } | ({"segments": ["edge_id", "segment_id", F.col("start").alias("linear_reference")]} if ids else {})
+    stats = summary(network)
+    for name in sorted(r["mode"] for r in stats.where("class is null").select("mode").collect()):  # one row a mode
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", name):
+            raise ValueError(f"not a folder name: {name!r}")
+        own = network.edges.where(F.col("mode") == name)
+        for part, columns in parts.items():
+            save(own.select(*columns), f"{name}/{part}", "edge_id")
+        save(network.speeds.where(F.col("mode") == name).select(F.coalesce("class", F.lit("_global_")).alias("class"), "mph"), f"{name}/speed_mapping")
+    summary_lines(stats, network.vertices, source or {}).coalesce(1).sortWithinPartitions("at").select("value").write.mode(mode).text(f"{path}/summary")
+
+
+def summary_lines(stats: DataFrame, vertices: DataFrame, source: Mapping[str, str]) -> DataFrame:
+    """(at, value): lines of a TOML summary, one table per mode and class."""
+    quoted = lambda v: F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2)  # noqa: E731  a JSON string is a TOML string
+    line = lambda key, value: F.concat(F.lit(f"{key} = "), value)
+    names = F.concat(F.lit("[stats.edge_list."), quoted(F.col("mode")), F.when(F.col("class").isNull(), F.lit("]")).otherwise(F.concat(F.lit(".road_class_stats."), quoted(F.col("class")), F.lit("]"))))
+    count = F.when(F.col("class").isNull(), line("edges", F.col("edges").cast("string"))).otherwise(line("count", F.col("edges").cast("string")))
+    miles = F.when(F.col("class").isNull(), line("miles", F.col("miles").cast("string"))).otherwise(line("distance_miles", F.col("miles").cast("string")))
+    table = F.filter(F.array(names, count, miles, line("avg_speed_mph", F.col("mph").cast("string"))), lambda v: v.isNotNull())
+    body = stats.select(F.concat(F.lit("1"), F.col("mode"), F.lit("\u0001"), F.coalesce("class", F.lit(""))).alias("at"), F.array_join(table, "\n").alias("value"))
+    told = [line(json.dumps(k), quoted(F.lit(v))) for k, v in source.items()]
+    head = vertices.agg(F.count(F.lit(1)).cast("string").alias("n")).select(F.lit("0").alias("at"), F.array_join(F.array(F.lit("[source]"), *told, F.lit("[stats]"), line("vertices", F.col("n"))), "\n").alias("value"))
+    return head.unionByName(body)
+
+
 def bundle(edges: DataFrame, schedules: DataFrame, mapping: DataFrame, path: str, overwrite: bool = True) -> None:
     """Edges, schedules and date mapping of one or more transit archives."""
     mode = "overwrite" if overwrite else "ignore"
