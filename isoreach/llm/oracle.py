@@ -5,6 +5,8 @@ network, personal data trained trees, decontamination sketches; byte windows
 are too slow in SQL.  ``tests/llm`` holds those against brute force.
 """
 
+from isoreach.llm import quality
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SUBSTRINGS = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
@@ -24,10 +26,10 @@ r AS (SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM z, range(3) s(o)
 l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
 f AS (SELECT rid, line, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars,
  (length(line) < 40 AND right(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?', ';', ':', ',', '…', '"', '''', '”', '’', '»', ')', ']'))
- OR (length(line) < 40 AND regexp_matches(lower(line), '^[\\x20\\x09-\\x0D]*(?:home|menu|login|log in|sign in|sign up|next|previous|back to top|skip to content|share|search)[\\x20\\x09-\\x0D.!:]*$'))
+ OR (length(line) < 40 AND regexp_matches(lower(line), '{quality.MENU}'))
  OR len(regexp_extract_all(line, '[#*$%&|<>]')) > CAST(0.3 AS DOUBLE) * length(line)
  OR length(line) - length(replace(line, '|', '')) + length(line) - length(replace(line, ' > ', '> ')) + length(line) - length(replace(line, '» ', ' ')) + length(line) - length(replace(line, '› ', ' ')) >= 2
- OR regexp_matches(lower(line), 'cookie|javascript|rights reserved|privacy policy|terms of|subscribe|licensed under|released under') AS fails
+ OR regexp_matches(lower(line), '{'|'.join(quality.BOILERPLATE)}') AS fails
  FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 g AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, CAST(coalesce(sum(chars) FILTER (fails), 0) AS BIGINT) AS lost_chars FROM f GROUP BY 1),
 s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,

@@ -7,6 +7,7 @@ rejected.  Word statistics of the whole text give a base verdict first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +19,22 @@ SYMBOLS = "#*$%&|<>"
 SYMBOL_CLASS = r"[#*$%&|<>]"
 TERMINAL = (".", "!", "?", ";", ":", ",", "\u2026", '"', "'", "\u201d", "\u2019", "\u00bb", ")", "]")
 SEPARATORS = ("|", " > ", "\u00bb ", "\u203a ")
-MENU = r"^[\x20\x09-\x0D]*(?:home|menu|login|log in|sign in|sign up|next|previous|back to top|skip to content|share|search)[\x20\x09-\x0D.!:]*$"
-BOILERPLATE = ("cookie", "javascript", "rights reserved", "privacy policy", "terms of", "subscribe", "licensed under", "released under")
+#: Navigation words that make a line of their own, by language of the corpus.
+NAVIGATION = {
+    "en": ("home", "menu", "login", "log in", "sign in", "sign up", "next", "previous", "back to top", "skip to content", "share", "search"),
+    "de": ("startseite", "menü", "anmelden", "einloggen", "registrieren", "weiter", "zurück", "nach oben", "zum inhalt springen", "teilen", "suche", "suchen"),
+    "fr": ("accueil", "connexion", "se connecter", "inscription", "suivant", "précédent", "haut de page", "aller au contenu", "partager", "rechercher"),
+    "es": ("inicio", "menú", "iniciar sesión", "acceder", "registrarse", "siguiente", "anterior", "volver arriba", "ir al contenido", "compartir", "buscar"),
+}
+#: Phrases of notices that are no prose of the document, by language.
+NOTICES = {
+    "en": ("cookie", "javascript", "rights reserved", "privacy policy", "terms of", "subscribe", "licensed under", "released under"),
+    "de": ("rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "newsletter abonnieren", "lizenziert unter", "veröffentlicht unter"),
+    "fr": ("droits réservés", "politique de confidentialité", "conditions générales", "abonnez-vous", "sous licence"),
+    "es": ("derechos reservados", "política de privacidad", "términos de uso", "condiciones de uso", "suscríbete", "bajo licencia", "bajo la licencia"),
+}
+MENU = rf"^{WHITE}*(?:{'|'.join(dict.fromkeys(w for words in NAVIGATION.values() for w in words))})[\x20\x09-\x0D.!:]*$"
+BOILERPLATE = tuple(w for words in NOTICES.values() for w in words)
 
 
 @dataclass(frozen=True)
@@ -88,9 +103,8 @@ def document_marks(text: Column, n_symbols: Column) -> Column:
     return (n_symbols > 0) | any_of(text, SEPARATORS)
 
 
-#: Windows of texts up to this many words are sorted as single longs: 50 bits
-#: of hash over 14 bits of position.  Longer texts sort (64-bit hash, position).
-PACKED_WORDS, PACKED_BITS = 1 << 14, 14
+#: Windows are sorted as longs: 33 bits of hash over 31 bits of position, which is as long as an array can be.
+POSITION = (1 << 31) - 1
 
 
 def covered_words(at: str) -> Column:
@@ -99,27 +113,41 @@ def covered_words(at: str) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, n: acc + n)
 
 
+def with_equal_neighbour(rows: str, same: Callable[[Column, Column], Column]) -> Column:
+    """Items of a sorted array that equal the one before or after them."""
+    meets = lambda x, at: F.coalesce(same(x, F.get(rows, at)), F.lit(False))
+    return F.filter(rows, lambda x, i: meets(x, i + 1) | meets(x, i - 1))
+
+
 def add_repeated_words(stage: DataFrame) -> DataFrame:
     """Add ``n_repeat_words``: words in 3-word windows found twice or more.
 
-    ``_g`` holds a 64-bit hash of each window.  Once windows are sorted, those
-    with an equal neighbour are the repeated ones; their positions, sorted,
-    tell how many words they cover.
+    ``_w`` holds the words and ``_g`` a hash of each window.  Windows sorted by
+    hash give those whose hash repeats, which all repeated ones are among; they
+    alone are sorted by their words, and where words are equal, repeat.  Their
+    positions tell how many words they cover.  Hashes only narrow the search,
+    at every length of text.
     """
-    low = (1 << PACKED_BITS) - 1
-    short = F.size("_g") <= PACKED_WORDS
-    packed = F.sort_array(F.transform("_g", lambda g, i: g.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("bigint"))))
-    placed = F.sort_array(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    no_longs, no_pairs = F.array().cast("array<bigint>"), F.array().cast("array<struct<g:bigint,i:int>>")
-    stage = stage.withColumn("_s", F.when(short, packed).otherwise(no_longs)).withColumn("_p", F.when(short, no_pairs).otherwise(placed))
+    packed = F.transform("_g", lambda g, i: g.bitwiseAND(F.lit(~POSITION)).bitwiseOR(i.cast("bigint")))
+    stage = stage.withColumn("_s", F.sort_array(packed))
+    stage = stage.withColumn("_c", with_equal_neighbour("_s", lambda x, y: x.bitwiseXOR(y).between(0, POSITION)))
+    word = lambda i, k: F.get("_w", i + k)
+
+    def window(x: Column) -> Column:
+        i = x.bitwiseAND(F.lit(POSITION)).cast("int")
+        return F.struct(word(i, 0).alias("a"), word(i, 1).alias("b"), word(i, 2).alias("c"), i.alias("i"))
+
+    stage = stage.withColumn("_v", F.sort_array(F.transform("_c", window)))
+    repeated = with_equal_neighbour("_v", lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]))
+    stage = stage.withColumn("_at", F.sort_array(F.transform(repeated, lambda x: x["i"])))
+    return stage.withColumn("n_repeat_words", covered_words("_at")).drop("_s", "_c", "_v", "_at", "_g", "_w")
 
-    def twin(x: Column, y: Column) -> Column:
-        return x.bitwiseXOR(y).between(0, low)
 
-    equal_longs = F.filter("_s", lambda x, i: F.coalesce(twin(x, F.get("_s", i + 1)), F.lit(False)) | F.coalesce(twin(x, F.get("_s", i - 1)), F.lit(False)))
-    equal_pairs = F.filter("_p", lambda x, i: (x["g"] == F.get("_p", i - 1)["g"]) | (x["g"] == F.get("_p", i + 1)["g"]))
-    hits = F.when(short, F.transform(equal_longs, lambda x: x.bitwiseAND(F.lit(low)).cast("int"))).otherwise(F.transform(equal_pairs, lambda x: x["i"]))
-    return stage.withColumn("_at", F.sort_array(hits)).withColumn("n_repeat_words", covered_words("_at")).drop("_s", "_p", "_at", "_g")
+def window_hashes(words: str) -> Column:
+    """A hash of every 3-word window; the last two starts, which would reach past the end, have none."""
+    ahead = lambda k: F.slice(words, F.lit(k + 1), F.greatest(F.size(words) - k, F.lit(0)))
+    windows = F.arrays_zip(F.col(words).alias("a"), ahead(1).alias("b"), ahead(2).alias("c"))
+    return F.transform(F.slice(windows, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda x: F.xxhash64(x["a"], x["b"], x["c"]))
 
 
 def score_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -130,17 +158,14 @@ def score_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     stage = docs.select("doc_id", text.alias("_t"), words_of(text).alias("_w"))
-    # 3-word windows; the last two, which would reach past the end, are cut off
-    ahead = lambda k: F.slice("_w", F.lit(k + 1), F.greatest(F.size("_w") - k, F.lit(0)))
-    windows = F.arrays_zip(F.col("_w").alias("a"), ahead(1).alias("b"), ahead(2).alias("c"))
-    grams = F.transform(F.slice(windows, F.lit(1), F.greatest(F.size("_w") - 2, F.lit(0))), lambda x: F.xxhash64(x["a"], x["b"], x["c"]))
     stage = stage.select(
         "doc_id",
         F.size("_w").cast("long").alias("n_words"),
         F.length(without_blanks(F.col("_t"))).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(SYMBOL_CLASS)).cast("long").alias("n_symbols"),
         F.filter(F.split("_t", "\n"), lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0).alias("_lines"),
-        grams.alias("_g"),
+        "_w",
+        window_hashes("_w").alias("_g"),
         any_of(F.lower("_t"), BOILERPLATE).alias("_hints"),
         any_of(F.col("_t"), SEPARATORS).alias("_bars"),
     )
@@ -153,6 +178,7 @@ def score_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
             "word_chars",
             "n_symbols",
             (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+            "_w",
             "_g",
             lost.alias("lost_chars"),
         )

@@ -11,6 +11,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from isoreach.llm import decontamination, language, near_dedup, pii, quality, sharding, sketch, substring_dedup, suffix_dedup, tier_packing, token_rows
 from isoreach.llm.tokens import default_vocabulary, encoder
 
@@ -255,6 +257,24 @@ def test_quality_of_long_texts(spark):
     assert quality.score_documents(df).first()["n_repeat_words"] == 1000
 
 
+def test_repeated_words_do_not_trust_hashes(spark):
+    """With one hash for all windows, or a bit of it, the words alone decide."""
+    rows = [(1, "a b c d a b c e f"), (2, "a b c d e f g"), (3, "x x x x"), (4, "a b"), (5, ""), (6, "a b c a b d a b c a b d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", quality.words_of(F.col("text")).alias("_w"))
+    whole = quality.window_hashes("_w")
+    for weak in (F.transform(whole, lambda g: F.lit(0).cast("bigint")), F.transform(whole, lambda g: F.shiftleft(g.bitwiseAND(F.lit(1)), 40)), whole):
+        got = quality.add_repeated_words(df.withColumn("_g", weak)).collect()
+        assert {r["doc_id"]: r["n_repeat_words"] for r in got} == {1: 6, 2: 0, 3: 4, 4: 0, 5: 0, 6: 12}
+
+
+def test_line_rules_in_four_languages(spark):
+    prose = ["Diese Zeile ist guter Text und bleibt deshalb stehen.", "Cette ligne est un bon texte, elle reste donc ici.", "Esta línea es buena prosa y por eso se queda aquí."]
+    notices = ["Alle Rechte vorbehalten von der Firma in dieser Stadt.", "Tous droits réservés par la maison dans cette ville.", "Todos los DERECHOS RESERVADOS por la casa de la ciudad."]
+    df = spark.createDataFrame([(1, "\n".join([prose[0], "Startseite.", notices[0], prose[1], "Précédent!", notices[1], prose[2], "Menú:", notices[2]]))], "doc_id long, text string")
+    assert quality.clean_lines(df).first()["text"].split("\n") == prose
+    assert quality.score_documents(df).first()["lost_chars"] == sum(len("".join(x.split())) for x in (*notices, "Startseite.", "Précédent!", "Menú:"))
+
+
 def test_line_rules(spark):
     text = "A good line of prose that ends well.\nHome | About | Contact\nmenu\nPlease accept each cookie to go on here.\nAnother fine line, all in all, with an end."
     df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
