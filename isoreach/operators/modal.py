@@ -98,6 +98,8 @@ def build(segments: DataFrame, connectors: DataFrame, modes: Sequence[Mode], isl
         geo.exit_bearing(F.col("geometry")).alias("bearing"),
         "geometry",
     )
+    scratch = Scratch(segments.sparkSession, "modal")
+    parts = scratch.table(parts, "parts")  # dealing by ranges reads its input twice
     edges = numbered(parts, "edge_id", [F.desc("heading"), "segment_id", "start"], ["edge_list_id"])
     speeds = mean_speeds(edges)
     at = connectors.select(F.col("connector_id").alias("vertex_id"), "x", "y")
@@ -112,7 +114,6 @@ def build(segments: DataFrame, connectors: DataFrame, modes: Sequence[Mode], isl
         unknown = F.raise_error(F.concat(F.lit("unknown connector "), F.col(end))).cast("long")
         edges = edges.join(ids, end, "left").withColumn(end, F.when(F.col("_id").isNotNull(), F.col("_id")).otherwise(unknown)).drop("_id")
     done = filled(edges, speeds).repartitionByRange("edge_list_id", "edge_id").sortWithinPartitions("edge_list_id", "edge_id")
-    scratch = Scratch(edges.sparkSession, "modal")
     return ModalNetwork(vertices, scratch.table(done, "edges"), scratch.table(speeds, "speeds"))
 
 

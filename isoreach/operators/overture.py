@@ -155,18 +155,27 @@ def splits(segments: DataFrame, travel: Column | None = None, extra: Sequence[st
         travel = F.transform(headings(F.col("access_restrictions")), lambda h: F.struct(h.alias("heading")))
     stop = F.array_sort(F.transform("connectors", lambda c: F.struct(c["at"].alias("at"), c["connector_id"].alias("id"))))
     pairs = F.zip_with(F.slice("_stops", F.lit(1), F.greatest(F.size("_stops") - 1, F.lit(0))), F.slice("_stops", F.lit(2), F.greatest(F.size("_stops") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    out = segments.withColumn("_stops", stop).where("size(_stops) > 1").withColumn("travel", travel).withColumn("_pair", F.explode(pairs)).withColumn("travel", F.explode("travel"))
-    back, at, until = F.col("travel.heading") == "backward", F.col("_pair.a.at"), F.col("_pair.b.at")
-    return out.select(
+    cut = segments.withColumn("_stops", stop).where("size(_stops) > 1").withColumn("travel", travel).where("size(travel) > 0").withColumn("_pair", F.explode(pairs))
+    at, until = F.col("_pair.a.at"), F.col("_pair.b.at")
+    # measured once a stretch; every heading and mode takes it from there
+    cut = cut.withColumns({
+        "start": at,
+        "end": until,
+        "distance": geo.line_length(F.col("line")) * (until - at),
+        "_line": geo.sub_line(F.col("line"), at, until),
+        "kph": split_speed(F.col("speed_limits"), at, until) * MPH_KPH,
+    })
+    back = F.col("travel.heading") == "backward"
+    return cut.withColumn("travel", F.explode("travel")).select(
         "id",
         "travel.heading",
         F.when(back, F.col("_pair.b.id")).otherwise(F.col("_pair.a.id")).alias("src_connector"),
         F.when(back, F.col("_pair.a.id")).otherwise(F.col("_pair.b.id")).alias("dst_connector"),
-        at.alias("start"),
-        until.alias("end"),
-        (geo.line_length(F.col("line")) * (until - at)).alias("distance"),
-        geo.sub_line(F.col("line"), at, until, back).alias("geometry"),
-        (split_speed(F.col("speed_limits"), at, until) * MPH_KPH).alias("kph"),
+        "start",
+        "end",
+        "distance",
+        F.when(back, F.reverse("_line")).otherwise(F.col("_line")).alias("geometry"),
+        "kph",
         "class",
         *extra,
     )
