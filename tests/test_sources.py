@@ -202,3 +202,10 @@ def test_schedule_errors(spark):
     with pytest.raises(ValueError, match="not dense"):
         sched.checked_edges(rows, 3)
     assert sched.checked_edges(rows.where("edge_id = 0"), 1).count() == 2 and sched.checked_edges(rows.limit(0), 0).count() == 0
+
+
+def test_category_file_is_written_beside_its_folder(spark):
+    from isoreach.plans.files import category_file
+
+    rows = category_file(spark, "/root/testdata/sf0.001").collect()
+    assert [r["label"] for r in rows] == list(range(25)) and [r["category"] for r in rows] == sorted(r["category"] for r in rows)
