@@ -1,4 +1,8 @@
-"""Edge metrics: neighbours, speeds, traffic stress and walking comfort."""
+"""Edge metrics: neighbours, speeds, traffic stress and walking comfort.
+
+Joins on edges are merged: few columns of many edges make a small file, and no
+driver holds them for a broadcast.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +27,7 @@ def neighbours(edges: DataFrame, radius: float = NEIGHBOUR_DEGREES) -> DataFrame
 def neighbour_speed(edges: DataFrame, near: DataFrame) -> DataFrame:
     """(edge_id, near_mph): distance-weighted speed of the neighbours that have one."""
     known = edges.where("mph is not null").select(F.col("edge_id").alias("other"), "mph")
-    joined = near.join(known, "other").groupBy("edge_id").agg(F.sum(F.col("mph") * F.col("distance")).alias("s"), F.sum("distance").alias("d"))
+    joined = near.join(known.hint("merge"), "other").groupBy("edge_id").agg(F.sum(F.col("mph") * F.col("distance")).alias("s"), F.sum("distance").alias("d"))
     return joined.where("d > 0").select("edge_id", (F.col("s") / F.col("d")).alias("near_mph"))
 
 
@@ -31,7 +35,7 @@ def stress(edges: DataFrame) -> DataFrame:
     """``edges`` with ``lts``, the level of traffic stress 1..4."""
     near = neighbour_speed(edges, neighbours(edges))
     level = tags.stress_level(F.col("highway"), F.col("cycleway"), F.col("oneway"), F.col("mph"), F.col("near_mph"))
-    return edges.join(near, "edge_id", "left").withColumn("lts", level).drop("near_mph")
+    return edges.join(near.hint("merge"), "edge_id", "left").withColumn("lts", level).drop("near_mph")
 
 
 def comfort(edges: DataFrame) -> DataFrame:
@@ -42,7 +46,7 @@ def comfort(edges: DataFrame) -> DataFrame:
     """
     near = neighbours(edges)
     own = edges.select(F.col("edge_id").alias("other"), tags.facility_comfort(tags.facility(F.col("cycleway"))).alias("score"), tags.is_sidewalk(F.col("sidewalk"), F.col("footway")).alias("side"))
-    around = near.join(own, "other").groupBy("edge_id").agg(
+    around = near.join(own.hint("merge"), "other").groupBy("edge_id").agg(
         F.count("score").alias("scored"),
         F.sum(F.coalesce("score", F.lit(0)) * F.col("distance")).alias("s"),
         F.sum("distance").alias("d"),
@@ -50,7 +54,7 @@ def comfort(edges: DataFrame) -> DataFrame:
     )
     mean = F.round(F.col("s") / F.col("d"), 9)
     near_cycle = F.when((F.col("scored") > 0) & (F.col("d") > 0), F.when(mean >= 0, F.floor(mean)).otherwise(F.ceil(mean))).otherwise(tags.NO_FACILITY_FOUND)
-    out = edges.join(neighbour_speed(edges, near), "edge_id", "left").join(around.withColumn("has", F.lit(True)), "edge_id", "left")
+    out = edges.join(neighbour_speed(edges, near).hint("merge"), "edge_id", "left").join(around.withColumn("has", F.lit(True)).hint("merge"), "edge_id", "left")
     side, foot = tags.is_sidewalk(F.col("sidewalk"), F.col("footway")), tags.is_footway(F.col("footway"))
     eligible = tags.is_walkable(F.col("highway"), F.col("sidewalk"), F.col("footway")) | F.coalesce("near_side", F.lit(False))
     speed = tags.speed_comfort(F.coalesce("mph", "near_mph"))

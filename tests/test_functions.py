@@ -250,3 +250,16 @@ def test_segments_in_an_extent(spark):
     extent = spark.createDataFrame([(0, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)])], f"ring_id int, ring {point}")
     kept, used = in_extent(segments, connectors, extent)
     assert sorted(r["id"] for r in kept.collect()) == [1, 4] and sorted(r[0] for r in used.collect()) == ["a", "b"]
+
+
+def test_edges_are_not_broadcast_by_their_size_on_disk(spark, tmp_path):
+    from isoreach.operators import metrics
+
+    path = str(tmp_path / "edges")
+    tags = [F.lit(v).alias(c) for c, v in (("highway", "residential"), ("cycleway", "lane"), ("sidewalk", "both"), ("footway", "no"), ("oneway", "no"), ("node_highway", "stop"))]
+    spark.range(50).select(F.col("id").alias("edge_id"), (F.col("id") * 0.0001).alias("x"), F.lit(0.0).alias("y"), F.lit(20.0).alias("mph"), *tags).write.parquet(path)
+    edges = spark.read.parquet(path)
+    near = metrics.neighbours(edges)
+    for made in (near, metrics.neighbour_speed(edges, near), metrics.stress(edges), metrics.comfort(edges)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == (98 if made is near else 50)
