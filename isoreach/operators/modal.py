@@ -75,9 +75,9 @@ def build(segments: DataFrame, connectors: DataFrame, modes: Sequence[Mode], isl
     missing speed is the mean of its class in the mode, else that of the mode,
     else null.  ``islands(edges, vertices)`` names edges that go: means are
     taken before, and vertices of no edge left go with them; without it every
-    connector is a vertex.  All modes share one pass over the segments, and the
-    result is written once, in the order of its numbers, so that a mode's rows
-    lie together.  A connector that is not in the table is an error.
+    connector is a vertex.  All modes share one pass over the segments; ends and
+    speeds are filled before the numbers are drawn, so that edges are dealt and
+    written once, in the order of their numbers, and a mode's rows lie together.  A connector that is not in the table is an error.
     """
     names = [m.name for m in modes]
     if len(set(names)) < len(names):
@@ -100,21 +100,21 @@ def build(segments: DataFrame, connectors: DataFrame, modes: Sequence[Mode], isl
     )
     scratch = Scratch(segments.sparkSession, "modal")
     parts = scratch.table(parts, "parts")  # dealing by ranges reads its input twice
-    edges = numbered(parts, "edge_id", [F.desc("heading"), "segment_id", "start"], ["edge_list_id"])
-    speeds = mean_speeds(edges)
+    order = [F.desc("heading"), "segment_id", "start"]
     at = connectors.select(F.col("connector_id").alias("vertex_id"), "x", "y")
+    speeds = scratch.table(mean_speeds(parts), "speeds")
     if islands is not None:
-        gone = islands(edges, at).select("edge_list_id", "edge_id")
-        edges = edges.withColumnRenamed("edge_id", "_old").join(gone.withColumnRenamed("edge_id", "_old"), ["edge_list_id", "_old"], "left_anti")
-        edges = numbered(edges, "edge_id", ["_old"], ["edge_list_id"]).drop("_old")
-        at = at.join(edges.select(F.col("src").alias("vertex_id")).union(edges.select("dst")).distinct(), "vertex_id", "left_semi")
+        parts, order = numbered(parts, "edge_id", order, ["edge_list_id"]), ["_old"]
+        gone = islands(parts, at).select("edge_list_id", F.col("edge_id").alias("_old"))
+        parts = parts.withColumnRenamed("edge_id", "_old").join(gone, ["edge_list_id", "_old"], "left_anti")
+        at = at.join(parts.select(F.col("src").alias("vertex_id")).union(parts.select("dst")).distinct(), "vertex_id", "left_semi")
     vertices = numbered(at.withColumnRenamed("vertex_id", "connector_id"), "vertex_id", ["connector_id"])
+    edges = filled(parts, speeds)
     for end in ("src", "dst"):
         ids = vertices.select(F.col("connector_id").alias(end), F.col("vertex_id").alias("_id"))
         unknown = F.raise_error(F.concat(F.lit("unknown connector "), F.col(end))).cast("long")
         edges = edges.join(ids, end, "left").withColumn(end, F.when(F.col("_id").isNotNull(), F.col("_id")).otherwise(unknown)).drop("_id")
-    done = filled(edges, speeds).repartitionByRange("edge_list_id", "edge_id").sortWithinPartitions("edge_list_id", "edge_id")
-    return ModalNetwork(vertices, scratch.table(done, "edges"), scratch.table(speeds, "speeds"))
+    return ModalNetwork(vertices, numbered(edges, "edge_id", order, ["edge_list_id"]).drop("_old"), speeds)
 
 
 def filled(edges: DataFrame, speeds: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isoreach.functions import geometry as geo
 from isoreach.functions.tags import MPH_KPH
 from isoreach.operators.spatial import lines_in_rings
+from isoreach.scratch import Scratch
 
 
 def mode_access_state(restrictions: Column, modes: Sequence[str]) -> Column:
@@ -155,14 +156,15 @@ def splits(segments: DataFrame, travel: Column | None = None, extra: Sequence[st
         travel = F.transform(headings(F.col("access_restrictions")), lambda h: F.struct(h.alias("heading")))
     stop = F.array_sort(F.transform("connectors", lambda c: F.struct(c["at"].alias("at"), c["connector_id"].alias("id"))))
     pairs = F.zip_with(F.slice("_stops", F.lit(1), F.greatest(F.size("_stops") - 1, F.lit(0))), F.slice("_stops", F.lit(2), F.greatest(F.size("_stops") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    cut = segments.withColumn("_stops", stop).where("size(_stops) > 1").withColumn("travel", travel).where("size(travel) > 0").withColumn("_pair", F.explode(pairs))
+    cut = segments.withColumn("_stops", stop).where("size(_stops) > 1").withColumn("travel", travel).where("size(travel) > 0")
+    cut = cut.withColumn("_legs", geo.measured(F.col("line"))).withColumn("_pair", F.explode(pairs))  # measured once a segment
     at, until = F.col("_pair.a.at"), F.col("_pair.b.at")
-    # measured once a stretch; every heading and mode takes it from there
+    # cut once a stretch; every heading and mode takes it from there
     cut = cut.withColumns({
         "start": at,
         "end": until,
-        "distance": geo.line_length(F.col("line")) * (until - at),
-        "_line": geo.sub_line(F.col("line"), at, until),
+        "distance": geo.measured_length(F.col("_legs")) * (until - at),
+        "_line": geo.cut(F.col("_legs"), at, until),
         "kph": split_speed(F.col("speed_limits"), at, until) * MPH_KPH,
     })
     back = F.col("travel.heading") == "backward"
@@ -186,7 +188,7 @@ def network(segments: DataFrame, connectors: DataFrame) -> tuple[DataFrame, Data
 
     A connector that is not in the table is an error.
     """
-    parts = splits(segments)
+    parts = Scratch(segments.sparkSession, "splits").table(splits(segments), "parts")  # read for either end of the vertices and for the edges
     used = parts.select(F.col("src_connector").alias("connector_id")).union(parts.select("dst_connector")).distinct()
     vertices = used.join(connectors, "connector_id", "left").withColumn("x", F.when(F.col("x").isNotNull(), F.col("x")).otherwise(F.raise_error(F.concat(F.lit("unknown connector "), "connector_id")).cast("double")))
     vertices = vertices.withColumn("vertex_id", F.xxhash64("connector_id"))

@@ -103,3 +103,24 @@ def test_written_files(spark, network, tmp_path):
     assert read("walk/geometries").count() == 8 and read("vertex_connectors").count() == 7
     sinks.modal_network(network, path, {"release": "later"})  # what exists stays
     assert "later" not in spark.read.text(f"{path}/summary", wholetext=True).first()["value"]
+
+
+def test_numbers_are_drawn_in_one_shuffle(spark):
+    df = spark.range(100).select((F.col("id") % 2).alias("g"), (100 - F.col("id")).alias("k"))
+    rows = numbered(df, "n", ["k"], ["g"])
+    assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r["k"] for r in rows.where("g = 1").orderBy("n").collect()] == list(range(1, 100, 2))
+
+
+def test_lines_are_measured_once(spark):
+    """Naming a bound value often does not repeat what it is made of."""
+    line = geo.from_wkt(F.lit(EAST))
+    plan = spark.range(1).select(geo.sub_line(line, F.col("id") * 0.1, F.lit(0.9)).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.upper().count("ASIN(") <= 2
+
+
+def test_written_text_is_not_broadcast(spark):
+    from isoreach.plans.files import modal_files
+
+    plan = modal_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
