@@ -209,3 +209,16 @@ def test_category_file_is_written_beside_its_folder(spark):
 
     rows = category_file(spark, "/root/testdata/sf0.001").collect()
     assert [r["label"] for r in rows] == list(range(25)) and [r["category"] for r in rows] == sorted(r["category"] for r in rows)
+
+
+def test_bundle_places_do_not_meet_around_the_globe(spark, tmp_path):
+    from isoreach.plans.files import bundle_files
+
+    rows = {
+        "supplier": ([(5,), (18005,), (18006,)], "s_suppkey long"),
+        "lineitem": ([(1, 1, "R", 5), (1, 2, "R", 18005), (1, 3, "R", 18006)], "l_orderkey long, l_linenumber int, l_returnflag string, l_suppkey long"),
+        "orders": ([(1, "1-URGENT", "F", dt.datetime(1990, 1, 2))], "o_orderkey long, o_orderpriority string, o_orderstatus string, o_orderdate timestamp"),
+    }
+    for name, (made, schema) in rows.items():
+        spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert sorted(tuple(r) for r in bundle_files(spark, str(tmp_path)).collect()) == [(5, 18005, 1, 60), (18005, 18006, 1, 60)]
