@@ -263,3 +263,12 @@ def test_edges_are_not_broadcast_by_their_size_on_disk(spark, tmp_path):
     for made in (near, metrics.neighbour_speed(edges, near), metrics.stress(edges), metrics.comfort(edges)):
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
         assert made.count() == (98 if made is near else 50)
+
+
+def test_long_segments_take_few_cells(spark):
+    from isoreach.operators.spatial import lines_in_rings
+
+    wkt = lambda rows, key, name: spark.createDataFrame(rows, f"{key} long, wkt string").select(key, geo.from_wkt(F.col("wkt")).alias(name))
+    lines = wkt([(1, "LINESTRING(-40000000 0.5,40000000 0.5)"), (2, "LINESTRING(5 5,50000000 5)"), (3, "LINESTRING(-3 -3,0.2 0.2)"), (4, "LINESTRING(0.5 -30000000,0.5 30000000)")], "id", "line")
+    rings = wkt([(7, "POLYGON((0 0,1 0,1 1,0 1,0 0))"), (8, "POLYGON((900 4,901 4,901 6,900 6,900 4))")], "ring_id", "ring")
+    assert sorted(tuple(r) for r in lines_in_rings(lines, rings, "id", "ring_id", 0.01).collect()) == [(1, 7), (2, 8), (3, 7), (4, 7)]
