@@ -60,6 +60,7 @@ def simplify(edges: DataFrame, rounds: int = 64, tags: Sequence[str] = ()) -> Da
     one edge (each way) from its least node to itself.
     """
     scratch = Scratch(edges.sparkSession, "simplify")
+    edges = scratch.table(edges.select("src", "dst", "distance", "way_id", "highway", *[F.col(f"`{t}`") for t in tags]), "edges")  # read for endpoints, rings and chains
     ends = scratch.table(with_ring_starts(edges, scratch.table(endpoints(edges), "endpoints")), "ends")
     inner = ends.select(F.col("node").alias("dst"), F.lit(True).alias("_end"))
     chains = edges.select("src", "dst", "distance", F.array("src", "dst").alias("nodes"), F.array("way_id").alias("way_ids"), F.array("highway").alias("classes"), *[F.array(F.col(f"`{t}`")).alias(f"tag_{t}") for t in tags])

@@ -28,6 +28,7 @@ def small_components(labels: DataFrame, vertices: DataFrame, threshold_m: float)
 
 def weak_islands(edges: DataFrame, vertices: DataFrame, threshold_m: float) -> DataFrame:
     """Edges of weakly connected components that are small."""
+    edges = Scratch(edges.sparkSession, "weak").table(edges, "edges")  # read for the components and the result
     labels = components(edges, "src", "dst")
     small = labels.join(small_components(labels, vertices, threshold_m), "component", "left_semi")
     return edges.join(small.select(F.col("node").alias("src")), "src", "left_semi").select(edges.columns)
