@@ -222,3 +222,11 @@ def test_bundle_places_do_not_meet_around_the_globe(spark, tmp_path):
     for name, (made, schema) in rows.items():
         spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert sorted(tuple(r) for r in bundle_files(spark, str(tmp_path)).collect()) == [(5, 18005, 1, 60), (18005, 18006, 1, 60)]
+
+
+def test_stop_pairs_deal_trips_over_all_partitions(spark):
+    k = F.col("id")
+    times = spark.range(400).select((k % 40).alias("trip_id"), k.alias("stop_sequence"), (k % 7).alias("stop_id"))
+    pairs = sched.stop_pairs(times)
+    assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sched.archive_summary(times).first().asDict() == {"trips": 40, "legs": 360, "unique_legs": 280}
