@@ -230,3 +230,60 @@ def test_stop_pairs_deal_trips_over_all_partitions(spark):
     pairs = sched.stop_pairs(times)
     assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sched.archive_summary(times).first().asDict() == {"trips": 40, "legs": 360, "unique_legs": 280}
+
+
+def test_street_archive_blocks_are_filled_from_short_batches(spark, tmp_path):
+    """Null and empty tags and lists, a tag given as column and in the map, texts that are empty."""
+    k = F.col("id")
+    tags = F.when(k % 4 != 0, F.map_from_arrays(F.array(F.lit("note"), F.lit("name"), F.concat(F.lit("k"), k % 5)), F.array(F.lit(""), F.lit("map"), F.when(k % 3 != 0, k.cast("string")))))
+    ways = spark.range(20000).select((k * 99991 - 10**9).alias("osmid"), F.transform(F.sequence(F.lit(0), k % 6), lambda i: (k - 5000) * i * 10**9).alias("nodes"), F.when(k % 2 == 0, "column").alias("name"), tags.alias("tags"))
+    ways = ways.withColumn("nodes", F.when(F.col("osmid") % 7 != 0, F.col("nodes")))
+    pbf.write(ways.coalesce(1), f"{tmp_path}/w", "ways")
+    assert len(pbf.blocks(f"{tmp_path}/w")) == 3
+    schema = "osmid long, nodes array<long>, name string, tags map<string,string>"
+    got = {r["osmid"]: (r["nodes"], r["name"], r["tags"]) for r in pbf.read(spark, f"{tmp_path}/w", "ways", schema).collect()}
+    want = {}
+    for r in ways.collect():
+        all_tags = {k: v for k, v in (r["tags"] or {}).items() if v is not None} | ({"name": r["name"]} if r["name"] else {})
+        want[r["osmid"]] = (r["nodes"] or [], all_tags.get("name"), all_tags)
+    assert got == want and len(want) == 20000
+
+
+def test_ways_by_columns_are_those_one_by_one():
+    import random
+
+    import numpy as np
+
+    draw, one = random.Random(7), lambda: random.Random(draw.random())
+    texts = ["", "a", "b", "a", "c"]
+    schema = pbf.pa.schema([("osmid", pbf.pa.int64()), ("nodes", pbf.pa.list_(pbf.pa.int64())), ("a", pbf.pa.string()), ("x", pbf.pa.float64()), ("tags", pbf.pa.map_(pbf.pa.string(), pbf.pa.string()))])
+
+    def way(r, odd: bytes) -> bytes:
+        n, m = r.randrange(4), r.choice((0, 3, 90))
+        parts = [pbf.number(1, r.choice((0, 5, -5, 1 << 62))), pbf.part(2, pbf.packed([r.randrange(1, 5) for _ in range(n)])), pbf.part(3, pbf.packed([r.randrange(5) for _ in range(n)])), pbf.part(8, pbf.packed([r.randrange(-(1 << 40), 1 << 40) for _ in range(m)], True))]
+        parts += [pbf.part(4, pbf.number(1, 3) + pbf.number(2, 1 << 33)), pbf.part(9, pbf.packed([-7, 8], True)), pbf.number(77, 1)][: r.randrange(4)] + [pbf.part(8, pbf.packed([-1, 2], True))] * (r.randrange(5) == 0)
+        r.shuffle(parts)
+        return pbf.part(3, b"".join(parts[r.randrange(2) :]) + odd)
+
+    for odd, fast in ((b"", True), (pbf.part(50, b"plain"), True), (pbf.part(50, b"\xff"), False), (pbf.part(50, b"\xff" * 11 + b"a"), True), (pbf.packed([50 << 3 | 1]) + bytes(8), False)):
+        for size in (0, 1, 300):
+            group = b"".join(way(one(), odd) for _ in range(size))
+            found = pbf._ways(group)
+            assert (found is not None) == (fast and size > 0)
+            plain = [dict(pbf.fields(v)) for _, v in pbf.fields(group)]
+            block = pbf.part(1, b"".join(pbf.part(1, t.encode()) for t in texts)) + pbf.part(2, group)
+            rows = [r for part, names in pbf.elements(block, "ways") for r in pbf.batch_of(part, names, schema).to_pylist()]
+            want = []
+            for f in plain:
+                tags = {texts[k]: texts[v] for k, v in zip(pbf.numbers(f.get(2, b"")), pbf.numbers(f.get(3, b"")))}
+                want.append((pbf.signed(f.get(1, 0)), np.cumsum(pbf.numbers(f.get(8, b""), True)).tolist(), tags.get("a"), None, tags))
+            assert [(r["osmid"], r["nodes"], r["a"], r["x"], dict(r["tags"])) for r in rows] == want
+
+
+def test_dense_nodes_with_empty_values_or_fewer_tags():
+    schema = pbf.pa.schema([("osmid", pbf.pa.int64()), ("a", pbf.pa.string()), ("c", pbf.pa.string())])
+    texts = pbf.part(1, b"".join(pbf.part(1, t) for t in (b"", b"a", b"b", b"c")))
+    for keys, want in (([1, 0, 0, 0, 1, 2, 3, 1, 0], [("", None), (None, None), ("b", "a")]), ([0, 1, 2, 0, 0], [(None, None), ("b", None), (None, None)]), ([0, 1, 2], [(None, None), ("b", None), (None, None)]), ([], [(None, None)] * 3)):
+        dense = pbf.part(1, pbf.packed([5, 1, 1], True)) + pbf.part(8, pbf.packed([0, 0, 0], True)) + pbf.part(9, pbf.packed([0, 0, 0], True)) + pbf.part(10, pbf.packed(keys))
+        (rows, names), = pbf.elements(texts + pbf.part(2, pbf.part(2, dense)), "nodes")
+        assert [tuple(r.values()) for r in pbf.batch_of(rows, names, schema).to_pylist()] == [(5 + i, *w) for i, w in enumerate(want)]
