@@ -26,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.textrows import Rolling, anchors, covered, mix, row_key, signed, slices, word_hashes
+from isoreach.llm.textrows import Rolling, anchors, changes, covered, hashes_of_words, mix, ranges, row_key, signed, slices, together, words_of
 from isoreach.scratch import Scratch
 
 SEGMENTS = "doc_id long, fp long, a int, b int, g long, u1 long, u2 long"
@@ -52,14 +53,22 @@ class Repeats:
     gram: int
     earlier: bool
 
-    def symbols(self, text: str | bytes | None):
-        """The units of a text and their 64-bit symbols; none for null."""
-        raw = text if isinstance(text, bytes) else (text or "").encode()
-        if self.by_words:
-            words = raw.split()
-            return words, word_hashes.of(words)
-        units = np.frombuffer(raw, np.uint8)
-        return units, BYTE_SYMBOLS[units]
+    @property
+    def together(self) -> int:
+        """Bytes of texts that are handled as one sequence: its arrays stay in the processor's cache."""
+        return 1 << 17 if self.by_words else 1 << 16
+
+    def symbols(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit symbols of flat texts, and the place in them where each text begins (and the last ends)."""
+        if not self.by_words:
+            return BYTE_SYMBOLS[raw], cuts
+        starts, ends, cuts = words_of(raw, cuts)
+        return hashes_of_words(raw, starts, ends), cuts
+
+    def starts(self, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all windows that lie in one text, and that text."""
+        counts = np.maximum(np.diff(cuts) - self.window + 1, 0)
+        return ranges(cuts[:-1], counts), np.repeat(np.arange(len(counts)), counts)
 
     def hashes(self, x: np.ndarray) -> tuple[Rolling, Rolling]:
         """Two independent rolling hashes of a symbol sequence."""
@@ -75,10 +84,27 @@ class Repeats:
 BYTE_SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def _table(columns: list[list[np.ndarray]], schema: str) -> pa.RecordBatch:
+def _table(columns: Sequence[np.ndarray], schema: str) -> pa.RecordBatch:
     names = [part.split() for part in schema.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[n for n, _ in names])
+    return pa.RecordBatch.from_arrays([pa.array(c).cast(kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[n for n, _ in names])
+
+
+def _longs(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def cut_segments(what: Repeats, first: Rolling, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, first start, last start, gram) of the segments of flat texts.
+
+    Starts count over all texts; no window goes from one text into the next.
+    """
+    grams, anchor = what.grams(first)
+    at, owner = what.starts(cuts)
+    anchor = anchor[at]
+    lo = changes(anchor, owner)
+    hi = np.concatenate([lo[1:], [len(at)]]) - 1
+    return owner[lo], at[lo], at[hi], grams[anchor[lo]]
 
 
 def segments(docs: DataFrame, what: Repeats, wanted: Callable[[np.ndarray], np.ndarray] | None = None, cells: Sequence[Callable[[np.ndarray], np.ndarray]] = ()) -> DataFrame:
@@ -89,30 +115,19 @@ def segments(docs: DataFrame, what: Repeats, wanted: Callable[[np.ndarray], np.n
     schema = ", ".join([SEGMENTS, *[f"c{i} long" for i in range(len(cells))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out: list[list[np.ndarray]] = [[] for _ in range(7 + len(cells))]
-            for doc_id, fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if doc_id is None or not text or len(text) * (1 if what.by_words else 4) < what.window:
-                    continue
-                x = what.symbols(text)[1]
-                if len(x) < what.window:
-                    continue
-                first, second = what.hashes(x)
-                grams, anchor = what.grams(first)
-                start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-                end = np.concatenate([start[1:], [len(anchor)]]) - 1
-                g = grams[anchor[start]]
-                if wanted is not None:
-                    keep = wanted(g)
-                    start, end, g = start[keep], end[keep], g[keep]
-                n = len(start)
-                to = end + what.window
-                for column, values in zip(out, (np.full(n, doc_id), np.full(n, fp), start.astype(np.int32), end.astype(np.int32), signed(g), signed(first.of(start, to)), signed(second.of(start, to)), *[f(g) for f in cells]), strict=True):
-                    column.append(values)
-            if out[0]:
-                yield _table(out, schema)
-
-    return docs.select(*row_key(), "text").mapInArrow(run, schema)
+        for batch, raw, cuts in together(batches, "text", what.together):
+            x, cuts = what.symbols(raw, cuts)
+            if np.diff(cuts).max() < what.window:
+                continue
+            first, second = what.hashes(x)
+            owner, start, end, g = cut_segments(what, first, cuts)
+            if wanted is not None:
+                keep = wanted(g)
+                owner, start, end, g = owner[keep], start[keep], end[keep], g[keep]
+            base, to = cuts[owner], end + what.window
+            yield _table((_longs(batch, "doc_id")[owner], _longs(batch, "fp")[owner], start - base, end - base, signed(g), signed(first.of(start, to)), signed(second.of(start, to)), *[f(g) for f in cells]), schema)
+
+    return docs.where("doc_id is not null").select(*row_key(), "text").mapInArrow(run, schema)
 
 
 def _pieces(docs: DataFrame, chosen: DataFrame, what: Repeats) -> DataFrame:
@@ -140,21 +155,20 @@ def _blocks(pieces: DataFrame, what: Repeats) -> DataFrame:
     """Blocks of windows, aligned to the anchor, with the hashes of core and union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for u1, u2, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first, second = what.hashes(what.symbols(piece)[1])
-                anchor = what.grams(first)[1]
-                at = int(anchor[0])
-                block = (at - np.arange(len(anchor))) // BLOCK
-                lo = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-                hi = np.concatenate([lo[1:], [len(anchor)]]) - 1
-                last = at - block[lo] * BLOCK  # start of the last window of the whole block
-                core = signed(first.of(last, last - BLOCK + 1 + what.window))
-                to, n = hi + what.window, len(lo)
-                for column, values in zip(out, (np.full(n, u1), np.full(n, u2), lo.astype(np.int32), hi.astype(np.int32), core, signed(first.of(lo, to)), signed(second.of(lo, to))), strict=True):
-                    column.append(values)
-            yield _table(out, BLOCKS)
+        for batch, raw, cuts in together(batches, "piece", what.together):
+            x, cuts = what.symbols(raw, cuts)
+            first, second = what.hashes(x)
+            at, owner = what.starts(cuts)
+            anchor = what.grams(first)[1][cuts[:-1]]  # one for all windows of a piece
+            block = (anchor[owner] - at) // BLOCK
+            lo = changes(block, owner)
+            hi = np.concatenate([lo[1:], [len(at)]]) - 1
+            piece = owner[lo]
+            last = anchor[piece] - block[lo] * BLOCK  # start of the last window of the whole block
+            core = signed(first.of(last, last - BLOCK + 1 + what.window))
+            start, end, base = at[lo], at[hi], cuts[piece]
+            to = end + what.window
+            yield _table((_longs(batch, "u1")[piece], _longs(batch, "u2")[piece], start - base, end - base, core, signed(first.of(start, to)), signed(second.of(start, to))), BLOCKS)
 
     return pieces.mapInArrow(run, BLOCKS)
 
@@ -164,16 +178,17 @@ def _windows(pieces: DataFrame, chosen: DataFrame, what: Repeats) -> DataFrame:
     listed = chosen.groupBy("u1", "u2").agg(F.collect_list(F.struct("lo", "hi", "b1", "b2")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for piece, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first, second = what.hashes(what.symbols(piece)[1])
-                for part in parts:
-                    start = np.arange(part["lo"], part["hi"] + 1)
-                    n, to = len(start), start + what.window
-                    for column, values in zip(out, (np.full(n, part["b1"]), np.full(n, part["b2"]), np.arange(n, dtype=np.int32), signed(first.of(start, to)), signed(second.of(start, to))), strict=True):
-                        column.append(values)
-            yield _table(out, WINDOWS)
+        for batch, raw, cuts in together(batches, "piece", what.together):
+            x, cuts = what.symbols(raw, cuts)
+            first, second = what.hashes(x)
+            parts = batch.column("parts")
+            lo, hi, b1, b2 = (c.to_numpy(zero_copy_only=False) for c in parts.flatten().flatten())
+            base = np.repeat(cuts[:-1], pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+            counts = hi.astype(np.int64) - lo + 1
+            start = ranges(base + lo, counts)
+            part = np.repeat(np.arange(len(counts)), counts)
+            to = start + what.window
+            yield _table((b1[part], b2[part], start - (base + lo)[part], signed(first.of(start, to)), signed(second.of(start, to))), WINDOWS)
 
     return pieces.join(listed.hint("merge"), ["u1", "u2"]).select("piece", "parts").mapInArrow(run, WINDOWS)
 

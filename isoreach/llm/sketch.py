@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.repeats import Repeats, segments
-from isoreach.llm.textrows import mix, slices
+from isoreach.llm.repeats import Repeats, cut_segments, segments
+from isoreach.llm.textrows import Rolling, changes, mix, together
 from isoreach.scratch import Scratch
 from isoreach.skew import join_spread
 
@@ -71,15 +71,16 @@ def partial_sketches(docs: DataFrame, what: Repeats, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                x = what.symbols(text)[1]
-                if len(x) < what.window:
-                    continue
-                grams, anchor = what.grams(what.hashes(x)[0])
-                places = grams[anchor[np.concatenate([[True], anchor[1:] != anchor[:-1]])]]
-                held.append(np.unique(places) if what.earlier else places)
-                n += len(held[-1])
+        for _, raw, cuts in together(batches, "text", what.together):
+            x, cuts = what.symbols(raw, cuts)
+            if np.diff(cuts).max() < what.window:
+                continue
+            owner, _, _, places = cut_segments(what, Rolling(x), cuts)
+            if what.earlier:
+                order = np.lexsort((places, owner))
+                places = places[order][changes(places[order], owner[order])]
+            held.append(places)
+            n += len(places)
             if n > 1 << 20:
                 yield emit(held)
                 held, n = [], 0

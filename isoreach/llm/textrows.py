@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +27,38 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column, one after another, and where each begins (and the last ends); null is empty."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    cuts = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]] if data is not None and cuts[-1] > cuts[0] else np.zeros(0, np.uint8)
+    return raw, cuts - cuts[0]
+
+
+def together(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of at most ``size`` bytes of their column ``text`` (a longer text is alone), with that column laid flat."""
+    for batch in batches:
+        raw, cuts = flat(batch.column(text))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + size, "right")) - 1)
+            yield batch.slice(at, to - at), raw[cuts[at] : cuts[to]], cuts[at : to + 1] - cuts[at]
+            at = to
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts[i]`` whole numbers from ``starts[i]`` on, for every ``i``."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Places where any of the columns differs from the place before; the first one is one."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (the finalizer of SplitMix64)."""
     with np.errstate(over="ignore"):
@@ -51,6 +84,44 @@ class WordHashes(dict):
 
 word_hashes = WordHashes()
 
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+EIGHT = 8
+LONGEST = 64  # bytes of a word that are hashed eight at a time over all words; longer words are hashed alone
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(EIGHT + 1)], np.uint64)
+LENGTHS = mix(np.arange(1, LONGEST + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def words_of(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of flat texts start and end, and the number of words before each text (and in all)."""
+    inside = ~SPACES[raw]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edge = cuts[(cuts > 0) & (cuts < len(raw))]  # no word goes on in the next text
+    first[edge] = inside[edge]
+    last[edge - 1] = inside[edge - 1]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, cuts)
+
+
+def hashes_of_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words by their length and bytes."""
+    padded = np.concatenate([raw, np.zeros(EIGHT, np.uint8)])
+    eights = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))  # the eight bytes from any place on
+    size = ends - starts
+    x = mix((eights[starts] & FIRST_BYTES[np.minimum(size, EIGHT)]) ^ LENGTHS[np.minimum(size, LONGEST)])
+    more = np.flatnonzero((size > EIGHT) & (size <= LONGEST))
+    done = EIGHT
+    while len(more):
+        part = eights[starts[more] + done] & FIRST_BYTES[np.minimum(size[more] - done, EIGHT)]
+        with np.errstate(over="ignore"):
+            x[more] = mix((x[more] * MIX_B) ^ part)
+        done += EIGHT
+        more = more[size[more] > done]
+    for i in np.flatnonzero(size > LONGEST).tolist():
+        x[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    return x
+
 
 class Powers:
     """Powers of an odd base modulo 2**64 and of its inverse, as far as needed."""
