@@ -287,3 +287,71 @@ def test_dense_nodes_with_empty_values_or_fewer_tags():
         dense = pbf.part(1, pbf.packed([5, 1, 1], True)) + pbf.part(8, pbf.packed([0, 0, 0], True)) + pbf.part(9, pbf.packed([0, 0, 0], True)) + pbf.part(10, pbf.packed(keys))
         (rows, names), = pbf.elements(texts + pbf.part(2, pbf.part(2, dense)), "nodes")
         assert [tuple(r.values()) for r in pbf.batch_of(rows, names, schema).to_pylist()] == [(5 + i, *w) for i, w in enumerate(want)]
+
+
+def test_an_archive_is_written_and_read_in_pieces(spark, tmp_path):
+    import csv
+    import io
+    import zipfile
+    import zlib
+
+    from isoreach.sources import zipped
+
+    k = F.col("id")
+    rows = spark.range(30_000).select(F.lit("all").alias("archive"), k.alias("trip_id"), F.when(k % 3 == 0, 'a "b",\n c').when(k % 3 == 1, F.lit("é")).alias("route_id"))
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        assert sinks.archives({"trips": rows, "agency": rows.limit(0).select("archive", "trip_id")}, str(tmp_path / "out")) == 1
+        back = gtfs.read_archives(spark, str(tmp_path / "out"), "trips", ["trip_id", "route_id"]).withColumn("task", F.spark_partition_id()).collect()
+        assert gtfs.read_archives(spark, str(tmp_path / "out"), "agency").count() == 0
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert len({r["task"] for r in back}) > 1  # one task read an archive before
+    made = {str(i): ('a "b",\n c', "é", None)[i % 3] for i in range(30_000)}
+    assert len(back) == 30_000 and {r["trip_id"]: r["route_id"] for r in back} == made
+    with zipfile.ZipFile(tmp_path / "out/all.zip") as z:  # any reader of zip archives finds whole members
+        assert z.testzip() is None and z.namelist() == ["trips.txt", "agency.txt"]
+        lines = list(csv.reader(io.TextIOWrapper(z.open("trips.txt"), "utf-8", newline="")))
+    assert lines[0] == ["trip_id", "route_id"] and {a: b or None for a, b in lines[1:]} == made
+    a, b = b"some text", b"and more of it" * 1000
+    assert zipped.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b) and zipped.joined_crc(zlib.crc32(a), 0, 0) == zlib.crc32(a)
+
+
+def test_more_pieces_than_the_directory_holds(tmp_path, monkeypatch):
+    import zipfile
+
+    from isoreach.sources import zipped
+
+    monkeypatch.setattr(zipped, "MOST", 4)
+    made = []
+    for text in [b"n\n"] + [b"%d\n" % i for i in range(12)]:
+        piece = zipped.Deflater()
+        piece.add(text)
+        data = piece.end()
+        made.append((zipped.Piece("", 0, len(data), piece.text, piece.crc), data))
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as out:
+        zipped.add_member(out, "stops.txt", [p for p, _ in made], lambda p: iter([dict(made)[p]]))
+    with open(tmp_path / "a.zip", "rb") as raw, zipfile.ZipFile(raw) as z:
+        assert z.testzip() is None and z.read("stops.txt") == b"n\n" + b"".join(b"%d\n" % i for i in range(12))
+        told = zipped.pieces_of(raw, z.getinfo("stops.txt"))
+        parts = []
+        for at, size, crc in told:
+            raw.seek(at)
+            parts.append(zipped.inflated(raw.read(size), crc))
+    assert len(told) <= 4 and parts[0] == b"n\n" and b"".join(parts[1:]) == b"".join(b"%d\n" % i for i in range(12))
+    with pytest.raises(zipfile.BadZipFile, match="checksum"):
+        zipped.inflated(made[0][1], 1)
+
+
+def test_lines_of_uneven_width_are_read_by_row():
+    import io
+
+    from isoreach.sources import zipped
+
+    text = "a,b,c\r\n" + "1,,x\n" * 400_000 + '2\n\n3,"p ""q"", r",y,z\n"",s,"t\nu"\n'
+    rows = [r for batch in zipped.parsed(lambda: io.BytesIO(text.encode()), 3, [1, -1, 0], True) for r in zip(*(c.to_pylist() for c in batch))]
+    assert len(rows) == 400_003 and set(rows[:400_000]) == {(None, None, "1")}
+    assert rows[400_000:] == [(None, None, "2"), ('p "q", r', None, "3"), ("s", None, None)]
