@@ -355,3 +355,16 @@ def test_lines_of_uneven_width_are_read_by_row():
     rows = [r for batch in zipped.parsed(lambda: io.BytesIO(text.encode()), 3, [1, -1, 0], True) for r in zip(*(c.to_pylist() for c in batch))]
     assert len(rows) == 400_003 and set(rows[:400_000]) == {(None, None, "1")}
     assert rows[400_000:] == [(None, None, "2"), ('p "q", r', None, "3"), ("s", None, None)]
+
+
+def test_archive_summaries_merge_joins_on_zipped_text(spark, tmp_path):
+    members = {
+        "trips": spark.createDataFrame([("x", "1", "s"), ("x", "2", None), ("x", "3", "q"), ("y", "1", "s")], "archive string, trip_id string, shape_id string"),
+        "stop_times": spark.createDataFrame([("x", t, i, str(i)) for t in ("1", "2") for i in (9, 10, 11)] + [("x", "3", 1, "1")], "archive string, trip_id string, stop_sequence int, stop_id string"),
+        "shapes": spark.createDataFrame([("x", "s"), ("x", "s"), ("z", "s")], "archive string, shape_id string"),
+    }
+    sinks.archives(members, str(tmp_path))
+    made = sched.archive_summaries(*(gtfs.read_archives(spark, str(tmp_path), m) for m in ("stop_times", "trips", "shapes")))
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    rows = {r["archive"]: (r["trips"], r["legs"], r["unique_legs"], r["shaped"], r["shapes"], r["coverage"]) for r in made.collect()}
+    assert rows == {"x": (3, 4, 4, 1, 1, 1 / 3), "y": (1, 0, 0, 0, 0, 0.0), "z": (0, 0, 0, 0, 1, 0.0)}
