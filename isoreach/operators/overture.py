@@ -142,6 +142,33 @@ def in_extent(segments: DataFrame, connectors: DataFrame, extent: DataFrame, cel
     return kept, connectors.join(used, "connector_id", "left_semi")
 
 
+def stretches(segments: DataFrame, travel: Column, extra: Sequence[str] = ()) -> DataFrame:
+    """The parts of segments between consecutive connectors, one row each, of segments whose array ``travel`` is not empty.
+
+    ``segments`` are those of ``splits``.  Ends and geometry are those of the
+    forward heading; ``extra`` names more columns of the result.  Every segment
+    is split by itself, without a shuffle.
+    """
+    stop = F.array_sort(F.transform("connectors", lambda c: F.struct(c["at"].alias("at"), c["connector_id"].alias("id"))))
+    pairs = F.zip_with(F.slice("_stops", F.lit(1), F.greatest(F.size("_stops") - 1, F.lit(0))), F.slice("_stops", F.lit(2), F.greatest(F.size("_stops") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    cut = segments.withColumn("_stops", stop).where("size(_stops) > 1").withColumn("travel", travel).where("size(travel) > 0")
+    cut = cut.withColumn("_legs", geo.measured(F.col("line"))).withColumn("_pair", F.explode(pairs))  # measured once a segment
+    at, until = F.col("_pair.a.at"), F.col("_pair.b.at")
+    return cut.select(
+        "id",
+        F.col("_pair.a.id").alias("src_connector"),
+        F.col("_pair.b.id").alias("dst_connector"),
+        at.alias("start"),
+        until.alias("end"),
+        (geo.measured_length(F.col("_legs")) * (until - at)).alias("distance"),
+        geo.cut(F.col("_legs"), at, until).alias("geometry"),
+        (split_speed(F.col("speed_limits"), at, until) * MPH_KPH).alias("kph"),
+        "class",
+        "travel",
+        *extra,
+    )
+
+
 def splits(segments: DataFrame, travel: Column | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """Directed splits between consecutive connectors, one row per open heading.
 
@@ -149,34 +176,22 @@ def splits(segments: DataFrame, travel: Column | None = None, extra: Sequence[st
     access_restrictions, speed_limits, class)``.  The backward split swaps its
     ends and reverses its geometry.  ``travel`` is an array of structs with a
     ``heading``, by default the segment's open headings; ``extra`` names more
-    columns of the result, those of the structs as ``travel.name``.  Every
-    segment is split by itself, without a shuffle.
+    columns of the result, those of the structs as ``travel.name``.
     """
     if travel is None:
         travel = F.transform(headings(F.col("access_restrictions")), lambda h: F.struct(h.alias("heading")))
-    stop = F.array_sort(F.transform("connectors", lambda c: F.struct(c["at"].alias("at"), c["connector_id"].alias("id"))))
-    pairs = F.zip_with(F.slice("_stops", F.lit(1), F.greatest(F.size("_stops") - 1, F.lit(0))), F.slice("_stops", F.lit(2), F.greatest(F.size("_stops") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    cut = segments.withColumn("_stops", stop).where("size(_stops) > 1").withColumn("travel", travel).where("size(travel) > 0")
-    cut = cut.withColumn("_legs", geo.measured(F.col("line"))).withColumn("_pair", F.explode(pairs))  # measured once a segment
-    at, until = F.col("_pair.a.at"), F.col("_pair.b.at")
-    # cut once a stretch; every heading and mode takes it from there
-    cut = cut.withColumns({
-        "start": at,
-        "end": until,
-        "distance": geo.measured_length(F.col("_legs")) * (until - at),
-        "_line": geo.cut(F.col("_legs"), at, until),
-        "kph": split_speed(F.col("speed_limits"), at, until) * MPH_KPH,
-    })
+    # cut once a stretch; every heading takes it from there
+    cut = stretches(segments, travel, [c for c in extra if not c.startswith("travel.")])
     back = F.col("travel.heading") == "backward"
     return cut.withColumn("travel", F.explode("travel")).select(
         "id",
         "travel.heading",
-        F.when(back, F.col("_pair.b.id")).otherwise(F.col("_pair.a.id")).alias("src_connector"),
-        F.when(back, F.col("_pair.a.id")).otherwise(F.col("_pair.b.id")).alias("dst_connector"),
+        F.when(back, F.col("dst_connector")).otherwise(F.col("src_connector")).alias("src_connector"),
+        F.when(back, F.col("src_connector")).otherwise(F.col("dst_connector")).alias("dst_connector"),
         "start",
         "end",
         "distance",
-        F.when(back, F.reverse("_line")).otherwise(F.col("_line")).alias("geometry"),
+        F.when(back, F.reverse("geometry")).otherwise(F.col("geometry")).alias("geometry"),
         "kph",
         "class",
         *extra,

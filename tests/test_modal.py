@@ -124,3 +124,46 @@ def test_written_text_is_not_broadcast(spark):
 
     plan = modal_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_a_stretch_is_one_row_for_all_modes_and_headings(spark, network):
+    made = spark.read.parquet(f"{network.scratch.root}/ranges").collect()
+    assert sorted((r["segment_id"], r["start"], sorted(r["travel"])) for r in made) == [("s1", 0.0, [0, 2, 3]), ("s1", 0.5, [0, 2, 3]), ("s2", 0.0, [0, 1, 2, 3]), ("s3", 0.0, [2, 3])]
+    assert network.scratch.tags == {"speeds", "ranges", "offsets"}  # the steps before are gone
+
+
+def test_edges_of_many_ranges_are_numbered_without_gaps(spark):
+    rows = [(f"s{i:04}", EAST, [("a", 0.0), ("b", 0.5), ("c", 1.0)], "road", "path" if i % 3 else "service", None, None, None, [("denied", ("backward", ["car"], None, None))] if i % 2 else None) for i in range(300)]
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        made = modal.build(segments(spark, rows), connectors(spark), MODES)
+        assert spark.read.parquet(f"{made.scratch.root}/ranges").select("_part").distinct().count() > 2
+        edges = made.edges.collect()
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    for mode in ("drive", "walk"):
+        own = sorted((r for r in edges if r["mode"] == mode), key=lambda r: r["edge_id"])
+        assert [r["edge_id"] for r in own] == list(range(len(own)))
+        place = [(r["heading"] != "forward", r["segment_id"], r["start"]) for r in own]
+        assert place == sorted(set(place))
+    made.drop()
+
+
+def test_written_tables_are_read_by_part(spark, network, tmp_path):
+    from isoreach.plans.files import modal_files
+    from isoreach.sources.tables import modal_tables
+
+    path = str(tmp_path / "net")
+    sinks.modal_network(network, path)
+    parts = {"edges": "edge_id long, src_vertex_id long, dst_vertex_id long, distance double", "classes": "edge_id long, class string", "speeds": "edge_id long, mph double"}
+    got = sorted(tuple(r) for r in modal_tables(spark, path, "walk", parts).collect())
+    own = network.edges.where("mode = 'walk'").select("edge_id", "src", "dst", "distance", "class", "mph")
+    assert [(*r[:3], round(r[3], 6), r[4], round(r[5], 6)) for r in got] == sorted((*r[:3], round(r[3], 6), r[4], round(r[5], 6)) for r in map(tuple, own.collect()))
+    own.where("edge_id <> 2").select("edge_id", "mph").coalesce(1).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(f"{path}/walk/speeds")
+    with pytest.raises(Exception, match="tables of walk"):
+        modal_tables(spark, path, "walk", parts).collect()
+    plan = modal_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(edge_id" not in plan  # rows of five tables were dealt by edge before
