@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,7 +130,7 @@ def build(segments: DataFrame, connectors: DataFrame, modes: Sequence[Mode], isl
         scratch.drop(last)
         scratch.sweep()
         last = end
-    ranges = scratch.table(placed(parts), "ranges")
+    ranges = scratch.table(placed(parts, 2 * len(names)), "ranges")
     scratch.drop(last)
     scratch.sweep()
     sizes = ranges.select("_part", F.explode("travel").alias("code")).groupBy("_part", "code").agg(F.count(F.lit(1)).alias("_n"))
@@ -145,25 +146,26 @@ def met(rows: DataFrame, vertices: DataFrame, end: str) -> DataFrame:
     return rows.join(ids, end, "left").withColumn(end, F.when(F.col("_id").isNotNull(), F.col("_id")).otherwise(unknown)).drop("_id")
 
 
-def placed(parts: DataFrame) -> DataFrame:
-    """Stretches dealt by ranges of segment and start and sorted in them, with their range and, for every mode and heading of ``travel``, the place of their edge among those of its range."""
+def placed(parts: DataFrame, codes: int) -> DataFrame:
+    """Stretches dealt by ranges of segment and start and sorted in them, with their range and, as ``_place_c`` for every code of ``travel``, the place of their edge among those of its range."""
     ranged = parts.repartitionByRange("segment_id", "start").sortWithinPartitions("segment_id", "start")
-    names = [*parts.columns, "places", "_part"]
+    places = [f"_place_{c}" for c in range(codes)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), {}
+        part, seen = TaskContext.get().partitionId(), [0] * codes
         for batch in batches:
             lists = batch.column("travel")
-            codes = lists.flatten().to_numpy()
-            places = np.zeros(len(codes), np.int64)
-            for code in np.unique(codes).tolist():
-                own = np.flatnonzero(codes == code)
-                places[own] = seen.get(code, 0) + np.arange(len(own))
-                seen[code] = seen.get(code, 0) + len(own)
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(places)), pa.repeat(pa.scalar(part, pa.int32()), batch.num_rows)], names=names)
-
-    schema = T.StructType([*parts.schema.fields, T.StructField("places", T.ArrayType(T.LongType())), T.StructField("_part", T.IntegerType())])
+            rows, found = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).to_numpy()
+            made = []
+            for code in range(codes):
+                own = rows[found == code]
+                numbers, none = np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, bool)
+                numbers[own], none[own] = seen[code] + np.arange(len(own)), False
+                seen[code] += len(own)
+                made.append(pa.array(numbers, mask=none))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made, pa.repeat(pa.scalar(part, pa.int32()), batch.num_rows)], names=[*batch.schema.names, *places, "_part"])
+
+    schema = T.StructType([*parts.schema.fields, *[T.StructField(p, T.LongType()) for p in places], T.StructField("_part", T.IntegerType())])
     return ranged.mapInArrow(place, schema).withColumns({"bearing": geo.exit_bearing(F.col("geometry")), "_back": geo.exit_bearing(F.reverse("geometry"))})
 
 
@@ -173,12 +175,12 @@ def headed(parts: DataFrame, names: Sequence[str], offsets: DataFrame | None = N
     for code in range(2 * len(names)):
         back = code % 2 == 1
         line = F.reverse("geometry") if back else F.col("geometry")
-        rows, bearing = parts.where(F.array_contains("travel", code)), geo.exit_bearing(line)
-        number = []
-        if offsets is not None:
-            rows = rows.join(F.broadcast(offsets.where(F.col("code") == code).drop("code")), "_part")  # one row a range
-            number = [(F.element_at("places", F.array_position("travel", F.lit(code)).cast("int")) + F.col("_before")).alias("edge_id")]
-            bearing = F.col("_back" if back else "bearing")
+        if offsets is None:
+            rows, bearing, number = parts.where(F.array_contains("travel", code)), geo.exit_bearing(line), []
+        else:
+            before = F.broadcast(offsets.where(F.col("code") == code).drop("code"))  # one row a range
+            rows, bearing = parts.where(F.col(f"_place_{code}").isNotNull()).join(before, "_part"), F.col("_back" if back else "bearing")
+            number = [(F.col(f"_place_{code}") + F.col("_before")).alias("edge_id")]
         made.append(
             rows.select(
                 F.lit(code // 2).alias("edge_list_id"),
